@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, scoring, simhash, substrings
+from . import imatch, quality, scoring, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_simhash_near_dedup, op6_lm_scoring, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
