@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, quality, scoring, simhash, substrings
+from . import imatch, quality, scoring, simhash, sources, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op10_substring_dedup)}
+ORACLES: dict[str, str] = {"op8_source_mixing": sources.ORACLE}
