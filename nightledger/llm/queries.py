@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, pieces, quality, scoring, simhash, sources, substrings
+from . import imatch, pieces, quality, scoring, simhash, sources, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op8_source_mixing": sources.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_exact_top_k, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op10_substring_dedup)}
+ORACLES: dict[str, str] = {"op3_exact_top_k": topk.ORACLE, "op8_source_mixing": sources.ORACLE}
