@@ -41,9 +41,9 @@ def test_held_out_roles(spark):
 def test_rendering(spark):
     data = [(1, 0, "user", "Is it?\nwell"), (1, 1, "assistant", "yes"), (None, None, None, None)]
     conversations = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))
-    lines = as_lines(conversations, missing=0).withColumn("text", F.when(F.col("turn") == 0, F.concat(F.when(F.col("line") == 0, "User: ").otherwise(""), F.regexp_replace("text", "^.*: ", ""))).otherwise(F.lit("Assistant: yes")))
+    lines = spark.createDataFrame([(1, 0, 0, "user", "User: Is it?"), (1, 0, 1, "user", "well"), (1, 1, 0, "assistant", "Assistant: yes")], "conv_id long, turn long, line int, role string, text string")
     many = as_lines(spark.read.parquet(CONVERSATIONS))
-    found = parse_transcripts(lines.where("conv_id = 1"), Hmm.fitted(many)).orderBy("turn", "line").collect()
+    found = parse_transcripts(lines, Hmm.fitted(many)).orderBy("turn", "line").collect()
     assert "".join(r.rendered for r in found) == "<|user|>\nIs it?\nwell\n<|end|>\n<|assistant|>\nyes\n<|end|>\n"
     assert parse_transcripts(as_lines(conversations), Hmm.fitted(many)).count() == 4
     assert parse_transcripts(lines.limit(0), Hmm.fitted(lines.limit(0))).count() == 0
