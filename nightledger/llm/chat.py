@@ -70,9 +70,12 @@ class Hmm:
         roles = F.create_map(*[x for k, r in enumerate(ROLES) for x in (F.lit(r), F.lit(k))])
         lines = features(labelled).withColumn("r", roles[F.col("role")]).where("r is not null")
         state = (2 * F.col("r") + F.when(F.col("line") > 0, 1).otherwise(0)).alias("state")
-        shows = np.full((STATES, SEEN), smooth / 10)
+        seen = np.zeros((STATES, len(ROLES) + 1, len(LENGTHS) + 1, 2))
         for r in lines.groupBy(state, "seen").count().collect():
-            shows[r["state"], r["seen"]] += r["count"]
+            seen.reshape(STATES, SEEN)[r["state"], r["seen"]] += r["count"]
+        # given the state, marker, length and question are taken as independent, each with counts of its own
+        shares = [m / m.sum(axis=1, keepdims=True) for m in (seen.sum(axis=axes) + smooth for axes in ((2, 3), (1, 3), (1, 2)))]
+        shows = (shares[0][:, :, None, None] * shares[1][:, None, :, None] * shares[2][:, None, None, :]).reshape(STATES, SEEN)
         turns = lines.where("line = 0").groupBy("conv_id", "turn").agg(F.min("r").alias("r"))
         first, change = np.full(STATES, 1e-6), np.full((len(ROLES), len(ROLES)), smooth)
         first[::2] = smooth
