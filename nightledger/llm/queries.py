@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, pieces, quality, scoring, simhash, sources, substrings, topk
+from . import chat, imatch, lines, pieces, quality, scoring, simhash, sources, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_exact_top_k, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op9_chat_formatting, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_exact_top_k, op4_line_dedup, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op9_chat_formatting, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op3_exact_top_k": topk.ORACLE, "op8_source_mixing": sources.ORACLE}
