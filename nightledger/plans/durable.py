@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,10 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: a lost executor costs no recomputation of what led to it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read again; for wide rows, which that keeps small."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
