@@ -8,11 +8,14 @@ its scores, BPE turns them into an order of merges.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -20,8 +23,11 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 from . import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
+CACHED_WORDS = 300_000  # of a task, before it starts anew
+THREADS = 2  # of a task
 MARK = "▁"
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -134,37 +140,93 @@ def normalised(model: Model, text: str) -> str:
     return text.replace(MARK, " ") if model.escape_spaces else text
 
 
-def _codec(model, threads: int | None):
+class Codec:
+    """Encodes and decodes texts by their distinct words.
+
+    A word is a run of marks with what follows up to the next mark. Where no piece holds a mark after another character
+    (``apart``), a text's ids are those of its words one after the other, so the library encodes, and decodes again, each
+    new word once, whole batches of them by threads. Other models' texts are encoded as they are.
+    """
+
+    def __init__(self, data: bytes):
+        self.model = parse_model(data)
+        self.whole = rebuild(self.model)
+        names = {p for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)}
+        plain = not self.model.charsmap and not self.model.strip_extra_spaces and self.model.escape_spaces
+        self.apart = plain and MARK in names and not any(MARK in p.lstrip(MARK) for p in names)
+        self.words = rebuild(self.model)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.size = [np.zeros(0, np.int32)], 0
+        self.at, self.length, self.faithful = [], [], []
+
+    def _learn(self, words: list[str]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            ids = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
+            back = self.words.decode_batch(ids, skip_special_tokens=False)
+            flat = np.array([i for own in ids for i in own], np.int32)
+            for word, own, text in zip(part, ids, back):
+                self.known[word] = len(self.at)
+                self.at.append(self.size)
+                self.length.append(len(own))
+                self.faithful.append(text == word.replace(MARK, " "))
+                self.size += len(own)
+            self.ids.append(flat)
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
+        """(ids of all texts, ids of each text, decoded texts, whether each is its normalised text)."""
+        if not self.apart:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            return np.array([i for own in ids for i in own], np.int32), np.array([len(x) for x in ids], np.int64), back, [b == normalised(self.model, t) for b, t in zip(back, texts)]
+        if len(self.known) > CACHED_WORDS:
+            self.forget()
+        lead = MARK if self.model.dummy_prefix else ""
+        cut = [_WORD.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
+        self._learn([w for w in dict.fromkeys(w for own in cut for w in own) if w not in self.known])
+        place = np.fromiter((self.known[w] for own in cut for w in own), np.int64, sum(map(len, cut)))
+        self.ids = [np.concatenate(self.ids)]
+        length = np.array(self.length, np.int64)[place]
+        first = np.concatenate([[0], np.cumsum([len(own) for own in cut])])
+        ends = np.cumsum(length)
+        flat = self.ids[0][np.repeat(np.array(self.at, np.int64)[place] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        total = np.concatenate([[0], ends])
+        sizes = total[first[1:]] - total[first[:-1]]
+        bad = np.concatenate([[0], np.cumsum(~np.array(self.faithful, bool)[place])])
+        back, same, done = [], (bad[first[1:]] == bad[first[:-1]]), 0
+        for text, n, fine in zip(texts, sizes.tolist(), same.tolist()):
+            back.append(normalised(self.model, text) if fine else self.whole.decode(flat[done : done + n].tolist(), skip_special_tokens=False))
+            done += n
+        return flat, sizes, back, [f or b == normalised(self.model, t) for f, b, t in zip(same.tolist(), back, texts)]
+
+
+def _codec(model, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if threads:
-            os.environ["RAYON_NUM_THREADS"] = str(threads)
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads != 1 else "false"
-        parsed = parse_model(model.value)
-        tokenizer = rebuild(parsed)
+        codec = Codec(model.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < BATCH_CHARS:
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [b == normalised(parsed, t) for b, t in zip(back, part)]
-                columns = [batch.column("doc_id").slice(at, end - at), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "round_trip"])
+            at, column = 0, batch.column("text")
+            size = np.cumsum([0, *pc.binary_length(column).to_pylist()])
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1)
+                flat, sizes, back, same = codec.run(column.slice(at, end - at).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), ids, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "decoded", "round_trip"])
                 at = end
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str = MODEL, threads: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL, threads: int = THREADS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (text) and round_trip (the decoded text is the normalised text), a row for each row.
 
-    ``model_file`` is read on the driver and broadcast: vocabularies have a fixed size. ``threads`` is that of the encoder in each task
-    (None: the library's choice). Null and empty texts have no ids. No special tokens are added, and their names in a text
+    ``model_file`` is read on the driver and broadcast: vocabularies have a fixed size. ``threads`` is that of the encoder in each task. Null and empty texts have no ids. No special tokens are added, and their names in a text
     are ordinary text. Repeated rows and null doc_ids are kept; other columns are not read.
     """
     with open(model_file, "rb") as file:
@@ -181,10 +243,11 @@ def parity(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        tokenizer = rebuild(parse_model(model.value))
+        codec = Codec(model.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            mine = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat, sizes, _, _ = codec.run(texts)
+            mine = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
             same = [a == b for a, b in zip(mine, own.encode(texts, num_threads=1))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.bool_())], ["doc_id", "same"])
 

@@ -3,10 +3,11 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 
-from nightledger.llm.pieces import BPE, MODEL, UNIGRAM, digest, encode, parity, parse_model, rebuild
+from nightledger.llm.pieces import BPE, MODEL, UNIGRAM, Codec, digest, encode, parity, parse_model, rebuild
 
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="the model file is not here")
 ODD = [" ", "  ", "   ", " " * 15, " " * 17, "\n", "\t", "a", "b", "the", "and", "▁", "é", "中", "😀", "<s>", "</s>", "<0x41>", "<unk>", "​", "Ａ", "x" * 40, "aaaa", "....", "====="]
@@ -43,15 +44,21 @@ def unigram_model(byte_fallback):
     return body + written(3, written(1, b"identity") + written(3, 1) + written(4, 0) + written(5, 1))
 
 
+def by_words(data, texts):
+    flat, sizes, _, _ = Codec(data).run(texts)
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
 @pytest.mark.parametrize("byte_fallback", [True, False])
 def test_unigram_parity(byte_fallback):
     data = unigram_model(byte_fallback)
     own = sentencepiece.SentencePieceProcessor(model_proto=data)
     model = parse_model(data)
     assert model.kind == UNIGRAM and model.byte_fallback == byte_fallback
-    tokenizer = rebuild(model)
-    texts = [t for t in odd_texts(3000)]
-    assert [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] == own.encode(texts)
+    texts = odd_texts(3000)
+    want = own.encode(texts)
+    assert [e.ids for e in rebuild(model).encode_batch_fast(texts, add_special_tokens=False)] == want
+    assert by_words(data, texts) == want
 
 
 @needs_model
@@ -63,7 +70,8 @@ def test_bpe_parity():
     own, tokenizer, texts = sentencepiece.SentencePieceProcessor(model_proto=data), rebuild(model), odd_texts(5000)
     ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert ids == own.encode(texts)
-    assert tokenizer.decode_batch(ids, skip_special_tokens=False) == own.decode(ids)
+    assert by_words(data, texts) == ids
+    assert Codec(data).run(texts)[2] == tokenizer.decode_batch(ids, skip_special_tokens=False) == own.decode(ids)
 
 
 @needs_model
