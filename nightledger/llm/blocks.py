@@ -16,9 +16,26 @@ BLOCK_BYTES = 4 << 20
 KEYS_A_PARTITION = 2 << 20
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that the operators read, under fixed names; other columns cannot clash. Null text is empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The two columns that the operators read, under fixed names; other columns cannot clash. Null text is empty.
+
+    With ``carry`` the other columns and whether the text was null go along as the struct ``rest``; see ``restored``.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    out = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")]
+    if carry:
+        out.append(F.struct(F.when(text.isNull(), True).alias("_no_text"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest"))
+    return docs.select(*out)
+
+
+def restored(found: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``like`` from a result with text and rest; a text that was null and is still empty is null again."""
+    text = F.when(F.coalesce(F.col("rest._no_text"), F.lit(False)) & (F.col("text") == ""), F.lit(None)).otherwise(F.col("text")).alias(text_col)
+    return found.select(*(text if c == text_col else F.col("rest").getField(c).alias(c) for c in like.columns))
+
+
+def sql_type(docs: DataFrame, column: str) -> str:
+    return docs.schema[column].dataType.simpleString()
 
 
 def volume(docs: DataFrame) -> tuple[int, int]:
@@ -37,7 +54,7 @@ def partition_count(keys: int) -> int:
 
 def with_block(docs: DataFrame, count: int) -> DataFrame:
     """Rows with the same doc_id come to the same block."""
-    return docs.select(block_of(F.col("doc_id"), count).alias("block"), "doc_id", "text")
+    return docs.select(block_of(F.col("doc_id"), count).alias("block"), *docs.columns)
 
 
 def block_of(doc_id: Column, count: int) -> Column:

@@ -45,7 +45,7 @@ class Lines:
         self.owner = np.repeat(np.arange(len(offsets) - 1), self.counts)
         self.number = np.arange(base[-1]) - np.repeat(base[:-1], self.counts)
         text = self.words.text()
-        of = base[text] + np.searchsorted(self.breaks, self.words.start) - before[text]
+        of = (base[:-1] - before[:-1])[text] + np.cumsum(data == 10, dtype=np.int32)[self.words.start]
         new = np.ones(len(of), bool)
         new[1:] = of[1:] != of[:-1]
         self.filled = of[new]
@@ -54,12 +54,17 @@ class Lines:
 
     def sets(self, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(distinct words of the filled lines one after the other, first of each line), rarest first."""
-        level = rarity[_slot(self.hashes)].astype(np.uint64) if rarity is not None else np.zeros(len(self.hashes), np.uint64)
         out, sizes = [np.zeros(0, np.uint64)], np.zeros(len(self.filled), np.int64)
         for a in range(0, len(self.filled), 1 << 20):  # a line's number takes 20 bits of the sort key
             lo, hi = np.searchsorted(self.of, [a, a + (1 << 20)])
-            key = np.unique(((self.of[lo:hi] - a).astype(np.uint64) << np.uint64(44)) | (level[lo:hi] << np.uint64(36)) | self.hashes[lo:hi])
-            own = np.bincount((key >> np.uint64(44)).astype(np.int64))
+            key = ((self.of[lo:hi] - a).astype(np.uint64) << np.uint64(44)) | self.hashes[lo:hi]
+            if rarity is not None:
+                key |= rarity[_slot(self.hashes[lo:hi])].astype(np.uint64) << np.uint64(36)
+            key.sort()
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            key = key[new]
+            own = np.bincount((key >> np.uint64(44)).astype(np.intp))
             sizes[a : a + len(own)] = own
             out.append(key & _HASH)
         return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
@@ -182,6 +187,22 @@ def _runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
             yield at, step
 
 
+def _meeting(sets: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Names a posting by its set and key."""
+    return mix(sets ^ mix(keys))
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    """36-bit numbers in five bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _post(model, count: int):
     def run(table: pa.Table) -> pa.Table:
         rarity, load, bounds, cell = model.value
@@ -207,7 +228,7 @@ def _post(model, count: int):
 
 
 def _candidates(bounds: Filter):
-    """Of each block's postings, the sets that pass the filters with any other set."""
+    """Of each block's postings, those that pass the filters with any other set's."""
 
     def run(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, _POSTING) for x in table.column("postings").to_pylist()]
@@ -231,14 +252,15 @@ def _candidates(bounds: Filter):
             go = bounds.bitmaps(maps[i], maps[j], size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j])
             hit[i[go]] = hit[j[go]] = True
         names = table.column("block").to_pylist()
-        found = {b: np.unique(sets[hit & (own == b)]) for b in np.unique(own[hit])}
+        met = _meeting(sets, key)
+        found = {b: np.unique(met[hit & (own == b)]) for b in np.unique(own[hit])}
         return pa.table({"block": pa.array([names[b] for b in found], pa.int32()), "sets": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
     return run
 
 
 def _post_whole(model, count: int):
-    """The candidates' postings once more, with order and all words."""
+    """The postings that passed once more, with order and all words."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         rarity, load, bounds, cell = model.value
@@ -252,14 +274,15 @@ def _post_whole(model, count: int):
         done = np.zeros(0, np.uint64)
         for a, lines, tokens, first, ids in parts:
             new, at = np.unique(ids, return_index=True)
-            go = np.isin(new, want) & ~np.isin(new, done)
-            done = np.union1d(done, new[go])
             chosen = np.zeros(len(ids), bool)
-            chosen[at[go]] = True
+            chosen[at[~np.isin(new, done)]] = True
+            done = np.union1d(done, new)
             line, place, word = _prefixes(tokens, first, chosen, bounds)
             index, key = _cells(word, ids[line], load, cell)
             line, place = line[index], place[index]
-            post = np.zeros(len(index), _FULL)
+            asked_for = np.isin(_meeting(ids[line], key), want)
+            line, place, key = line[asked_for], place[asked_for], key[asked_for]
+            post = np.zeros(len(line), _FULL)
             whole = lines.filled[line]
             post["key"], post["set"], post["size"], post["at"] = key, ids[line], np.diff(first)[line], place
             post["doc"], post["line"] = docs[a + lines.owner[whole]], lines.number[whole]
@@ -271,7 +294,7 @@ def _post_whole(model, count: int):
                 rows[p][0].append(post[own])
                 rows[p][1].append(tokens[at])
         full = [p for p, (x, _) in rows.items() if x]
-        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), **{c: pa.array([np.concatenate(rows[p][k]).tobytes() for p in full], pa.binary()) for k, c in enumerate(("postings", "tokens"))}}, empty.schema)
+        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "postings": pa.array([np.concatenate(rows[p][0]).tobytes() for p in full], pa.binary()), "tokens": pa.array([_short(np.concatenate(rows[p][1])) for p in full], pa.binary())}, empty.schema)
 
     return run
 
@@ -296,7 +319,7 @@ def _verified(bounds: Filter, count: int):
 
     def run(table: pa.Table) -> pa.Table:
         post = np.concatenate([np.frombuffer(x, _FULL) for x in table.column("postings").to_pylist()])
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
+        tokens = np.concatenate([_long(x) for x in table.column("tokens").to_pylist()])
         start = np.concatenate([[0], np.cumsum(post["size"].astype(np.int64))])
         order = np.lexsort((post["line"], post["doc"], post["key"]))
         pair = np.stack([post["key"][order], post["set"][order]], axis=1)
@@ -374,24 +397,26 @@ def _cut(count: int):
             n_lines.append(lines.counts)
             n_removed.append(np.bincount(lines.owner[flags], minlength=len(lines.counts)))
         whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        return pa.table({"doc_id": table.column("doc_id").take(pa.array(order)).combine_chunks(), "n_lines": whole(n_lines), "n_removed": whole(n_removed), "text": string_column(kept)})
+        own = {c: table.column(c).take(pa.array(order)) for c in ("doc_id", "rest") if c in table.column_names}
+        return pa.table({"doc_id": own.pop("doc_id"), "n_lines": whole(n_lines), "n_removed": whole(n_removed), "text": string_column(kept), **own})
 
     return run
 
 
-def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int = CELL, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Removes every line whose word set has a Jaccard similarity of ``threshold`` or more with an earlier line.
 
     Lines are cut at ``\\n``; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Earlier means a smaller doc_id, or the same
     document and an earlier line; lines are judged on the input, not on what is left. Lines without words stay.
     Returns doc_id, n_lines, n_removed and text (the lines that stay, joined by newlines), a row for each input row.
     Null text is empty. Rows of equal doc_id are judged in the order of their texts; null doc_ids come last. Other
-    columns are not read. Sets are told apart by 64-bit hashes, words within a pair of lines by 36 bits.
+    columns are not read, but with ``carry`` go along as ``blocks.texts`` says. Sets are told apart by 64-bit hashes, words within a pair of lines by 36 bits.
     """
-    docs = blocks.texts(docs, id_col, text_col)
+    whole_rows = blocks.texts(docs, id_col, text_col, carry)
+    docs = whole_rows.select("doc_id", "text")
     _, size = blocks.volume(docs)
     bounds = Filter(Fraction(threshold))
-    count = blocks.partition_count(size // 40)
+    count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
     words = _counted(docs, lambda lines: _slot(lines.hashes))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
@@ -412,7 +437,11 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     similar = whole.groupBy("part").applyInArrow(_verified(bounds, count), "part int, sets binary")
     lists = grouped.applyInArrow(_send_sets(count), "part int, block int, keys binary, docs binary")
     answers = lists.groupBy("part").cogroup(similar.groupBy("part")).applyInArrow(_judge, "block int, part int, gone binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut(count), "doc_id long, n_lines long, n_removed long, text string")
+    result = "doc_id long, n_lines long, n_removed long, text string"
+    if carry:
+        grouped = blocks.with_block(whole_rows, blocks.block_count(size)).groupBy("block")
+        result += f", rest {blocks.sql_type(whole_rows, 'rest')}"
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut(count), result)
 
 
 def digest(docs: DataFrame) -> DataFrame:

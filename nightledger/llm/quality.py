@@ -71,12 +71,13 @@ def _measure(model):
             text = batch.column("text").cast(pa.binary())
             found = [(*of(raw), len(raw)) for raw in text.to_pylist()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "difference", "compressed", "n_bytes"])
+            own = {c: batch.column(c) for c in (("doc_id", "text", "rest") if "rest" in batch.schema.names else ("doc_id",))}
+            yield pa.RecordBatch.from_arrays([*own.values(), *columns], [*own, "difference", "compressed", "n_bytes"])
 
     return run
 
 
-MEASURED = "doc_id long, difference double, compressed long, n_bytes long"
+MEASURED = "difference double, compressed long, n_bytes long"
 
 
 def inputs(difference, compressed, n_bytes) -> list:
@@ -97,17 +98,18 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
     """doc_id, score (probability that quality is 1) and predicted (1 if score >= 0.5, else 0) of every row of ``docs``.
 
     Learns from the rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod 3 is not 1, quality 0 or 1 (others and
     nulls are left out), one of each repeated doc_id. Of each class the ``2 * sample_rows`` smallest hashes of doc_id are used:
     half build the dictionary, half fit the curve, weighted to the class shares of all learning rows.
     Only text is an input of the score. Null and empty texts get the score of no difference; rows repeat as they come.
-    With labels of one class, or none, every text gets that class's share, smoothed.
+    With ``carry`` the rows keep text and rest, see ``blocks.texts``. With labels of one class, or none, every text gets that class's share, smoothed.
     """
     spark = docs.sparkSession
-    docs = blocks.texts(docs)
+    whole_rows = blocks.texts(docs, carry=carry)
+    docs = whole_rows.select("doc_id", "text")
     known = labels.where(learns()).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.withColumn("h", F.xxhash64("doc_id", F.lit(17)))
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -126,7 +128,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         model = tuple(_dictionary([p.encode() for r in rows if r["quality"] == q for p in r["parts"]]) for q in (1, 0))
         known_model = spark.sparkContext.broadcast(model)
         fitted = docs.join(sample.where("not builds"), "doc_id")
-        measured = fitted.select("doc_id", "text").mapInArrow(_measure(known_model), MEASURED).join(sample, "doc_id")
+        measured = fitted.select("doc_id", "text").mapInArrow(_measure(known_model), f"doc_id long, {MEASURED}").join(sample, "doc_id")
         measured = measured.select("doc_id", "quality", F.array(*inputs(*map(F.col, ("difference", "compressed", "n_bytes")))).alias("x")).collect()
         measured.sort(key=lambda r: (r["doc_id"], r["x"]))
         y = np.array([r["quality"] for r in measured], float)
@@ -135,10 +137,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             weight = np.where(y == 1, shares[1] / total / n[1], shares[0] / total / n[0]) * len(y)
             beta = _fit(np.array([r["x"] for r in measured]), y, weight)
     final = spark.sparkContext.broadcast(model)
-    found = docs.mapInArrow(_measure(final), MEASURED)
+    extra = f"text string, rest {blocks.sql_type(whole_rows, 'rest')}, " if carry else ""
+    found = whole_rows.mapInArrow(_measure(final), f"doc_id long, {extra}{MEASURED}")
     odds = sum((w * x for w, x in zip(beta.tolist(), inputs(*map(F.col, ("difference", "compressed", "n_bytes"))))), F.lit(0.0))
     scored = found.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference", *(("text", "rest") if carry else ()))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
