@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity over the whole corpus, so that two lines of a Jaccard similarity
-of ``threshold`` share a word within their short prefixes. Postings of prefix words meet by word; length, position and bitmap
+of ``threshold`` share a word within their short prefixes. Postings of prefix words meet by word; length, position and sketch
 filters leave few pairs, whose lines are then sent again with all their words and verified. A line goes if an earlier
 line of the input is similar to it; of equal sets the first line stands for all, so copies cost nothing.
 """
@@ -23,9 +23,11 @@ from .words import CHUNK, Words, chunks, mix, string_column, texts_of
 SLOT_BITS = 20  # of the tables that count words and prefix words; shared slots only make the order less sharp
 CELL = 4096  # postings of one prefix word that are compared in one place; more are dealt into pairs of blocks
 _HASH = np.uint64((1 << 36) - 1)  # words are told apart by 36 bits inside a pair of lines
+SKETCH = 96  # bits of a set's odd sketch
 _SEGMENT = 1 << 15
-_POSTING = np.dtype([("key", "<u8"), ("set", "<u8"), ("map", "<u8"), ("size", "<i4"), ("at", "<i4")])
-_FULL = np.dtype([("key", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
+_POSTING = np.dtype([("key", "<u4"), ("set0", "<u4"), ("set1", "<u2"), ("odd0", "<u8"), ("odd1", "<u4")])  # packed: most of what is sent
+_SETS = np.uint64((1 << 48) - 1)  # postings tell sets apart by 48 bits, keys within a partition by 32
+_FULL = np.dtype([("key", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("ref", "<i4")])
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -98,6 +100,10 @@ class Filter:
         length = size + (-self.num * size) // self.den + 1
         return np.where(size * (self.den - self.num) >= self.num, length, 0)
 
+    def shorter(self, size: np.ndarray) -> np.ndarray:
+        """Of that prefix, the part in which the shorter of two similar sets has a word of the longer's prefix."""
+        return size + (-2 * self.num * size) // (self.num + self.den) + 1
+
     def enough(self, overlap, a, b):
         return (self.num + self.den) * overlap >= self.num * (a + b)
 
@@ -107,8 +113,9 @@ class Filter:
     def positions(self, size_a, at_a, size_b, at_b):
         return self.enough(np.minimum(size_a - at_a, size_b - at_b), size_a, size_b)
 
-    def bitmaps(self, map_a, map_b, a, b):
-        return np.bitwise_count(map_a ^ map_b).astype(np.int64) * (self.num + self.den) <= (self.den - self.num) * (a + b)
+    def sketches(self, differing_bits, a, b):
+        """A word of one line only flips one bit of the sketch, so no more bits differ than words do."""
+        return differing_bits * (self.num + self.den) <= (self.den - self.num) * (a + b)
 
 
 def _prefixes(tokens: np.ndarray, first: np.ndarray, chosen: np.ndarray, bounds: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +195,8 @@ def _runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def _meeting(sets: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Names a posting by its set and key."""
-    return mix(sets ^ mix(keys))
+    """Names a posting by its set and key, of which the parts count that postings hold."""
+    return mix((sets & _SETS) ^ mix(keys & np.uint64(0xFFFFFFFF)))
 
 
 def _short(tokens: np.ndarray) -> bytes:
@@ -208,7 +215,7 @@ def _post(model, count: int):
         rarity, load, bounds, cell = model.value
         block = table.column("block")[0].as_py()
         _, _, parts = _block_lines(table, rarity)
-        out, seen = [np.zeros(0, _POSTING)], np.zeros(0, np.uint64)
+        out, shape, keys, seen = [np.zeros(0, _POSTING)], [np.zeros((0, 2), np.int32)], [np.zeros(0, np.uint64)], np.zeros(0, np.uint64)
         for _, _, tokens, first, ids in parts:
             new, at = np.unique(ids, return_index=True)
             fresh = np.zeros(len(ids), bool)
@@ -218,11 +225,21 @@ def _post(model, count: int):
             index, key = _cells(word, ids[line], load, cell)
             post = np.zeros(len(index), _POSTING)
             line = line[index]
-            maps = np.bitwise_or.reduceat(np.uint64(1) << (mix(tokens) >> np.uint64(58)), first[:-1]) if len(ids) else ids
-            post["key"], post["set"], post["map"], post["size"], post["at"] = key, ids[line], maps[line], np.diff(first)[line], place[index]
+            sets = ids[line]
+            post["key"], post["set0"], post["set1"] = key & np.uint64(0xFFFFFFFF), sets & np.uint64(0xFFFFFFFF), (sets >> np.uint64(32)) & np.uint64(0xFFFF)
+            if len(ids):
+                bit = (mix(tokens) >> np.uint64(32)) % np.uint64(SKETCH)
+                for name, low in (("odd0", 0), ("odd1", 64)):
+                    inside = (bit >= low) & (bit < low + 64)
+                    flips = np.where(inside, np.uint64(1) << ((bit - np.uint64(low)) & np.uint64(63)), np.uint64(0))
+                    post[name] = np.bitwise_xor.reduceat(flips, first[:-1])[line]
             out.append(post)
-        post = np.concatenate(out)
-        return _rows(blocks.partition_of(post["key"], count), count, block, postings=post)
+            shape.append(np.stack([np.diff(first)[line], place[index]], axis=1).astype(np.int32))
+            keys.append(key)
+        post, shape, keys = np.concatenate(out), np.concatenate(shape), np.concatenate(keys)
+        table = _rows(blocks.partition_of(keys, count), count, block, postings=post, shape=shape)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return table.set_column(3, "shape", pa.array([pack(x) for x in table.column("shape").to_pylist()], pa.binary()))
 
     return run
 
@@ -234,6 +251,7 @@ def _candidates(bounds: Filter):
         lists = [np.frombuffer(x, _POSTING) for x in table.column("postings").to_pylist()]
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         post = np.concatenate(lists)
+        shape = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int32).reshape(-1, 2) for x in table.column("shape").to_pylist()])
         order = np.argsort(post["key"])
         key = post["key"][order]
         alone = np.ones(len(key), bool)
@@ -241,15 +259,18 @@ def _candidates(bounds: Filter):
         alone[1:] &= ~same
         alone[:-1] &= ~same
         order = order[~alone]
-        own, size, at, maps, sets, key = owner[order], *(np.ascontiguousarray(post[c][order]) for c in ("size", "at", "map", "set", "key"))
-        size, at = size.astype(np.int64), at.astype(np.int64)
+        own, odd0, odd1 = owner[order], np.ascontiguousarray(post["odd0"][order]), np.ascontiguousarray(post["odd1"][order])
+        sets = post["set0"][order].astype(np.uint64) | post["set1"][order].astype(np.uint64) << np.uint64(32)
+        key, size, at = post["key"][order].astype(np.uint64), shape[order, 0].astype(np.int64), shape[order, 1].astype(np.int64)
+        short = at < bounds.shorter(size)
         hit = np.zeros(len(order), bool)
         for i, step in _runs(key):
             j = i + step
             go = ~(hit[i] & hit[j]) & (sets[i] != sets[j]) & bounds.lengths(size[i], size[j])
             i = i[go]
             j = i + step
-            go = bounds.bitmaps(maps[i], maps[j], size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j])
+            bits = np.bitwise_count(odd0[i] ^ odd0[j]).astype(np.int64) + np.bitwise_count(odd1[i] ^ odd1[j])
+            go = bounds.sketches(bits, size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j]) & np.where((size[i] < size[j]) | ((size[i] == size[j]) & (sets[i] < sets[j])), short[i], short[j])
             hit[i[go]] = hit[j[go]] = True
         names = table.column("block").to_pylist()
         met = _meeting(sets, key)
@@ -264,13 +285,13 @@ def _post_whole(model, count: int):
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         rarity, load, bounds, cell = model.value
-        empty = pa.table({c: pa.array([], t) for c, t in (("part", pa.int32()), ("block", pa.int32()), ("postings", pa.binary()), ("tokens", pa.binary()))})
+        empty = pa.table({c: pa.array([], t) for c, t in (("part", pa.int32()), ("block", pa.int32()), ("postings", pa.binary()), ("tokens", pa.binary()), ("sizes", pa.binary()))})
         if not asked.num_rows or not table.num_rows:
             return empty
         want = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("sets").to_pylist()]))
         block = table.column("block")[0].as_py()
         docs, _, parts = _block_lines(table, rarity)
-        rows = {p: ([], []) for p in range(count)}
+        rows = {p: ([], [], []) for p in range(count)}
         done = np.zeros(0, np.uint64)
         for a, lines, tokens, first, ids in parts:
             new, at = np.unique(ids, return_index=True)
@@ -289,12 +310,14 @@ def _post_whole(model, count: int):
             order, edges = blocks.slices(blocks.partition_of(key, count), count)
             for p in np.flatnonzero(np.diff(edges)):
                 own = order[edges[p] : edges[p + 1]]
-                size = post["size"][own].astype(np.int64)
-                at = np.repeat(first[line[own]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                each, ref = np.unique(line[own], return_inverse=True)  # a line's words are sent to a partition once
+                post["ref"][own] = ref + sum(map(len, rows[p][2]))
+                size = np.diff(first)[each]
                 rows[p][0].append(post[own])
-                rows[p][1].append(tokens[at])
-        full = [p for p, (x, _) in rows.items() if x]
-        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "postings": pa.array([np.concatenate(rows[p][0]).tobytes() for p in full], pa.binary()), "tokens": pa.array([_short(np.concatenate(rows[p][1])) for p in full], pa.binary())}, empty.schema)
+                rows[p][1].append(tokens[np.repeat(first[each] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+                rows[p][2].append(size.astype(np.int32))
+        full = [p for p, (x, *_) in rows.items() if x]
+        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "postings": pa.array([np.concatenate(rows[p][0]).tobytes() for p in full], pa.binary()), "tokens": pa.array([_short(np.concatenate(rows[p][1])) for p in full], pa.binary()), "sizes": pa.array([np.concatenate(rows[p][2]).tobytes() for p in full], pa.binary())}, empty.schema)
 
     return run
 
@@ -320,7 +343,10 @@ def _verified(bounds: Filter, count: int):
     def run(table: pa.Table) -> pa.Table:
         post = np.concatenate([np.frombuffer(x, _FULL) for x in table.column("postings").to_pylist()])
         tokens = np.concatenate([_long(x) for x in table.column("tokens").to_pylist()])
-        start = np.concatenate([[0], np.cumsum(post["size"].astype(np.int64))])
+        sizes = [np.frombuffer(x, np.int32) for x in table.column("sizes").to_pylist()]
+        n = [len(x) // _FULL.itemsize for x in table.column("postings").to_pylist()]
+        which = post["ref"] + np.repeat(np.cumsum([0, *map(len, sizes)])[:-1], n)
+        start = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64))])[which]
         order = np.lexsort((post["line"], post["doc"], post["key"]))
         pair = np.stack([post["key"][order], post["set"][order]], axis=1)
         _, earliest = np.unique(pair.view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True)
@@ -417,6 +443,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     _, size = blocks.volume(docs)
     bounds = Filter(Fraction(threshold))
     count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
+    fewer = max(1, count // 8)  # what is sent again is little, and lines are sent whole to each partition
     words = _counted(docs, lambda lines: _slot(lines.hashes))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
@@ -431,9 +458,9 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     model = docs.sparkSession.sparkContext.broadcast((rarity, load.astype(np.uint32), bounds, cell))
     dealt = blocks.with_block(docs, blocks.block_count(size))
     grouped = dealt.groupBy("block")
-    postings = grouped.applyInArrow(_post(model, count), "part int, block int, postings binary")
+    postings = grouped.applyInArrow(_post(model, count), "part int, block int, postings binary, shape binary")
     asked = postings.groupBy("part").applyInArrow(_candidates(bounds), "block int, sets binary")
-    whole = grouped.cogroup(asked.groupBy("block")).applyInArrow(_post_whole(model, count), "part int, block int, postings binary, tokens binary")
+    whole = grouped.cogroup(asked.groupBy("block")).applyInArrow(_post_whole(model, fewer), "part int, block int, postings binary, tokens binary, sizes binary")
     similar = whole.groupBy("part").applyInArrow(_verified(bounds, count), "part int, sets binary")
     lists = grouped.applyInArrow(_send_sets(count), "part int, block int, keys binary, docs binary")
     answers = lists.groupBy("part").cogroup(similar.groupBy("part")).applyInArrow(_judge, "block int, part int, gone binary")
