@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from . import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 1 << 20
-CACHED_WORDS = 300_000  # of a task, before it starts anew
+CACHED_WORDS = 400_000  # of a worker, before it starts anew
 THREADS = 2  # of a task
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -161,22 +162,17 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.size = [np.zeros(0, np.int32)], 0
-        self.at, self.length, self.faithful = [], [], []
+        self.ids, self.at, self.length, self.faithful = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            ids = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
-            back = self.words.decode_batch(ids, skip_special_tokens=False)
-            flat = np.array([i for own in ids for i in own], np.int32)
-            for word, own, text in zip(part, ids, back):
-                self.known[word] = len(self.at)
-                self.at.append(self.size)
-                self.length.append(len(own))
-                self.faithful.append(text == word.replace(MARK, " "))
-                self.size += len(own)
-            self.ids.append(flat)
+        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        back = self.words.decode_batch(ids, skip_special_tokens=False)
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.faithful = np.concatenate([self.faithful, np.fromiter((b == w.replace(MARK, " ") for b, w in zip(back, words)), bool, len(words))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
         """(ids of all texts, ids of each text, decoded texts, whether each is its normalised text)."""
@@ -188,16 +184,18 @@ class Codec:
             self.forget()
         lead = MARK if self.model.dummy_prefix else ""
         cut = [_WORD.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        self._learn([w for w in dict.fromkeys(w for own in cut for w in own) if w not in self.known])
-        place = np.fromiter((self.known[w] for own in cut for w in own), np.int64, sum(map(len, cut)))
-        self.ids = [np.concatenate(self.ids)]
-        length = np.array(self.length, np.int64)[place]
-        first = np.concatenate([[0], np.cumsum([len(own) for own in cut])])
+        new = [w for w in set(chain.from_iterable(cut)) if w not in self.known]
+        if new:
+            self._learn(new)
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        first = np.concatenate([[0], np.cumsum(n)])
+        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(first[-1]))
+        length = self.length[place]
         ends = np.cumsum(length)
-        flat = self.ids[0][np.repeat(np.array(self.at, np.int64)[place] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.ids[np.repeat(self.at[place] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])
         sizes = total[first[1:]] - total[first[:-1]]
-        bad = np.concatenate([[0], np.cumsum(~np.array(self.faithful, bool)[place])])
+        bad = np.concatenate([[0], np.cumsum(~self.faithful[place])])
         back, same, done = [], (bad[first[1:]] == bad[first[:-1]]), 0
         for text, n, fine in zip(texts, sizes.tolist(), same.tolist()):
             back.append(normalised(self.model, text) if fine else self.whole.decode(flat[done : done + n].tolist(), skip_special_tokens=False))
@@ -205,11 +203,22 @@ class Codec:
         return flat, sizes, back, [f or b == normalised(self.model, t) for f, b, t in zip(same.tolist(), back, texts)]
 
 
+_CODECS: dict[bytes, Codec] = {}
+
+
+def _of_worker(data: bytes) -> Codec:
+    """The codec of this Python worker, which serves many tasks."""
+    if data not in _CODECS:
+        _CODECS.clear()
+        _CODECS[data] = Codec(data)
+    return _CODECS[data]
+
+
 def _codec(model, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads != 1 else "false"
-        codec = Codec(model.value)
+        codec = _of_worker(model.value)
         for batch in batches:
             at, column = 0, batch.column("text")
             size = np.cumsum([0, *pc.binary_length(column).to_pylist()])
