@@ -70,6 +70,7 @@ def sql(query: str) -> str:
         select = ", ".join(f'{e} AS "{c}"' for c, e in columns.items())
         parts.append(f"{name} AS (SELECT {select} FROM {table}{f' WHERE {where}' if where else ''})")
     body = re.sub(r"\{(\w+)\}", r"\1", query).strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(parts)}, {body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{', '.join(parts)}, {body[len(head) :]}"
     return f"WITH {', '.join(parts)} {body}"

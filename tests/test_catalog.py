@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from nightledger.plans import catalog
+from nightledger.plans import catalog, scalars  # noqa: F401
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
