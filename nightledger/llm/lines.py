@@ -443,7 +443,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     _, size = blocks.volume(docs)
     bounds = Filter(Fraction(threshold))
     count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
-    fewer = max(1, count // 8)  # what is sent again is little, and lines are sent whole to each partition
+    fewer = max(1, count // 32)  # what is sent again is little, and lines are sent whole to each partition
     words = _counted(docs, lambda lines: _slot(lines.hashes))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
