@@ -86,3 +86,21 @@ def field_of_view(scale: Column, pixels: Column) -> Column:
 def aitoff_longitude(ra_deg: Column) -> Column:
     """Radians from -pi to pi, growing to the left as on a sky map."""
     return -F.radians(F.when(ra_deg > 180, ra_deg - 360).otherwise(ra_deg))
+
+
+def dark_samples(dates, column: str, latitude: float, longitude: float, limit: float = -18.0):
+    """For each date of ``dates``, how many of 144 ten-minute samples from 0:00 UTC have the sun below ``limit`` degrees.
+
+    The sun's place is that of the low-precision almanac formula, good to a hundredth of a degree.
+    """
+    samples = dates.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(143))))
+    n = F.datediff(F.col(column), F.lit("2000-01-01").cast("date")) + F.col("_k") / 144.0
+    mean, anomaly = F.radians(280.460 + 0.9856474 * n), F.radians(357.528 + 0.9856003 * n)
+    ecliptic = mean + F.radians(1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly))
+    tilt = F.radians(F.lit(23.439))
+    declination = F.asin(F.sin(tilt) * F.sin(ecliptic))
+    ascension = F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic))
+    sidereal = F.radians(280.46061837 + 360.98564736629 * n + longitude)
+    place = F.radians(F.lit(latitude))
+    altitude = F.degrees(F.asin(F.sin(place) * F.sin(declination) + F.cos(place) * F.cos(declination) * F.cos(sidereal - ascension)))
+    return samples.groupBy(column).agg(F.count(F.when(altitude < limit, 1)).alias("dark_samples"))

@@ -42,6 +42,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "files": ("documents", {"path": "source || '/LIGHT/' || lang || '/' || CAST(doc_id AS STRING) || CASE doc_id % 4 WHEN 0 THEN '.fits' WHEN 1 THEN '.xisf' WHEN 2 THEN '.fits.fz' ELSE '.txt' END", "file_id": "doc_id", "length": "n_chars", "content": "text", "source": "source"}, ""),
     "tags": ("nation", {"tag_id": "n_nationkey", "tag": "n_name", "color": "n_regionkey"}, ""),
     "target_tags": ("part", {"target_id": "p_partkey", "tag_id": "CAST(p_size % 25 AS INT)"}, ""),
+    "pixels": ("(SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding) AS value FROM embeddings)", {"image_id": "vec_id", "x": "CAST(pos % 8 AS INT)", "y": "CAST(floor(pos / 8) AS INT)", "value": "CAST(value AS DOUBLE)"}, ""),
     "equipment": ("supplier", {"telescope": "'T' || CAST(s_suppkey AS STRING)", "focal_length": "200 + 10 * s_nationkey", "pixel_size": "3.76 + s_nationkey / 10", "brand": "s_nationkey"}, ""),
 }
 
@@ -56,7 +57,10 @@ class Views:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         table, columns, where = VIEWS[name]
-        rows = self._spark.read.parquet(f"{self._dir}/{table}.parquet")
+        if name == "pixels":  # DuckDB and Spark unnest arrays in different words
+            rows = self._spark.read.parquet(f"{self._dir}/embeddings.parquet").selectExpr("vec_id", "posexplode(embedding) AS (pos, value)")
+        else:
+            rows = self._spark.read.parquet(f"{self._dir}/{table}.parquet")
         rows = rows.where(where) if where else rows
         return rows.selectExpr(*(f"{e} AS `{c}`" for c, e in columns.items()))
 
