@@ -60,7 +60,7 @@ def read_aliased_csv(spark: SparkSession, root: str, pattern: str, headers: dict
     Each file's own first line names its columns, so files of different layouts are read together; of two headers for one
     column the first counts. Blank lines are skipped, quoted fields may hold commas.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("source_path"), F.split("value", "\r?\n").alias("lines"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.split("value", "\r?\n").alias("lines"))
     columns = F.create_map(*(x for name, known in headers.items() for k in known for x in (F.lit(k), F.lit(name))))
     schema = ", ".join(f"c{k} string" for k in range(64))
     fields = lambda c: F.from_csv(c, F.lit(schema), {"mode": "PERMISSIVE"})

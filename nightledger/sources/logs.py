@@ -10,7 +10,7 @@ from ..functions.text import sexagesimal_to_degrees
 
 def _lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(source_path, line_no, line) of text files, in the order of the file."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
@@ -37,7 +37,7 @@ def read_mount_dti(spark: SparkSession, root: str) -> DataFrame:
 
 def read_processing_log(spark: SparkSession, root: str, product: str, pattern: str = "*.log") -> DataFrame:
     """(source_path, line_no, logged_at, line) of the logs that name ``product`` in their first 1,024 characters; the ``[time]`` prefix is taken off."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     kept = whole.where(F.substring("value", 1, 1024).contains(product)).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     stamp = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] ?"
     return kept.select("source_path", "line_no", F.try_to_timestamp(F.regexp_extract("line", stamp, 1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("logged_at"), F.regexp_replace("line", stamp, "").alias("line"))
