@@ -25,7 +25,7 @@ from . import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 1 << 20
-CACHED_WORDS = 800_000  # of a worker, before it starts anew
+CACHED_WORDS = 150_000  # of a worker, before it starts anew
 THREADS = 2  # of a task
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
