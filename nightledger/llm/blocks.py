@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+ROW_BYTES = 64  # what a row weighs beside its text, where rows of one doc_id are counted
 KEYS_A_PARTITION = 2 << 20
 
 
@@ -52,9 +53,32 @@ def partition_count(keys: int) -> int:
     return max(1, -(-keys // KEYS_A_PARTITION))
 
 
-def with_block(docs: DataFrame, count: int) -> DataFrame:
-    """Rows with the same doc_id come to the same block."""
-    return docs.select(block_of(F.col("doc_id"), count).alias("block"), *docs.columns)
+def crowded(docs: DataFrame, count: int) -> list[tuple[int | None, int, int]]:
+    """(doc_id, first block, blocks) of the doc_ids, null too, whose rows are more than a block; their blocks follow the ``count`` others.
+
+    There is at most one for each block's bytes of the corpus.
+    """
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text") + ROW_BYTES).alias("b")).where(F.col("b") > BLOCK_BYTES).collect()
+    out, at = [], count
+    for doc_id, size in sorted(sizes, key=lambda r: (r[0] is None, r[0] or 0)):
+        out.append((doc_id, at, block_count(size)))
+        at += block_count(size)
+    return out
+
+
+def with_block(docs: DataFrame, count: int, spread: list[tuple[int | None, int, int]] | None = None) -> DataFrame:
+    """Rows with the same doc_id come to the same block, but those of ``crowded`` ones to several, by ranges of the text's hash.
+
+    Rows of one doc_id are thus in the order of (block, text). Rows of one doc_id and one text are always together.
+    """
+    spread = crowded(docs, count) if spread is None else spread
+    plain = block_of(F.col("doc_id"), count)
+    if not spread:
+        return docs.select(plain.alias("block"), *docs.columns)
+    table = F.broadcast(docs.sparkSession.createDataFrame(spread, "_id long, _at int, _parts int"))
+    place = F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("text"), 33) * F.col("_parts"), 31)
+    joined = docs.join(table, docs["doc_id"].eqNullSafe(table["_id"]), "left")
+    return joined.select(F.coalesce(F.col("_at") + place, plain).cast("int").alias("block"), *docs.columns)
 
 
 def block_of(doc_id: Column, count: int) -> Column:

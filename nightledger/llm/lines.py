@@ -35,7 +35,7 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The lines of some texts; ``owner`` and ``number`` are each line's text and place in it, ``filled`` those with words."""
+    """The lines of some texts; ``owner`` is each line's text, ``filled`` those with words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.words = Words(data, offsets, lower=True)
@@ -45,7 +45,6 @@ class Lines:
         self.counts = np.diff(before) + 1
         base = np.concatenate([[0], np.cumsum(self.counts)])
         self.owner = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self.number = np.arange(base[-1]) - np.repeat(base[:-1], self.counts)
         text = self.words.text()
         of = (base[:-1] - before[:-1])[text] + np.cumsum(data == 10, dtype=np.int32)[self.words.start]
         new = np.ones(len(of), bool)
@@ -292,7 +291,7 @@ def _post_whole(model, count: int):
         block = table.column("block")[0].as_py()
         docs, _, parts = _block_lines(table, rarity)
         rows = {p: ([], [], []) for p in range(count)}
-        done = np.zeros(0, np.uint64)
+        done, above = np.zeros(0, np.uint64), 0
         for a, lines, tokens, first, ids in parts:
             new, at = np.unique(ids, return_index=True)
             chosen = np.zeros(len(ids), bool)
@@ -306,7 +305,8 @@ def _post_whole(model, count: int):
             post = np.zeros(len(line), _FULL)
             whole = lines.filled[line]
             post["key"], post["set"], post["size"], post["at"] = key, ids[line], np.diff(first)[line], place
-            post["doc"], post["line"] = docs[a + lines.owner[whole]], lines.number[whole]
+            post["doc"], post["line"] = docs[a + lines.owner[whole]], above + whole  # rows of one doc_id follow one another
+            above += len(lines.owner)
             order, edges = blocks.slices(blocks.partition_of(key, count), count)
             for p in np.flatnonzero(np.diff(edges)):
                 own = order[edges[p] : edges[p + 1]]
@@ -347,7 +347,8 @@ def _verified(bounds: Filter, count: int):
         n = [len(x) // _FULL.itemsize for x in table.column("postings").to_pylist()]
         which = post["ref"] + np.repeat(np.cumsum([0, *map(len, sizes)])[:-1], n)
         start = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64))])[which]
-        order = np.lexsort((post["line"], post["doc"], post["key"]))
+        block = np.repeat(table.column("block").to_numpy(), n)
+        order = np.lexsort((post["line"], block, post["doc"], post["key"]))
         pair = np.stack([post["key"][order], post["set"][order]], axis=1)
         _, earliest = np.unique(pair.view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True)
         order = order[np.sort(earliest)]
@@ -384,14 +385,15 @@ def _send_sets(count: int):
 
 
 def _judge(lists: pa.Table, similar: pa.Table) -> pa.Table:
-    """Of each block's sets, which another block holds in an earlier document or which have an earlier similar set."""
+    """Of each block's sets, which another block holds in an earlier document, or in an earlier block of it, or which have an earlier similar set."""
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("gone", pa.binary())])
     if not lists.num_rows:
         return pa.table({c: [] for c in schema.names}, schema)
     each = [np.frombuffer(x, np.uint64) for x in lists.column("keys").to_pylist()]
     keys, doc = np.concatenate(each), np.concatenate([np.frombuffer(x, np.int64) for x in lists.column("docs").to_pylist()])
     bad = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in similar.column("sets").to_pylist())])
-    order = np.lexsort((doc, keys))
+    block = np.repeat(lists.column("block").to_numpy(), [len(x) for x in each])
+    order = np.lexsort((block, doc, keys))
     later = np.zeros(len(keys), bool)
     later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
     gone = later | np.isin(keys, bad)
@@ -435,7 +437,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     Lines are cut at ``\\n``; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Earlier means a smaller doc_id, or the same
     document and an earlier line; lines are judged on the input, not on what is left. Lines without words stay.
     Returns doc_id, n_lines, n_removed and text (the lines that stay, joined by newlines), a row for each input row.
-    Null text is empty. Rows of equal doc_id are judged in the order of their texts; null doc_ids come last. Other
+    Null text is empty. Rows of equal doc_id are judged in the order of their texts (of their blocks first, see ``blocks.with_block``); null doc_ids come last. Other
     columns are not read, but with ``carry`` go along as ``blocks.texts`` says. Sets are told apart by 64-bit hashes, words within a pair of lines by 36 bits.
     """
     whole_rows = blocks.texts(docs, id_col, text_col, carry)
@@ -456,7 +458,8 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
 
     load = _counted(docs, prefix_slots)
     model = docs.sparkSession.sparkContext.broadcast((rarity, load.astype(np.uint32), bounds, cell))
-    dealt = blocks.with_block(docs, blocks.block_count(size))
+    spread = blocks.crowded(docs, blocks.block_count(size))
+    dealt = blocks.with_block(docs, blocks.block_count(size), spread)
     grouped = dealt.groupBy("block")
     postings = grouped.applyInArrow(_post(model, count), "part int, block int, postings binary, shape binary")
     asked = postings.groupBy("part").applyInArrow(_candidates(bounds), "block int, sets binary")
@@ -466,7 +469,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     answers = lists.groupBy("part").cogroup(similar.groupBy("part")).applyInArrow(_judge, "block int, part int, gone binary")
     result = "doc_id long, n_lines long, n_removed long, text string"
     if carry:
-        grouped = blocks.with_block(whole_rows, blocks.block_count(size)).groupBy("block")
+        grouped = blocks.with_block(whole_rows, blocks.block_count(size), spread).groupBy("block")
         result += f", rest {blocks.sql_type(whole_rows, 'rest')}"
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut(count), result)
 

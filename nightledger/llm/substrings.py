@@ -49,17 +49,18 @@ def _send(width: int, count: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of each list, which keys another block holds at a smaller doc_id. A doc_id is in one block only."""
+    """Of each list, which keys another block holds at a smaller doc_id, or in an earlier block of the same doc_id."""
     lists = table.to_pylist()
     keys = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in lists])
     doc = np.concatenate([np.repeat(np.frombuffer(x["ids"], np.int64), np.frombuffer(x["counts"], np.int32)) for x in lists])
+    block = np.repeat([x["block"] for x in lists], [len(x["keys"]) // 8 for x in lists])
     order = np.argsort(keys)
     ranked = keys[order]
     same = np.empty(len(keys) + 1, bool)
     same[0] = same[-1] = False
     same[1:-1] = ranked[1:] == ranked[:-1]
     shared = order[same[1:] | same[:-1]]
-    shared = shared[np.lexsort((doc[shared], keys[shared]))]
+    shared = shared[np.lexsort((block[shared], doc[shared], keys[shared]))]
     later = np.zeros(len(keys), bool)
     later[shared[1:]] = keys[shared[1:]] == keys[shared[:-1]]
     out = {"block": [], "part": [], "repeated": []}
@@ -114,7 +115,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc
     Returns doc_id, n_words, n_removed and text (the kept words joined by one space), a row for each input row.
 
     Null text counts as empty; a text of fewer words than ``width`` keeps all of them. Rows of equal doc_id are
-    judged in the order of their texts, null doc_ids come last. Other columns are not read.
+    judged in the order of their texts (of their blocks first, see ``blocks.with_block``), null doc_ids come last. Other columns are not read.
     Window hashes have 64 bits: two different windows of n agree with a probability of about n*n / 2**65.
     """
     docs = blocks.texts(docs, id_col, text_col)
