@@ -51,24 +51,28 @@ class Lines:
         new[1:] = of[1:] != of[:-1]
         self.filled = of[new]
         self.of = np.cumsum(new) - 1  # the filled line of each word
-        self.hashes = self.words.hashes() & _HASH
+        self.whole = self.words.hashes()
+        self.hashes = self.whole & _HASH
 
-    def sets(self, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct words of the filled lines one after the other, first of each line), rarest first."""
-        out, sizes = [np.zeros(0, np.uint64)], np.zeros(len(self.filled), np.int64)
+    def sets(self, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words of the filled lines one after the other, first of each line), rarest first; and their 64-bit hashes."""
+        out, whole, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(len(self.filled), np.int64)
         for a in range(0, len(self.filled), 1 << 20):  # a line's number takes 20 bits of the sort key
             lo, hi = np.searchsorted(self.of, [a, a + (1 << 20)])
             key = ((self.of[lo:hi] - a).astype(np.uint64) << np.uint64(44)) | self.hashes[lo:hi]
             if rarity is not None:
                 key |= rarity[_slot(self.hashes[lo:hi])].astype(np.uint64) << np.uint64(36)
-            key.sort()
+            order = np.argsort(key)
+            key = key[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
+            if len(key):  # of two words of a line that agree in 36 bits the larger hash, in whatever order they came
+                whole.append(np.maximum.reduceat(self.whole[lo:hi][order], np.flatnonzero(new)))
             key = key[new]
             own = np.bincount((key >> np.uint64(44)).astype(np.intp))
             sizes[a : a + len(own)] = own
             out.append(key & _HASH)
-        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(whole)
 
     def kept(self, gone: np.ndarray) -> list[bytes]:
         """Each text without the lines marked in ``gone``."""
@@ -82,7 +86,7 @@ class Lines:
 
 
 def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set; every set has a token."""
+    """A 64-bit hash of each set from the 64-bit hashes of its words; every set has a token."""
     if len(first) < 2:
         return np.zeros(0, np.uint64)
     return mix(np.add.reduceat(mix(tokens), first[:-1]) + np.diff(first).astype(np.uint64))
@@ -177,8 +181,8 @@ def _block_lines(table: pa.Table, rarity: np.ndarray | None):
     parts = []
     for a, _, body, offs in chunks(data, offsets, CHUNK):
         lines = Lines(body, offs)
-        tokens, first = lines.sets(rarity)
-        parts.append((a, lines, tokens, first, set_ids(tokens, first)))
+        tokens, first, whole = lines.sets(rarity)
+        parts.append((a, lines, tokens, first, set_ids(whole, first)))
     return ids, order, parts
 
 
@@ -438,7 +442,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     document and an earlier line; lines are judged on the input, not on what is left. Lines without words stay.
     Returns doc_id, n_lines, n_removed and text (the lines that stay, joined by newlines), a row for each input row.
     Null text is empty. Rows of equal doc_id are judged in the order of their texts (of their blocks first, see ``blocks.with_block``); null doc_ids come last. Other
-    columns are not read, but with ``carry`` go along as ``blocks.texts`` says. Sets are told apart by 64-bit hashes, words within a pair of lines by 36 bits.
+    columns are not read, but with ``carry`` go along as ``blocks.texts`` says. Sets are told apart by 64-bit hashes of 64-bit word hashes, words within a pair of lines by 36 bits.
     """
     whole_rows = blocks.texts(docs, id_col, text_col, carry)
     docs = whole_rows.select("doc_id", "text")
@@ -450,8 +454,8 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
     def prefix_slots(lines: Lines) -> np.ndarray:
-        tokens, first = lines.sets(rarity)
-        _, at = np.unique(set_ids(tokens, first), return_index=True)
+        tokens, first, whole = lines.sets(rarity)
+        _, at = np.unique(set_ids(whole, first), return_index=True)
         chosen = np.zeros(len(first) - 1, bool)
         chosen[at] = True
         return _slot(_prefixes(tokens, first, chosen, bounds)[2])
