@@ -62,12 +62,13 @@ def read_aliased_csv(spark: SparkSession, root: str, pattern: str, headers: dict
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.split("value", "\r?\n").alias("lines"))
     columns = F.create_map(*(x for name, known in headers.items() for k in known for x in (F.lit(k), F.lit(name))))
-    schema = ", ".join(f"c{k} string" for k in range(64))
-    fields = lambda c: F.from_csv(c, F.lit(schema), {"mode": "PERMISSIVE"})
+    width = lines.agg(F.max(F.size(F.split(F.get("lines", F.lit(0)), ",")))).first()[0] or 1  # of the widest header: one number
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    fields = lambda c: F.from_csv(c, F.lit(schema), {"mode": "PERMISSIVE", "maxColumns": str(max(20_480, width))})
     parsed = lines.select("source_path", fields(F.get("lines", F.lit(0))).alias("head"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).where("trim(line) <> ''")
-    names = F.array(*(columns[_squeezed(F.col("head").getField(f"c{k}"))] for k in range(64)))
+    names = F.array(*(columns[_squeezed(F.col("head").getField(f"c{k}"))] for k in range(width)))
     row = parsed.select("source_path", names.alias("names"), fields(F.col("line")).alias("row"))
-    values = F.array(*(F.col("row").getField(f"c{k}") for k in range(64)))
+    values = F.array(*(F.col("row").getField(f"c{k}") for k in range(width)))
     pairs = F.filter(F.arrays_zip(F.col("names").alias("name"), values.alias("value")), lambda p: p["name"].isNotNull())
     first = lambda name: F.get(F.filter(pairs, lambda p: p["name"] == name), F.lit(0))["value"]
     return row.select("source_path", F.regexp_replace("source_path", r"/[^/]*$", "").alias("folder"), *(F.trim(first(name)).alias(name) for name in headers))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sexagesimal_to_degrees
@@ -70,10 +70,19 @@ def parse_light_filename(files: DataFrame, column: str) -> DataFrame:
 
 
 def read_fits_headers(spark: SparkSession, root: str, most: int = 28_800, pattern: str = "*.fits") -> DataFrame:
-    """(path, place, keyword, value) of the 80-character cards in the first ``most`` bytes, up to END."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", F.substring("content", 1, most).alias("head"))
-    last = F.greatest(F.floor(F.length("head") / 80).cast("int"), F.lit(1))
-    cards = files.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.decode(F.substring(F.col("head"), i * 80 + 1, F.lit(80)), "US-ASCII"))).alias("place", "card"))
+    """(path, place, keyword, value) of the 80-character cards up to END.
+
+    END is looked for in the first ``most`` bytes, and in the whole file where it is not among them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+
+    def split(head: Column) -> Column:
+        last = F.greatest(F.floor(F.length(head) / 80).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.decode(F.substring(head, i * 80 + 1, F.lit(80)), "ISO-8859-1"))
+
+    first = split(F.substring("content", 1, most))
+    ended = F.exists(first, lambda c: F.trim(c) == "END")
+    cards = files.select("path", F.posexplode(F.when(ended, first).otherwise(split(F.col("content")))).alias("place", "card"))
     ends = cards.where("trim(card) = 'END'").groupBy("path").agg(F.min("place").alias("end"))
     value = F.coalesce(F.nullif(F.regexp_extract("card", r"^.{8}= *'((?:[^']|'')*)'", 1), F.lit("")), F.trim(F.regexp_extract("card", r"^.{8}= *([^/']*)", 1)))
     return cards.join(ends, "path").where("place < end and substr(card, 9, 1) = '='").select("path", "place", F.trim(F.substring("card", 1, 8)).alias("keyword"), F.trim(value).alias("value"))
