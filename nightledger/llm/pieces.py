@@ -146,7 +146,7 @@ class Codec:
 
     A word is a run of marks with what follows up to the next mark. Where no piece holds a mark after another character
     (``apart``), a text's ids are those of its words one after the other, so the library encodes, and decodes again, each
-    new word once, whole batches of them by threads. Other models' texts are encoded as they are.
+    new word once, whole batches of them by threads; a text's decoded form is that of its words' ids one after the other. Other models' texts are encoded as they are.
     """
 
     def __init__(self, data: bytes):
@@ -162,16 +162,16 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.at, self.length, self.faithful = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.back: list[str] = []  # what each known word's ids decode to
+        self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        back = self.words.decode_batch(ids, skip_special_tokens=False)
+        self.back += self.words.decode_batch(ids, skip_special_tokens=False)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(words, range(len(self.at), len(self.at) + len(words))))
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.faithful = np.concatenate([self.faithful, np.fromiter((b == w.replace(MARK, " ") for b, w in zip(back, words)), bool, len(words))])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
@@ -195,12 +195,10 @@ class Codec:
         flat = self.ids[np.repeat(self.at[place] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])
         sizes = total[first[1:]] - total[first[:-1]]
-        bad = np.concatenate([[0], np.cumsum(~self.faithful[place])])
-        back, same, done = [], (bad[first[1:]] == bad[first[:-1]]), 0
-        for text, n, fine in zip(texts, sizes.tolist(), same.tolist()):
-            back.append(normalised(self.model, text) if fine else self.whole.decode(flat[done : done + n].tolist(), skip_special_tokens=False))
-            done += n
-        return flat, sizes, back, [f or b == normalised(self.model, t) for f, b, t in zip(same.tolist(), back, texts)]
+        words = list(map(self.back.__getitem__, place.tolist()))
+        skip = 1 if self.model.dummy_prefix else 0  # the prefix decodes to one space
+        back = ["".join(words[a:b])[skip:] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        return flat, sizes, back, [b == normalised(self.model, t) for b, t in zip(back, texts)]
 
 
 _CODECS: dict[bytes, Codec] = {}

@@ -8,35 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .words import Words, chunks, joined, string_column, texts_of, windows
+from .words import Words, chunks, mix, string_column, texts_of, windows
 
+_OTHER = np.uint64(0x3C79AC492BA7B653)
 _KEYS = "part int, block int, keys binary, ids binary, counts binary"
 _ANSWER = "block int, part int, repeated binary"
 
 
 def _block_windows(table: pa.Table, width: int):
-    """The block's windows in corpus order: hashes, windows of each document, the words of each chunk."""
+    """The block's windows in corpus order: hashes, second hashes, windows of each document, the words of each chunk.
+
+    The second hash deals windows to partitions, so two windows are confused only if they agree in it that far and in the whole first hash.
+    """
     order, ids = blocks.in_order(table)
     data, offsets = texts_of(table.column("text").take(pa.array(order)))
-    hashes, counts, parts = [], [], []
+    none = np.zeros(0, np.uint64)
+    hashes, others, counts, parts = [none], [none], [], []
     for _, _, body, offs in chunks(data, offsets):
         words = Words(body, offs)
-        h, at, n = windows(words.hashes(), words.first, width)
+        of_words = words.hashes()
+        h, at, n = windows(of_words, words.first, width)
         hashes.append(h)
+        others.append(windows(mix(of_words ^ _OTHER), words.first, width, 0x9FB21C651E98DF25)[0])
         counts.append(n)
         parts.append((words, at))
-    none = np.zeros(0, np.uint64)
-    hashes = np.concatenate([none, *hashes])
+    hashes = np.concatenate(hashes)
     _, first = np.unique(hashes, return_index=True)
-    return order, ids, hashes, np.concatenate([np.zeros(0, np.int64), *counts]), np.sort(first), parts
+    return order, ids, hashes, np.concatenate(others), np.concatenate([np.zeros(0, np.int64), *counts]), np.sort(first), parts
 
 
 def _send(width: int, count: int):
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        _, ids, hashes, counts, first, _ = _block_windows(table, width)
+        _, ids, hashes, others, counts, first, _ = _block_windows(table, width)
         keys, doc = hashes[first], np.repeat(np.arange(len(ids)), counts)[first]
-        order, bounds = blocks.slices(blocks.partition_of(keys, count), count)
+        order, bounds = blocks.slices(blocks.partition_of(others[first], count), count)
         rows = {"part": [], "block": [], "keys": [], "ids": [], "counts": []}
         for p in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[p] : bounds[p + 1]]
@@ -77,11 +83,11 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _cut(width: int, count: int):
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        order, ids, hashes, _, first, parts = _block_windows(docs, width)
+        order, ids, hashes, others, _, first, parts = _block_windows(docs, width)
         repeated = np.ones(len(hashes), bool)
         repeated[first] = False
         if len(first) and answers.num_rows:
-            own, bounds = blocks.slices(blocks.partition_of(hashes[first], count), count)
+            own, bounds = blocks.slices(blocks.partition_of(others[first], count), count)
             for p, bits in zip(answers.column("part").to_pylist(), answers.column("repeated").to_pylist()):
                 mine = first[own[bounds[p] : bounds[p + 1]]]
                 repeated[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
@@ -116,7 +122,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc
 
     Null text counts as empty; a text of fewer words than ``width`` keeps all of them. Rows of equal doc_id are
     judged in the order of their texts (of their blocks first, see ``blocks.with_block``), null doc_ids come last. Other columns are not read.
-    Window hashes have 64 bits: two different windows of n agree with a probability of about n*n / 2**65.
+    Windows are told apart by 64-bit hashes within a partition of ``blocks.KEYS_A_PARTITION``, to which a second hash deals them: of n
+    different windows about n * KEYS_A_PARTITION / 2**65 are taken for another one (0.0003 in 30 GB).
     """
     docs = blocks.texts(docs, id_col, text_col)
     _, size = blocks.volume(docs)

@@ -106,12 +106,11 @@ class Words:
         return mix((sums[self.end] - sums[self.start]) * powers(_INVERSE, n + 1)[self.start])
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, first: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every ``width`` consecutive words of one text.
 
     Returns (hash, index of the window's first word, windows of each text). A text of fewer words has none.
     """
-    base = 0xD6E8FEB86659FD93
     n, counts = len(hashes), np.maximum(np.diff(first) - width + 1, 0)
     if not counts.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
