@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 ROW_BYTES = 64  # what a row weighs beside its text, where rows of one doc_id are counted
+TABLE_BYTES = 256 << 20
 KEYS_A_PARTITION = 2 << 20
 
 
@@ -45,6 +46,11 @@ def volume(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def table_tasks(docs: DataFrame, total_bytes: int) -> int:
+    """Tasks that each build one table of counts: no more than needed, but none has over ``TABLE_BYTES`` of text."""
+    return max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // TABLE_BYTES))
+
+
 def block_count(total_bytes: int) -> int:
     return max(1, -(-total_bytes // BLOCK_BYTES))
 

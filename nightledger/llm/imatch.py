@@ -21,12 +21,11 @@ from . import blocks
 from .words import Words, chunks, mix, powers, texts_of
 
 LOW, HIGH = 0.0005, 0.1  # the band, as shares of all documents; a term of one document is never in it
-LEXICON = 1 << 21  # terms at most: the band's floor is mean distinct terms / LEXICON if that is above LOW
 RATES = (32, 128, 512, 2048)  # a term is in one of a rate's 16 subsets with a probability of 16 / rate
 PER_RATE = 16
 SUBSETS = PER_RATE * len(RATES)
 RUN_BYTES = 16 << 20  # text of one run of neighbouring documents
-RUNS = 100_000  # runs at most; their bounds are broadcast
+RUNS = 100_000  # runs at most, longer ones beyond 1.6 TB; their bounds are broadcast
 _STEP = 0xA0761D6478BD642F
 
 
@@ -104,21 +103,20 @@ def _in_band(low: float, high: float):
     return run
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = LEXICON) -> np.ndarray:
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms in the band, counted over all ``docs`` (doc_id, text).
 
-    Each term of it is in ``low`` of the texts at least, so there are mean distinct terms / low of them at most;
-    ``low`` is raised where that would be more than ``most``, so the array stays under 16 MB at any size.
+    Each term of it is in ``low`` of the texts at least, so there are mean distinct terms of a text / low of them at most: 2,000 for each
+    distinct term that a text has on average (5 MB of hashes for texts of 300 terms), however many texts there are.
     """
     spark = docs.sparkSession
     _, size = blocks.volume(docs)
     count = blocks.partition_count(size // 12)
-    lists = docs.select("text").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_count_documents(count), "part int, keys binary, counts binary, texts long, pairs long")
+    lists = docs.select("text").coalesce(blocks.table_tasks(docs, size)).mapInArrow(_count_documents(count), "part int, keys binary, counts binary, texts long, pairs long")
     counted = durable(lists.groupBy("part").applyInArrow(_sum_documents, "part int, keys binary, counts binary, texts long, pairs long"))
-    n = counted.agg(F.sum("texts"), F.sum("pairs")).first()
-    texts, pairs = n[0] or 0, n[1] or 0
-    floor = max(2, texts * max(low, pairs / max(texts, 1) / most))
-    found = counted.where("part >= 0").select("keys", "counts").mapInArrow(_in_band(floor, max(texts * high, 2)), "keys binary").collect()
+    n = counted.agg(F.sum("texts")).first()
+    texts = n[0] or 0
+    found = counted.where("part >= 0").select("keys", "counts").mapInArrow(_in_band(max(2, texts * low), max(texts * high, 2)), "keys binary").collect()
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)]))
 
 

@@ -140,7 +140,7 @@ def _cells(word: np.ndarray, chosen_by: np.ndarray, load: np.ndarray, cell: int)
     return index, mix(word[index] + mix(pair))
 
 
-def _counted(docs: DataFrame, count) -> np.ndarray:
+def _counted(docs: DataFrame, tasks: int, count) -> np.ndarray:
     """Sums over all rows of ``count(lines)``, a table of 2**SLOT_BITS numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _counted(docs: DataFrame, count) -> np.ndarray:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"segment": table.column("segment").slice(0, 1).combine_chunks(), "counts": [total.tobytes()]})
 
-    parts = docs.select("text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "segment int, counts binary")
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "segment int, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.int64)
     for segment, counts in parts.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect():
         out[segment * _SEGMENT : (segment + 1) * _SEGMENT] = np.frombuffer(counts, np.int64)
@@ -449,8 +449,9 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     _, size = blocks.volume(docs)
     bounds = Filter(Fraction(threshold))
     count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
-    fewer = max(1, count // 32)  # what is sent again is little, and lines are sent whole to each partition
-    words = _counted(docs, lambda lines: _slot(lines.hashes))
+    fewer = max(1, count // 8)  # what is sent again is little, and lines are sent whole to each partition
+    tasks = blocks.table_tasks(docs, size)
+    words = _counted(docs, tasks, lambda lines: _slot(lines.hashes))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
     def prefix_slots(lines: Lines) -> np.ndarray:
@@ -460,7 +461,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
         chosen[at] = True
         return _slot(_prefixes(tokens, first, chosen, bounds)[2])
 
-    load = _counted(docs, prefix_slots)
+    load = _counted(docs, tasks, prefix_slots)
     model = docs.sparkSession.sparkContext.broadcast((rarity, load.astype(np.uint32), bounds, cell))
     spread = blocks.crowded(docs, blocks.block_count(size))
     dealt = blocks.with_block(docs, blocks.block_count(size), spread)
