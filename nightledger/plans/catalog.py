@@ -275,34 +275,6 @@ def _(v):
     return v.targets.join(v.target_tags, F.col("id") == F.col("target_id")).join(v.tags, "tag_id").select("id", "name", "tag")
 
 
-_LIGHTS = "l AS (SELECT path, camera, gain, exposure, temperature FROM {frames} WHERE image_type = 'LIGHT')"
-
-
-@query("C08_match_calibrations", f"""WITH {_LIGHTS}, d AS (SELECT * FROM {{frames}} WHERE image_type = 'DARK' AND path % 10 = 0),
- s AS (SELECT l.path AS light, d.path AS master, 100.0 - 30 * abs(l.exposure - d.exposure) / 30.0 - 20 * abs(l.temperature - d.temperature) / 2.0 AS score FROM l JOIN d ON l.camera = d.camera AND l.gain = d.gain WHERE abs(l.exposure - d.exposure) <= 30 AND abs(l.temperature - d.temperature) <= 2)
- SELECT light, master, score, CAST(row_number() OVER (PARTITION BY light ORDER BY score DESC, master) AS INT) AS rank FROM s QUALIFY rank <= 5""", "score")
-def _(v):
-    frames = v.frames
-    masters = frames.where("image_type = 'DARK' and path % 10 = 0").select("path", "camera", "gain", "exposure", "temperature")
-    return joins.match_calibrations(frames.where("image_type = 'LIGHT'").select("path", "camera", "gain", "exposure", "temperature"), masters, ["camera", "gain"], {"exposure": (30.0, 30.0), "temperature": (2.0, 20.0)}, 5)
-
-
-@query("C09_match_with_fallback", f"""WITH {_LIGHTS}, d AS (SELECT *, CASE image_type WHEN 'DARK' THEN 0 WHEN 'DARKFLAT' THEN 1 ELSE 2 END AS level FROM {{frames}} WHERE (image_type = 'DARK' AND path % 200 = 0) OR (image_type = 'DARKFLAT' AND path % 60 = 0) OR (image_type = 'BIAS' AND path % 30 = 0)),
- s AS (SELECT l.path AS light, d.path AS master, 100.0 - 20 * abs(l.temperature - d.temperature) / 3.0 AS score, image_type AS profile_used, level FROM l JOIN d ON l.camera = d.camera AND l.gain = d.gain WHERE abs(l.temperature - d.temperature) <= 3),
- r AS (SELECT *, CAST(row_number() OVER (PARTITION BY light, level ORDER BY score DESC, master) AS INT) AS rank, min(level) OVER (PARTITION BY light) AS best FROM s) SELECT light, master, score, rank, profile_used FROM r WHERE rank <= 2 AND level = best""", "score")
-def _(v):
-    frames = v.frames
-    pool = lambda kind, step: (kind, frames.where(f"image_type = '{kind}' and path % {step} = 0"))
-    return joins.match_with_fallback(frames.where("image_type = 'LIGHT'"), [pool("DARK", 200), pool("DARKFLAT", 60), pool("BIAS", 30)], ["camera", "gain"], {"temperature": (3.0, 20.0)}, 2)
-
-
-@query("C11_match_flats", """WITH p AS (SELECT l.path AS light, f.path AS flat, abs(date_diff('day', CAST(f.date_obs AS DATE), CAST(l.date_obs AS DATE))) AS days FROM {frames} l JOIN {frames} f ON l.image_type = 'LIGHT' AND f.image_type = 'FLAT' AND f.path % 5 = 0 AND l.camera = f.camera AND l.telescope = f.telescope AND l.filter = f.filter)
- SELECT light, flat, CAST(days AS INT) AS days FROM p WHERE days <= 30 QUALIFY row_number() OVER (PARTITION BY light ORDER BY days, flat) = 1""")
-def _(v):
-    frames = v.frames
-    return joins.match_by_date(frames.where("image_type = 'LIGHT'"), frames.where("image_type = 'FLAT' and path % 5 = 0"), ["camera", "telescope", "filter"], 30)
-
-
 _HAVERSINE = "degrees(2 * asin(least(1.0, sqrt(pow(sin(radians({b}.dec_deg - {a}.dec_deg) / 2), 2) + cos(radians({a}.dec_deg)) * cos(radians({b}.dec_deg)) * pow(sin(radians({b}.ra_deg - {a}.ra_deg) / 2), 2)))))"
 
 

@@ -35,6 +35,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "frames": ("orders", {
         "path": "o_orderkey", "image_type": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'LIGHT' WHEN '2' THEN 'DARK' WHEN '3' THEN 'FLAT' WHEN '4' THEN 'BIAS' ELSE 'DARKFLAT' END", "exposure": "CAST(30 * (o_custkey % 10 + 1) AS DOUBLE)",
         "temperature": "CAST(-20 + (o_orderkey % 21) AS DOUBLE)", "camera": "'C' || CAST(o_custkey % 3 AS STRING)", "telescope": "'T' || CAST(o_custkey % 4 AS STRING)", "gain": "CAST(100 * (o_custkey % 2) AS INT)", "filter": "o_orderstatus", "date_obs": "o_orderdate", "target": "'M ' || CAST(o_custkey % 40 AS STRING)",
+        "binning": "CAST(1 + o_custkey % 2 AS INT)", "bias_offset": "CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE CAST(10 * (o_custkey % 3) AS INT) END", "focal_length": "CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(400 + 100 * (o_custkey % 4) AS INT) END", "rotation": "CAST(90 * (o_custkey % 2) AS INT)",
     }, ""),
     "stars": ("lineitem", {
         "frame": "l_orderkey", "star": "l_linenumber", "x": "CAST((l_partkey * 37) % 3000 AS DOUBLE)", "y": "CAST((l_suppkey * 53) % 2000 AS DOUBLE)", "flux": "l_extendedprice", "fwhm": "1 + 40 * l_discount", "eccentricity": "10 * l_tax", "theta": "CAST(25 * l_linenumber AS DOUBLE)", "snr": "l_quantity", "hfr": "1 + 20 * l_discount",
