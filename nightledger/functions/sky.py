@@ -48,12 +48,13 @@ def seeing_quality(cloud: Column, wind: Column, humidity: Column, temperature: C
 
 
 def quality_score(measures: dict[str, Column], weights: dict[str, float] = WEIGHTS, ranges: dict[str, tuple[float, float]] = RANGES) -> Column:
-    """Weighted 0 to 100 of measures that count linearly between their best and worst values."""
+    """Weighted 0 to 100 of measures that count linearly between their best and worst values; an unknown measure counts 0."""
     total = sum(weights.values())
     parts = []
     for name, value in measures.items():
         best, worst = ranges[name]
-        parts.append(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - worst) / (best - worst) * 100)) * (weights[name] / total))
+        linear = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - worst) / (best - worst) * 100))
+        parts.append(F.when(value.isNull(), 0.0).otherwise(linear) * (weights[name] / total))
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), sum(parts, F.lit(0.0))))
 
 

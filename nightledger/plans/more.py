@@ -32,13 +32,6 @@ def _(v):
     return joined.groupBy("observation_date").agg(F.countDistinct("target_id").alias("n_targets"), F.sum("frame_count").alias("frames"), F.sum("exposure_time").alias("exposure"), F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("names"))
 
 
-@query("B32_palettes", """WITH f AS (SELECT user, list_sort(list_distinct(list(filter_name))) AS s FROM (SELECT target_name AS user, filter_name FROM {exposures}) GROUP BY user) SELECT user AS target_name, CASE WHEN list_has_all(s, ['click', 'error', 'view']) THEN 'CEV' WHEN list_has_all(s, ['click', 'view']) THEN 'CV' ELSE 'other' END AS palette FROM f""")
-def _(v):
-    has = lambda *names: F.size(F.array_intersect("s", F.array(*map(F.lit, names)))) == len(names)
-    sets = v.exposures.groupBy("target_name").agg(F.collect_set("filter_name").alias("s"))
-    return sets.select("target_name", F.when(has("click", "error", "view"), "CEV").when(has("click", "view"), "CV").otherwise("other").alias("palette"))
-
-
 @query("B44_image_scale", "SELECT telescope, pixel_size / focal_length * 206.265 AS scale, pixel_size / focal_length * 206.265 * 4096 / 3600 AS fov FROM {equipment}", "scale fov")
 def _(v):
     scale = sky.image_scale(F.col("pixel_size"), F.col("focal_length"))

@@ -55,8 +55,12 @@ class Views:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in VIEWS:
+        if name.startswith("_"):
             raise AttributeError(name)
+        if name == "spark":
+            return self._spark
+        if name not in VIEWS:  # one of the driver's tables as it is
+            return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
         table, columns, where = VIEWS[name]
         if name == "pixels":  # DuckDB and Spark unnest arrays in different words
             rows = self._spark.read.parquet(f"{self._dir}/embeddings.parquet").selectExpr("vec_id", "posexplode(embedding) AS (pos, value)")
@@ -75,6 +79,8 @@ def sql(query: str) -> str:
         select = ", ".join(f'{e} AS "{c}"' for c, e in columns.items())
         parts.append(f"{name} AS (SELECT {select} FROM {table}{f' WHERE {where}' if where else ''})")
     body = re.sub(r"\{(\w+)\}", r"\1", query).strip()
+    if not names:
+        return body
     for head in ("WITH RECURSIVE ", "WITH "):
         if body.upper().startswith(head):
             return f"{head}{', '.join(parts)}, {body[len(head) :]}"
