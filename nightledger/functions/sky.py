@@ -89,13 +89,13 @@ def aitoff_longitude(ra_deg: Column) -> Column:
     return -F.radians(F.when(ra_deg > 180, ra_deg - 360).otherwise(ra_deg))
 
 
-def dark_samples(dates, column: str, latitude: float, longitude: float, limit: float = -18.0):
-    """For each date of ``dates``, how many of 144 ten-minute samples from 0:00 UTC have the sun below ``limit`` degrees.
+def dark_hours(dates, column: str, latitude: float, longitude: float, limit: float = -18.0):
+    """For each evening of ``dates``: dark_samples, the ten-minute samples from its noon (UTC) to the next with the sun below ``limit`` degrees, and dark_hours.
 
     The sun's place is that of the low-precision almanac formula, good to a hundredth of a degree.
     """
     samples = dates.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(143))))
-    n = F.datediff(F.col(column), F.lit("2000-01-01").cast("date")) + F.col("_k") / 144.0
+    n = F.datediff(F.col(column), F.lit("2000-01-01").cast("date")) + F.col("_k") / 144.0  # days since the noon of 2000-01-01
     mean, anomaly = F.radians(280.460 + 0.9856474 * n), F.radians(357.528 + 0.9856003 * n)
     ecliptic = mean + F.radians(1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly))
     tilt = F.radians(F.lit(23.439))
@@ -104,4 +104,26 @@ def dark_samples(dates, column: str, latitude: float, longitude: float, limit: f
     sidereal = F.radians(280.46061837 + 360.98564736629 * n + longitude)
     place = F.radians(F.lit(latitude))
     altitude = F.degrees(F.asin(F.sin(place) * F.sin(declination) + F.cos(place) * F.cos(declination) * F.cos(sidereal - ascension)))
-    return samples.groupBy(column).agg(F.count(F.when(altitude < limit, 1)).alias("dark_samples"))
+    counted = samples.groupBy(column).agg(F.count(F.when(altitude < limit, 1)).alias("dark_samples"))
+    return counted.withColumn("dark_hours", F.round(F.col("dark_samples") / 6.0, 2))
+
+
+def visibility(ra_deg: Column, dec_deg: Column, latitude: float, longitude: float, date: Column, least: float = 20.0) -> dict[str, Column]:
+    """max_altitude, hours_above_min, is_circumpolar, never_rises and transit, rise and set times (HH:MM) of a position in a night."""
+    phi, delta = F.radians(F.lit(latitude)), F.radians(dec_deg)
+    high = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(phi) * F.sin(delta) + F.cos(phi) * F.cos(delta)))))
+    cosine = (F.sin(F.radians(F.lit(least))) - F.sin(phi) * F.sin(delta)) / (F.cos(phi) * F.cos(delta))
+    centuries = (F.datediff(date, F.lit("2000-01-01").cast("date")) - 0.5) / 36525.0
+    sidereal = F.pmod(F.pmod(6.697374558 + 2400.0513369 * centuries + 0.0000258622 * centuries * centuries, F.lit(24.0)) + longitude / 15.0, F.lit(24.0))
+    always, never = (F.abs(cosine) > 1) & (high > least), (F.abs(cosine) > 1) & (high <= least)
+    half = F.when(F.abs(cosine) <= 1, F.degrees(F.acos(cosine)) / 15)
+
+    def clock(angle: Column) -> Column:
+        hours = F.pmod(F.pmod(ra_deg / 15 + angle, F.lit(24.0)) - sidereal, F.lit(24.0))
+        minutes = F.pmod(F.bround(F.when(hours > 18, hours - 24).otherwise(hours) * 60).cast("int"), F.lit(1440))
+        return F.when(minutes.isNotNull(), F.format_string("%02d:%02d", F.floor(minutes / 60), minutes % 60))
+
+    return {
+        "max_altitude": F.round(high, 1), "hours_above_min": F.when(always, 24.0).when(never, 0.0).otherwise(F.round(2 * half, 1)), "is_circumpolar": always, "never_rises": never,
+        "transit_time": F.when(~never, clock(F.lit(0.0))), "rise_time": clock(-half), "set_time": clock(half),
+    }

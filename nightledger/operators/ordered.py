@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sky
+
 
 def segment_jumps(samples: DataFrame, ra_hours: float = 0.25, dec_degrees: float = 2.0) -> DataFrame:
     """Numbers each session's segments from 0: a new one where RA (over 24 h) or DEC moves by more between two samples."""
@@ -82,3 +84,27 @@ def unique_names(plan: DataFrame, name: str, order: str) -> DataFrame:
     """The second and later rows of one name get the suffix _2, _3 ..."""
     r = F.row_number().over(Window.partitionBy(name).orderBy(order))
     return plan.withColumn("unique_name", F.when(r == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), r.cast("string"))))
+
+
+def orphan_matches(targets: DataFrame) -> DataFrame:
+    """(orphan_id, match_id): targets without a canonical name whose name is another's, runs of spaces counting as one."""
+    squeezed = lambda c: F.regexp_replace(c, " +", " ")
+    blank = F.coalesce("canonical_name", F.lit("")) == ""
+    orphans = targets.where(blank).select(F.col("id").alias("orphan_id"), squeezed("name").alias("k"))
+    named = targets.where(~blank).select(F.col("id").alias("match_id"), squeezed("canonical_name").alias("k"))
+    return orphans.join(named, "k").where("orphan_id <> match_id").select("orphan_id", "match_id")
+
+
+def night_weather(hourly: DataFrame) -> DataFrame:
+    """Nights from 20:00 to 05:59, dated by their evening: averages, cloud range, the highest chance and the sum of rain, clear hours (cloud under 25), class, seeing
+    and imaging score. Nights without a cloud value are left out."""
+    hour = F.hour("timestamp")
+    rows = hourly.where((hour >= 20) | (hour < 6)).withColumn("night", F.to_date(F.col("timestamp") - F.expr("INTERVAL 6 HOURS")))
+    mean = {"temperature": "temperature", "cloud_cover": "cloud", "wind_speed": "wind", "humidity": "humidity", "dewpoint": "dewpoint"}
+    found = rows.groupBy("night").agg(
+        *(F.avg(c).alias(n) for c, n in mean.items()), F.min("cloud_cover").alias("cloud_min"), F.max("cloud_cover").alias("cloud_max"), F.max("precipitation_probability").alias("precipitation_prob"), F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("precipitation"),
+        F.avg("precipitation").alias("_rain"), F.count(F.when(F.col("cloud_cover") < 25, 1)).alias("clear_hours"), F.count("cloud_cover").alias("total_hours"),
+    ).where("total_hours > 0")
+    parts = [F.col(c) for c in ("cloud", "wind", "humidity", "temperature", "dewpoint")]
+    out = found.withColumn("classification", sky.classify_weather(F.col("cloud"), F.col("_rain"))).withColumn("seeing_quality", sky.seeing_quality(*parts))
+    return out.withColumn("imaging_score", sky.imaging_score(*parts, F.col("clear_hours") / F.col("total_hours"))).drop("_rain")

@@ -142,13 +142,6 @@ def storage_breakdown(files: DataFrame) -> DataFrame:
     return files.groupBy(kind.alias("format")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.sum(F.when(kind.isin(".fits", ".xisf"), F.col("length")).otherwise(0)).alias("recompressible"))
 
 
-def night_weather(weather: DataFrame) -> DataFrame:
-    """Nights from 20:00 to 05:59, dated by their evening: cloud, rain and clear hours."""
-    hour = F.hour("timestamp")
-    rows = weather.where((hour >= 20) | (hour < 6)).withColumn("night", F.to_date(F.col("timestamp") - F.expr("INTERVAL 6 HOURS")))
-    return rows.groupBy("night").agg(F.avg("cloud_cover").alias("avg_cloud"), F.min("cloud_cover").alias("min_cloud"), F.max("cloud_cover").alias("max_cloud"), F.sum("precipitation").alias("rain"), F.count(F.when(F.col("cloud_cover") < 25, 1)).alias("clear_samples"))
-
-
 def exposure_details(frames: DataFrame) -> DataFrame:
     """Frames by target, day, filter and exposure, beside the day's total."""
     per = frames.where("image_type = 'LIGHT'").groupBy("target", F.to_date("date_obs").alias("night"), "filter", "exposure").agg(F.count("*").alias("n"))

@@ -169,11 +169,6 @@ def _(v):
     return stats.dominant_filter(v.observations)
 
 
-@query("D43_night_weather", "SELECT CAST(timestamp - INTERVAL 6 HOUR AS DATE) AS night, avg(cloud_cover) AS avg_cloud, min(cloud_cover) AS min_cloud, max(cloud_cover) AS max_cloud, sum(precipitation) AS rain, count(*) FILTER (cloud_cover < 25) AS clear_samples FROM {weather} WHERE hour(timestamp) >= 20 OR hour(timestamp) < 6 GROUP BY night", "avg_cloud rain")
-def _(v):
-    return stats.night_weather(v.weather)
-
-
 @query("D45_exposure_details", "WITH p AS (SELECT target, CAST(date_obs AS DATE) AS night, filter, exposure, count(*) AS n FROM {frames} WHERE image_type = 'LIGHT' GROUP BY target, night, filter, exposure) SELECT *, sum(n * exposure) OVER (PARTITION BY target, night) AS night_seconds FROM p")
 def _(v):
     return stats.exposure_details(v.frames)

@@ -70,14 +70,6 @@ def _(v):
     return cluster.cluster_summary(found, v.targets, stats.target_totals(v.observations)).select("cluster", "members", "exposure")
 
 
-@query("G05_dark_hours", """WITH d AS (SELECT DISTINCT session_date FROM {exposures}), s AS (SELECT session_date, unnest(range(0, 144)) AS k FROM d), j AS (SELECT session_date, date_diff('day', DATE '2000-01-01', session_date) + k / 144.0 AS n FROM s),
- l AS (SELECT session_date, n, radians(280.460 + 0.9856474 * n) AS q, radians(357.528 + 0.9856003 * n) AS g FROM j), m AS (SELECT session_date, n, q + radians(1.915 * sin(g) + 0.020 * sin(2 * g)) AS lam FROM l),
- a AS (SELECT session_date, asin(sin(radians(23.439)) * sin(lam)) AS de, atan2(cos(radians(23.439)) * sin(lam), cos(lam)) AS ra, radians(280.46061837 + 360.98564736629 * n + 5.0) AS st FROM m)
- SELECT session_date, CAST(count(*) FILTER (degrees(asin(sin(radians(48.0)) * sin(de) + cos(radians(48.0)) * cos(de) * cos(st - ra))) < -18) AS BIGINT) AS dark_samples FROM a GROUP BY session_date""")
-def _(v):
-    return sky.dark_samples(v.exposures.select("session_date").distinct(), "session_date", 48.0, 5.0)
-
-
 @query("G10_background", """WITH s AS (SELECT image_id, avg(value) FILTER (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5) AS m, quantile_cont(value, 0.5) FILTER (x < 2 OR x > 5) AS background, stddev_samp(value) FILTER (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5) AS spread FROM {pixels} GROUP BY image_id)
  SELECT image_id, m - background AS signal, background, spread, (m - background) / nullif(spread, 0) AS snr FROM s""", "signal background spread snr")
 def _(v):
@@ -114,9 +106,3 @@ def _(v):
 @query("H05_top_exposures", "SELECT event_id, hfr FROM {exposures} ORDER BY hfr, event_id LIMIT 20", "hfr")
 def _(v):
     return v.exposures.select("event_id", "hfr").orderBy("hfr", "event_id").limit(20)
-
-
-@query("D42_efficiency", """WITH n AS (SELECT session_date, sum(exposure_seconds) / 3600 AS hours, count(*) AS n FROM {exposures} GROUP BY session_date), r AS (SELECT *, sum(hours) OVER (ORDER BY session_date) AS running FROM n) SELECT session_date, hours, n, running FROM r""", "hours running")
-def _(v):
-    nights = v.exposures.groupBy("session_date").agg((F.sum("exposure_seconds") / 3600).alias("hours"), F.count("*").alias("n"))
-    return nights.withColumn("running", F.sum("hours").over(Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)))  # one row for each night

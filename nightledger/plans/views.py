@@ -44,6 +44,13 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "tags": ("nation", {"tag_id": "n_nationkey", "tag": "n_name", "color": "n_regionkey"}, ""),
     "target_tags": ("part", {"target_id": "p_partkey", "tag_id": "CAST(p_size % 25 AS INT)"}, ""),
     "pixels": ("(SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding) AS value FROM embeddings)", {"image_id": "vec_id", "x": "CAST(pos % 8 AS INT)", "y": "CAST(floor(pos / 8) AS INT)", "value": "CAST(value AS DOUBLE)"}, ""),
+    "subframes": ("lineitem", {
+        "session_id": "l_suppkey", "file": "'/out/L_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '.xisf'", "filter_name": "CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_returnflag END", "target": "'M ' || CAST(l_partkey % 30 AS STRING)", "camera": "'C' || CAST(l_linenumber % 3 AS STRING)",
+        "fwhm": "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE 1 + 40 * l_discount END", "eccentricity": "10 * l_tax", "snr": "l_quantity", "num_stars": "CAST(l_quantity * 3 AS INT)", "median_adu": "l_extendedprice / 10",
+    }, ""),
+    "weights": ("lineitem", {"integration_id": "l_orderkey", "session_id": "l_suppkey", "filename": "CASE WHEN l_linenumber % 2 = 0 THEN '/in/' ELSE '' END || 'L_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '.xisf'", "normalized_weight": "CASE WHEN l_linenumber = 5 THEN NULL ELSE l_discount * 10 END", "accepted": "l_tax < 0.06"}, ""),
+    "integrations": ("orders", {"integration_id": "o_orderkey", "session_id": "o_custkey % 100", "filter_name": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END", "frames_total": "CAST(10 + o_orderkey % 40 AS INT)", "frames_integrated": "CAST(10 + o_orderkey % 40 - o_orderkey % 5 AS INT)", "total_rejection_pct": "o_totalprice / 100000"}, ""),
+    "log_sessions": ("supplier", {"session_id": "s_suppkey % 60", "row_id": "s_suppkey", "log_date": "DATE '2024-01-01' + CAST(s_suppkey % 300 AS INT)", "tool_version": "s_name", "subframes_ok": "CAST(s_suppkey % 90 AS INT)"}, ""),
     "equipment": ("supplier", {"telescope": "'T' || CAST(s_suppkey AS STRING)", "focal_length": "200 + 10 * s_nationkey", "pixel_size": "3.76 + s_nationkey / 10", "brand": "s_nationkey"}, ""),
 }
 
