@@ -166,12 +166,6 @@ def _(v):
     return cluster.merge_duplicates(v.targets)
 
 
-@query("F10_duplicate_files", "SELECT path, row_number() OVER (PARTITION BY md5(content) ORDER BY path) > 1 AS duplicate FROM {files}")
-def _(v):
-    place = F.row_number().over(Window.partitionBy(F.md5(F.col("content"))).orderBy("path"))
-    return v.files.select("path", "content").select("path", (place > 1).alias("duplicate"))
-
-
 @query("G02_spearman", """WITH r AS (SELECT telescope, rank() OVER (PARTITION BY telescope ORDER BY hfr) + (count(*) OVER (PARTITION BY telescope, hfr) - 1) / 2 AS x, rank() OVER (PARTITION BY telescope ORDER BY fwhm) + (count(*) OVER (PARTITION BY telescope, fwhm) - 1) / 2 AS y FROM {exposures} WHERE fwhm IS NOT NULL)
  SELECT telescope, corr(x, y) AS rho FROM r GROUP BY telescope""", "rho")
 def _(v):
