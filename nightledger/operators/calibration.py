@@ -123,6 +123,19 @@ def match_groups(frames: DataFrame, tolerance: float = 2.0, near: float = 0.5) -
     return out.select("target", "filter", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_darks", "n_flats", "n_biases")), "dark_temp_delta")
 
 
+def candidates(frames: DataFrame) -> DataFrame:
+    """For each target and filter of the lights: n_dark_candidates (camera and exposure of the earliest light), dark_gap (degrees from the lights' mean to the nearest of them), n_flats and n_biases."""
+    first = F.min_by(F.struct("exposure", "camera"), F.struct("date_obs", "path"))
+    groups = frames.where("image_type = 'LIGHT'").groupBy("target", "filter").agg(first.alias("one"), F.avg("temperature").alias("mean")).select("target", "filter", "mean", "one.exposure", "one.camera").withColumn("cell", F.floor(F.col("exposure") / 0.01))
+    darks = frames.where("image_type = 'DARK'").groupBy("camera", F.col("exposure").alias("dark_exposure"), "temperature").agg(F.count("*").alias("n"))
+    darks = darks.withColumn("cell", F.explode(F.array(*(F.floor(F.col("dark_exposure") / 0.01) + d for d in (-1, 0, 1)))))
+    met = groups.join(darks, ["camera", "cell"]).where("abs(exposure - dark_exposure) < 0.01").groupBy("target", "filter").agg(F.sum("n").alias("n_dark_candidates"), F.min(F.abs(F.col("temperature") - F.col("mean"))).alias("dark_gap"))
+    flats = frames.where("image_type = 'FLAT'").groupBy("filter", "camera").agg(F.count("*").alias("n_flats"))
+    biases = frames.where("image_type = 'BIAS'").groupBy("camera").agg(F.count("*").alias("n_biases"))
+    out = groups.join(met, ["target", "filter"], "left").join(flats, ["filter", "camera"], "left").join(biases, "camera", "left")
+    return out.select("target", "filter", "dark_gap", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dark_candidates", "n_flats", "n_biases")))
+
+
 FLAT_KEYS = ("telescope", "camera", "filter", "binning")
 
 

@@ -25,13 +25,6 @@ def mtf(c: Column, m: Column) -> Column:
     return F.when(c <= 0, 0.0).when(c >= 1, 1.0).otherwise((m - 1) * c / ((2 * m - 1) * c - m))
 
 
-def stretch_parameters(pixels: DataFrame, shadow: float = 2.8) -> DataFrame:
-    """Median, median absolute deviation and the shadow clip of each image."""
-    middle = pixels.groupBy("image_id").agg(F.expr("percentile(value, 0.5)").alias("median"))
-    spread = pixels.join(middle, "image_id").groupBy("image_id", "median").agg(F.expr("percentile(abs(value - median), 0.5)").alias("mad"))
-    return spread.select("image_id", "median", "mad", F.greatest(F.lit(-1.0), F.col("median") - shadow * 1.4826 * F.col("mad")).alias("clip"))
-
-
 def compare_series(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """RMSE, mean absolute error and correlation of two series, each scaled to 0 .. 1, where both have a key."""
     def scaled(rows: DataFrame, name: str) -> DataFrame:

@@ -72,14 +72,21 @@ def brightest_per_cell(stars: DataFrame, width: float, height: float, cells: int
     return top_per(placed, ["frame", "cx", "cy"], [F.desc("flux"), "star"], k)
 
 
-def flag_rejections(frames: DataFrame, batch: list[str], eccentricity: float = 0.4, least_stars: int = 3, factor: float = 2.0) -> DataFrame:
-    """Reasons why a frame is left out, its FWHM against the batch's median among them."""
-    middle = frames.groupBy(*batch).agg(F.expr("percentile(fwhm, 0.5)").alias("_median"))
-    reasons = F.array(F.when(F.col("eccentricity") > eccentricity, F.lit("eccentricity")), F.when(F.col("n_stars") < least_stars, F.lit("stars")), F.when(F.col("fwhm") > factor * F.col("_median"), F.lit("fwhm")))
-    marked = frames.join(middle, batch).withColumn("reasons", F.array_join(F.filter(reasons, lambda r: r.isNotNull()), ","))
+def flag_rejections(frames: DataFrame, batch: list[str], least_score: float = 30.0, eccentricity: float = 0.7, least_stars: int = 10, factor: float = 2.0) -> DataFrame:
+    """Reasons why a frame is left out: score, eccentricity, stars, trail, and an FWHM over ``factor`` times the batch's median (of values above 0)."""
+    middle = frames.where("fwhm > 0").groupBy(*batch).agg(F.expr("percentile(fwhm, 0.5)").alias("_median"))
+    reasons = F.array(F.when(F.col("score") < least_score, F.lit("score")), F.when(F.col("eccentricity") > eccentricity, F.lit("eccentricity")), F.when(F.col("n_stars") < least_stars, F.lit("stars")), F.when(F.col("trailed"), F.lit("trail")), F.when(F.col("fwhm") > factor * F.col("_median"), F.lit("fwhm")))
+    marked = frames.join(middle, batch, "left").withColumn("reasons", F.array_join(F.filter(reasons, lambda r: r.isNotNull()), ","))
     return marked.withColumn("rejected", F.col("reasons") != "").drop("_median")
 
 
+def best_and_worst(rows: DataFrame, column: str, ids: list[str], n: int) -> DataFrame:
+    """The ``n`` smallest and largest of ``column`` (nulls left out; ties by ``ids``) as ``ids``, measure and kind (low, high)."""
+    known = rows.where(F.col(column).isNotNull())
+    pick = lambda kind, order: known.orderBy(order, *ids).limit(n).select(*ids, F.lit(column).alias("measure"), F.lit(kind).alias("kind"))
+    return pick("low", F.col(column)).unionByName(pick("high", F.col(column).desc()))
+
+
 def unique_names(plan: DataFrame, name: str, order: str) -> DataFrame:
     """The second and later rows of one name get the suffix _2, _3 ..."""
     r = F.row_number().over(Window.partitionBy(name).orderBy(order))

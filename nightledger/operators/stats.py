@@ -92,11 +92,21 @@ def equipment_performance(exposures: DataFrame) -> DataFrame:
 
 
 def equipment_performance_obs(observations: DataFrame) -> DataFrame:
-    """Upper medians of the measures above zero, by telescope, camera and filter."""
-    ranked = observations.where("hfr > 0").withColumn("filter", F.coalesce("filter", F.lit("Unknown")))
-    by = Window.partitionBy("telescope", "camera", "filter")
-    place = ranked.withColumn("r", F.row_number().over(by.orderBy("hfr", "seq"))).withColumn("n", F.count("*").over(by))
-    return place.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("telescope", "camera", "filter", F.col("hfr").alias("median_hfr"), F.col("n").alias("frame_count"))
+    """By telescope, camera and filter: rows, upper medians of HFR and FWHM, best HFR. Rows without a telescope or camera are left out; a blank filter is 'Unknown'.
+
+    Equal values are counted before they are ordered, so a large setup is as many rows as it has distinct values.
+    """
+    keys = ["telescope", "camera", "filter"]
+    blank = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    rows = observations.where("telescope is not null and camera is not null").withColumns({c: blank(c) for c in keys})
+    out = rows.groupBy(*keys).agg(F.count("*").alias("frame_count"), F.min("hfr").alias("best_hfr"))
+    for c in ("hfr", "fwhm"):
+        counts = rows.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
+        by = Window.partitionBy(*keys)
+        place = counts.withColumn("upto", F.sum("n").over(by.orderBy(c))).withColumn("half", F.floor(F.sum("n").over(by) / 2))
+        middle = place.where("upto > half").groupBy(*keys).agg(F.min(c).alias(f"median_{c}"))
+        out = out.join(middle, keys, "left")
+    return out
 
 
 def tracking_stats(samples: DataFrame) -> DataFrame:
@@ -123,11 +133,22 @@ def trail_flag(stars: DataFrame, least: int = 5, cut: float = 0.5) -> DataFrame:
 
 
 def region_stats(stars: DataFrame, width: float, height: float) -> DataFrame:
-    """FWHM of a 3 x 3 grid of regions; empty regions are rows too."""
+    """FWHM of a 3 x 3 grid of regions; empty regions are rows too. Medians come from counts of distinct values."""
     cell = lambda c, size: F.least(F.floor(F.col(c) / (size / 3)), F.lit(2)).cast("int")
-    found = stars.groupBy(cell("y", height).alias("row"), cell("x", width).alias("col")).agg(F.count("*").alias("n"), F.expr("percentile(fwhm, 0.5)").alias("median_fwhm"), F.min("fwhm").alias("min_fwhm"), F.max("fwhm").alias("max_fwhm"))
+    placed = stars.select(cell("y", height).alias("row"), cell("x", width).alias("col"), "fwhm")
+    found = placed.groupBy("row", "col").agg(F.count("*").alias("n"), F.min("fwhm").alias("min_fwhm"), F.max("fwhm").alias("max_fwhm"), F.avg("fwhm").alias("mean_fwhm"), F.stddev_pop("fwhm").alias("std_fwhm"))
+    middle = medians(placed, ["row", "col"], "fwhm", "median_fwhm")
     grid = stars.sparkSession.range(9).select(F.floor(F.col("id") / 3).cast("int").alias("row"), (F.col("id") % 3).cast("int").alias("col"))
-    return grid.join(found, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.join(found, ["row", "col"], "left").join(middle, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def medians(rows: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """Exact medians by ``keys`` (linear between the two middle values) from counts of distinct values, for groups of any size."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*keys)
+    placed = counts.withColumn("_upto", F.sum("_n").over(by.orderBy(column))).withColumn("_all", F.sum("_n").over(by))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    return placed.groupBy(*keys).agg(((F.min(F.when(F.col("_upto") >= low, F.col(column))) + F.min(F.when(F.col("_upto") >= high, F.col(column)))) / 2).alias(out))
 
 
 def dominant_filter(observations: DataFrame) -> DataFrame:
@@ -137,9 +158,16 @@ def dominant_filter(observations: DataFrame) -> DataFrame:
     return sums.withColumn("r", first).where("r = 1").drop("r")
 
 
-def storage_breakdown(files: DataFrame) -> DataFrame:
-    kind = F.regexp_extract("path", r"(\.fits\.fz|\.[a-z]+)$", 1)
-    return files.groupBy(kind.alias("format")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.sum(F.when(kind.isin(".fits", ".xisf"), F.col("length")).otherwise(0)).alias("recompressible"))
+CALIBRATION_WORDS = ("dark", "flat", "bias", "offset", "calib")
+
+
+def storage_breakdown(files: DataFrame, processed: Column) -> DataFrame:
+    """By format: files, bytes, those in calibration folders, and of XISF files those that can be compressed anew (not ``processed``)."""
+    kind = F.regexp_extract(F.lower("path"), r"(\.fits\.fz|\.[a-z]+)$", 1)
+    folders = F.split(F.lower("path"), "/")
+    shelf = F.exists(F.slice(folders, 1, F.size(folders) - 1), lambda x: x.rlike("|".join(CALIBRATION_WORDS)))
+    size = F.col("length")
+    return files.groupBy(kind.alias("format")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.count(F.when(shelf, 1)).alias("calibration_files"), F.sum(F.when(shelf, size).otherwise(0)).alias("calibration_bytes"), F.sum(F.when((kind == ".xisf") & ~processed, size).otherwise(0)).alias("recompressible"))
 
 
 def exposure_details(frames: DataFrame) -> DataFrame:
@@ -148,12 +176,21 @@ def exposure_details(frames: DataFrame) -> DataFrame:
     return per.withColumn("night_seconds", F.sum(F.col("n") * F.col("exposure")).over(Window.partitionBy("target", "night")))
 
 
-def validation_warnings(frames: DataFrame, least: int = 5) -> DataFrame:
-    """(rule, target, detail) of groups with few frames, several cameras or several telescopes."""
-    light = frames.where("image_type = 'LIGHT'").groupBy("target", "filter").agg(F.count("*").alias("n"), F.countDistinct("camera").alias("cameras"), F.countDistinct("telescope").alias("telescopes"))
-    rules = F.array(
-        F.when(F.col("n") < least, F.struct(F.lit("few frames").alias("rule"), F.col("n").alias("detail"))),
-        F.when(F.col("cameras") > 1, F.struct(F.lit("mixed cameras").alias("rule"), F.col("cameras").alias("detail"))),
-        F.when(F.col("telescopes") > 1, F.struct(F.lit("mixed telescopes").alias("rule"), F.col("telescopes").alias("detail"))),
-    )
-    return light.select("target", "filter", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("target", "filter", "r.rule", "r.detail")
+def validation_warnings(frames: DataFrame, matches: DataFrame, least: int = 5, tolerance: float = 2.0) -> DataFrame:
+    """(target, filter, rule, detail) of what an export lacks: few frames, no object, no darks, dark temperature, no flats, no biases, mixed cameras, mixed telescopes.
+
+    ``matches`` has, for each target and filter, n_dark_candidates, dark_gap (degrees of the nearest dark), n_flats and n_biases.
+    """
+    light = frames.where("image_type = 'LIGHT'")
+    groups = light.groupBy("target", "filter").agg(F.count("*").alias("n")).join(matches, ["target", "filter"])
+    none = F.lit(0).cast("double")
+    checks = [
+        (F.col("n") < least, "few frames", F.col("n").cast("double")), (F.coalesce("target", F.lit("Unknown")) == "Unknown", "no object", F.col("n").cast("double")), (F.col("n_dark_candidates") == 0, "no darks", none),
+        ((F.col("n_dark_candidates") > 0) & (F.col("dark_gap") > tolerance), "dark temperature", F.col("dark_gap")), (F.col("n_flats") == 0, "no flats", none), (F.col("n_biases") == 0, "no biases", none),
+    ]
+    rules = F.array(*(F.when(test, F.struct(F.lit(name).alias("rule"), detail.alias("detail"))) for test, name, detail in checks))
+    single = groups.select("target", "filter", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("target", "filter", "r.rule", "r.detail")
+    setups = light.groupBy("target").agg(F.countDistinct("camera").alias("c"), F.countDistinct("telescope").alias("t"))
+    mixed = F.array(*(F.when(F.col(c) > 1, F.struct(F.lit(name).alias("rule"), F.col(c).cast("double").alias("detail"))) for c, name in (("c", "mixed cameras"), ("t", "mixed telescopes"))))
+    whole = setups.select("target", F.lit(None).cast("string").alias("filter"), F.explode(F.filter(mixed, lambda r: r.isNotNull())).alias("r")).select("target", "filter", "r.rule", "r.detail")
+    return single.unionByName(whole)

@@ -125,12 +125,6 @@ def _(v):
     return stats.equipment_performance(v.exposures)
 
 
-@query("D17_equipment_performance_obs", """WITH r AS (SELECT telescope, camera, coalesce(filter, 'Unknown') AS f, hfr, row_number() OVER (PARTITION BY telescope, camera, coalesce(filter, 'Unknown') ORDER BY hfr, seq) AS r, count(*) OVER (PARTITION BY telescope, camera, coalesce(filter, 'Unknown')) AS n FROM {observations} WHERE hfr > 0)
- SELECT telescope, camera, f AS filter, hfr AS median_hfr, n AS frame_count FROM r WHERE r = n // 2 + 1""", "median_hfr")
-def _(v):
-    return stats.equipment_performance_obs(v.observations)
-
-
 @query("D18_tracking_stats", """SELECT session_id, count(*) AS n, count(*) FILTER (status = 'TRACKING') AS n_tracking, count(*) FILTER (status = 'TRACKING') * 100.0 / count(*) AS tracking_percent, avg(ra_stdev) FILTER (status = 'TRACKING') AS avg_ra, avg(dec_stdev) FILTER (status = 'TRACKING') AS avg_dec,
  min(ra_stdev) FILTER (status = 'TRACKING') AS min_ra, max(ra_stdev) FILTER (status = 'TRACKING') AS max_ra, sqrt(avg(ra_stdev * ra_stdev) FILTER (status = 'TRACKING')) AS rms_ra, sqrt(avg(dec_stdev * dec_stdev) FILTER (status = 'TRACKING')) AS rms_dec FROM {mount_samples} GROUP BY session_id""", "tracking_percent avg_ra avg_dec min_ra max_ra rms_ra rms_dec")
 def _(v):
@@ -147,23 +141,6 @@ def _(v):
     return stats.trail_flag(v.stars)
 
 
-@query("D34_validation_warnings", """WITH g AS (SELECT target, filter, count(*) AS n, count(DISTINCT camera) AS c, count(DISTINCT telescope) AS t FROM {frames} WHERE image_type = 'LIGHT' GROUP BY target, filter)
- SELECT target, filter, 'few frames' AS rule, n AS detail FROM g WHERE n < 30 UNION ALL SELECT target, filter, 'mixed cameras', c FROM g WHERE c > 1 UNION ALL SELECT target, filter, 'mixed telescopes', t FROM g WHERE t > 1""")
-def _(v):
-    return stats.validation_warnings(v.frames, 30)
-
-
-@query("D36_storage_breakdown", r"WITH f AS (SELECT regexp_extract(path, '(\.fits\.fz|\.[a-z]+)$', 1) AS format, length FROM {files}) SELECT format, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum(CASE WHEN format IN ('.fits', '.xisf') THEN length ELSE 0 END) AS BIGINT) AS recompressible FROM f GROUP BY format")
-def _(v):
-    return stats.storage_breakdown(v.files)
-
-
-@query("D38_region_stats", """WITH s AS (SELECT CAST(least(floor(y / (2000.0 / 3)), 2) AS INT) AS r, CAST(least(floor(x / (3000.0 / 3)), 2) AS INT) AS c, fwhm FROM {stars}), g AS (SELECT CAST(i // 3 AS INT) AS "row", CAST(i % 3 AS INT) AS col FROM range(9) t(i))
- SELECT "row", col, count(fwhm) AS n, quantile_cont(fwhm, 0.5) AS median_fwhm, min(fwhm) AS min_fwhm, max(fwhm) AS max_fwhm FROM g LEFT JOIN s ON r = "row" AND c = col GROUP BY "row", col""", "median_fwhm min_fwhm max_fwhm")
-def _(v):
-    return stats.region_stats(v.stars, 3000.0, 2000.0)
-
-
 @query("D39_dominant_filter", "WITH s AS (SELECT target_id, filter, CAST(sum(frame_count) AS BIGINT) AS frames FROM {observations} WHERE filter IS NOT NULL GROUP BY target_id, filter) SELECT target_id, filter, frames FROM s QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY frames DESC, filter) = 1")
 def _(v):
     return stats.dominant_filter(v.observations)
@@ -243,13 +220,6 @@ def _(v):
     return ordered.brightest_per_cell(v.stars, 3000.0, 2000.0, 4, 1).select("frame", "star", "cx", "cy")
 
 
-@query("E14_flag_rejections", """WITH m AS (SELECT frame, count(*) AS n_stars, quantile_cont(fwhm, 0.5) AS fwhm, quantile_cont(eccentricity, 0.5) AS e FROM {stars} GROUP BY frame), b AS (SELECT frame % 50 AS batch, quantile_cont(fwhm, 0.5) AS middle FROM m GROUP BY batch)
- SELECT frame, array_to_string(list_filter([CASE WHEN e > 0.4 THEN 'eccentricity' END, CASE WHEN n_stars < 3 THEN 'stars' END, CASE WHEN fwhm > 1.2 * middle THEN 'fwhm' END], lambda x: x IS NOT NULL), ',') AS reasons, e > 0.4 OR n_stars < 3 OR fwhm > 1.2 * middle AS rejected FROM m JOIN b ON frame % 50 = batch""")
-def _(v):
-    frames = stats.frame_metrics(v.stars).withColumn("batch", F.col("frame") % 50)
-    return ordered.flag_rejections(frames, ["batch"], factor=1.2).select("frame", "reasons", "rejected")
-
-
 @query("C01_nearest_weather", """WITH b AS (SELECT e.event_id, e.timestamp AS t, w.timestamp AS wt, w.temperature, w.humidity FROM {exposures} e ASOF LEFT JOIN (SELECT * FROM {weather} QUALIFY row_number() OVER (PARTITION BY telescope, timestamp ORDER BY weather_id DESC) = 1) w ON e.telescope = w.telescope AND e.timestamp >= w.timestamp),
  a AS (SELECT e.event_id, w.timestamp AS wt, w.temperature, w.humidity FROM {exposures} e ASOF LEFT JOIN (SELECT * FROM {weather} QUALIFY row_number() OVER (PARTITION BY telescope, timestamp ORDER BY weather_id) = 1) w ON e.telescope = w.telescope AND e.timestamp <= w.timestamp),
  g AS (SELECT b.event_id, (epoch_us(b.t) - epoch_us(b.wt)) / 1e6 AS gb, (epoch_us(a.wt) - epoch_us(b.t)) / 1e6 AS ga, b.temperature AS tb, a.temperature AS ta, b.humidity AS hb, a.humidity AS ha FROM b JOIN a ON a.event_id = b.event_id),

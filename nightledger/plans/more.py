@@ -10,13 +10,6 @@ from ..operators import cluster, images, ordered, stats
 from .catalog import query
 
 
-@query("D29_batch_summary", """WITH m AS (SELECT frame, quantile_cont(fwhm, 0.5) AS fwhm FROM {stars} GROUP BY frame) SELECT frame % 20 AS batch, count(*) AS frames, avg(fwhm) AS mean_fwhm, quantile_cont(fwhm, 0.5) AS median_fwhm, stddev_pop(fwhm) AS spread,
- arg_min(frame, fwhm * 1e7 + frame) AS best_frame, arg_max(frame, fwhm * 1e7 - frame) AS worst_frame FROM m GROUP BY batch""", "mean_fwhm median_fwhm spread")
-def _(v):
-    m = stats.frame_metrics(v.stars)
-    return m.groupBy((F.col("frame") % 20).alias("batch")).agg(F.count("*").alias("frames"), F.avg("fwhm").alias("mean_fwhm"), F.expr("percentile(fwhm, 0.5)").alias("median_fwhm"), F.stddev_pop("fwhm").alias("spread"), F.min_by("frame", F.struct("fwhm", "frame")).alias("best_frame"), F.max_by("frame", F.struct(F.col("fwhm"), -F.col("frame"))).alias("worst_frame"))
-
-
 @query("D40_year_stats", """WITH o AS (SELECT *, year(observation_date) AS y, month(observation_date) AS m FROM {observations}), b AS (SELECT y, m, sum(exposure_time) AS e FROM o GROUP BY y, m QUALIFY row_number() OVER (PARTITION BY y ORDER BY e DESC, m) = 1)
  SELECT CAST(o.y AS INT) AS year, count(DISTINCT observation_date) AS nights, sum(exposure_time) AS total_exposure, count(DISTINCT target_id) AS targets, CAST(sum(frame_count) AS BIGINT) / count(DISTINCT observation_date) AS frames_a_night, CAST(any_value(b.m) AS INT) AS best_month FROM o JOIN b ON o.y = b.y GROUP BY o.y""", "frames_a_night")
 def _(v):
@@ -56,12 +49,6 @@ def _(v):
     return found.groupBy("event_id").agg(F.min_by("id", F.struct("p", "id")).alias("id"))
 
 
-@query("E08_best_and_worst", "WITH r AS (SELECT frame, star, row_number() OVER (ORDER BY fwhm, frame, star) AS a, row_number() OVER (ORDER BY fwhm DESC, frame, star) AS b FROM {stars}) SELECT frame, star, 'best' AS kind FROM r WHERE a <= 10 UNION ALL SELECT frame, star, 'worst' FROM r WHERE b <= 10")
-def _(v):
-    pick = lambda kind, order: v.stars.orderBy(order, "frame", "star").limit(10).select("frame", "star", F.lit(kind).alias("kind"))
-    return pick("best", F.col("fwhm")).unionByName(pick("worst", F.col("fwhm").desc()))
-
-
 @query("F02_cluster_summary", """WITH RECURSIVE e AS (SELECT a.id AS u, b.id AS v FROM {targets} a JOIN {targets} b ON a.id <> b.id AND abs(a.dec_deg - b.dec_deg) <= 1.5 WHERE degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(b.dec_deg - a.dec_deg) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2))))) <= 1.5),
  r AS (SELECT id, id AS c FROM {targets} UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id WHERE r.c < e.v), k AS (SELECT id, min(c) AS cluster FROM r GROUP BY id), t AS (SELECT target_id, sum(exposure_time) AS e FROM {observations} GROUP BY target_id)
  SELECT cluster, count(*) AS members, coalesce(sum(e), 0) AS exposure FROM k LEFT JOIN t ON target_id = id GROUP BY cluster""")
@@ -81,16 +68,6 @@ def _(v):
     return images.histogram(v.pixels, 16)
 
 
-@query("G13_stretch", "WITH m AS (SELECT image_id, quantile_cont(value, 0.5) AS median FROM {pixels} GROUP BY image_id) SELECT p.image_id, median, quantile_cont(abs(value - median), 0.5) AS mad, greatest(-1, median - 2.8 * 1.4826 * quantile_cont(abs(value - median), 0.5)) AS clip FROM {pixels} p JOIN m ON m.image_id = p.image_id GROUP BY p.image_id, median", "median mad clip")
-def _(v):
-    return images.stretch_parameters(v.pixels)
-
-
-@query("I04_store_analysis", "SELECT target, CAST(date_obs AS DATE) AS night, filter, sum(exposure) AS exposure_time, count(*) AS frame_count FROM {frames} WHERE image_type = 'LIGHT' GROUP BY target, night, filter")
-def _(v):
-    return stats.exposure_details(v.frames).groupBy("target", "night", "filter").agg(F.sum(F.col("n") * F.col("exposure")).alias("exposure_time"), F.sum("n").alias("frame_count"))
-
-
 @query("I06_tagged", "SELECT tag, count(*) AS n_targets, count(DISTINCT canonical_name) AS n_names FROM {tags} g JOIN {target_tags} l ON g.tag_id = l.tag_id JOIN {targets} t ON t.id = l.target_id GROUP BY tag")
 def _(v):
     joined = v.tags.join(v.target_tags, "tag_id").join(v.targets, F.col("id") == F.col("target_id"))

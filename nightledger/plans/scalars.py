@@ -166,14 +166,6 @@ def _(v):
     return cluster.merge_duplicates(v.targets)
 
 
-@query("G02_spearman", """WITH r AS (SELECT telescope, rank() OVER (PARTITION BY telescope ORDER BY hfr) + (count(*) OVER (PARTITION BY telescope, hfr) - 1) / 2 AS x, rank() OVER (PARTITION BY telescope ORDER BY fwhm) + (count(*) OVER (PARTITION BY telescope, fwhm) - 1) / 2 AS y FROM {exposures} WHERE fwhm IS NOT NULL)
- SELECT telescope, corr(x, y) AS rho FROM r GROUP BY telescope""", "rho")
-def _(v):
-    rows = v.exposures.where("fwhm is not null and hfr is not null")
-    mean_rank = lambda c: F.rank().over(Window.partitionBy("telescope").orderBy(c)) + (F.count("*").over(Window.partitionBy("telescope", c)) - 1) / 2
-    return rows.select("telescope", mean_rank("hfr").alias("x"), mean_rank("fwhm").alias("y")).groupBy("telescope").agg(F.corr("x", "y").alias("rho"))
-
-
 @query("G07_welch", """WITH g AS (SELECT camera, count(*) AS n, avg(hfr) AS m, var_samp(hfr) AS s FROM {exposures} GROUP BY camera) SELECT a.n AS n_a, b.n AS n_b, (a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) AS t, pow(a.s / a.n + b.s / b.n, 2) / (pow(a.s / a.n, 2) / (a.n - 1) + pow(b.s / b.n, 2) / (b.n - 1)) AS df,
  (a.m - b.m) / sqrt((a.s + b.s) / 2) AS cohen_d FROM g a JOIN g b ON a.camera = 'C0' AND b.camera = 'C1'""", "t df cohen_d")
 def _(v):
@@ -182,10 +174,3 @@ def _(v):
     g = v.exposures.agg(*parts)
     ea, eb = F.col("s_a") / F.col("n_a"), F.col("s_b") / F.col("n_b")
     return g.select("n_a", "n_b", ((F.col("m_a") - F.col("m_b")) / F.sqrt(ea + eb)).alias("t"), (F.pow(ea + eb, F.lit(2)) / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1))).alias("df"), ((F.col("m_a") - F.col("m_b")) / F.sqrt((F.col("s_a") + F.col("s_b")) / 2)).alias("cohen_d"))
-
-
-@query("G14_metric_histogram", "WITH m AS (SELECT min(hfr) AS lo, max(hfr) AS hi FROM {exposures}) SELECT CAST(least(floor((hfr - lo) / (hi - lo) * 20), 19) AS INT) AS bin, count(*) AS n FROM {exposures}, m GROUP BY bin")
-def _(v):
-    ends = v.exposures.agg(F.min("hfr").alias("lo"), F.max("hfr").alias("hi"))
-    place = F.least(F.floor((F.col("hfr") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 20), F.lit(19)).cast("int")
-    return v.exposures.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # the ends are one row
