@@ -94,12 +94,16 @@ def sexagesimal_to_degrees(c: Column) -> Column:
 
 
 def target_from_path(path: Column) -> Column:
-    """The folder above LIGHT, DARK, FLAT, BIAS or DARKFLAT, past folders such as Night_2; null for dates and observatories."""
+    """The nearest of the three folders above LIGHT, DARK, FLAT, BIAS or DARKFLAT, past folders such as Night_2; null where a dated folder or an observatory's
+    comes first, or where the name is of a calibration target."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    kind = F.array_max(F.transform(folders, lambda x, i: F.when(F.upper(x).isin("LIGHT", "DARK", "FLAT", "BIAS", "DARKFLAT"), i)))
-    above = F.filter(F.slice(folders, 1, F.coalesce(kind, F.lit(0))), lambda x: ~x.rlike(r"(?i)^(nuit|night|session)[_\-]?\d+$"))
-    name = F.get(above, F.size(above) - 1)
-    return F.when(~name.rlike(r"(?i)^\d{4}[-_]?\d{2}[-_]?\d{2}$|^observatoire"), name)
+    kind = F.coalesce(F.array_max(F.transform(folders, lambda x, i: F.when(F.upper(x).isin("LIGHT", "DARK", "FLAT", "BIAS", "DARKFLAT"), i))), F.lit(0))
+    above = F.reverse(F.slice(folders, F.greatest(kind - 2, F.lit(1)), F.least(kind, F.lit(3))))
+    skipped, stops = r"(?i)^(nuit|night|session)[_\- ]?\d+", r"(?i)^.{4}-.{2}-.{2}|^observatoire"
+    # the first folder that isn't skipped; '/' marks that the search has ended without a name
+    first = F.aggregate(above, F.lit("").cast("string"), lambda have, x: F.when(have != "", have).when(x.rlike(skipped) | (x == ""), have).when(x.rlike(stops), F.lit("/")).otherwise(x))
+    name = F.regexp_replace(F.trim(first), r"\s+", " ")
+    return F.when((name != "") & (name != "/") & ~is_calibration_target(name), name)
 
 
 def format_duration(seconds: Column) -> Column:

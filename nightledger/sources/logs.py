@@ -35,6 +35,80 @@ def read_mount_dti(spark: SparkSession, root: str) -> DataFrame:
     return cells.select("source_path", "line_no", F.trim(F.get("c", F.lit(0))).alias("timestamp"), *(F.trim(F.get("c", F.lit(k + 1))).try_cast("double").alias(n) for k, n in enumerate(names)))
 
 
+def read_mount_header(spark: SparkSession, root: str) -> DataFrame:
+    """version, location, mount and firmware from the first 20 lines of each tracking log."""
+    head = _lines(spark, root, "*.dat").where("line_no < 20")
+    cell = lambda name: F.min_by(F.nullif(F.trim(F.regexp_replace("line", rf"^\s*{name}:\s*", "")), F.lit("")), F.when(F.col("line").rlike(rf"^\s*{name}:"), F.col("line_no")))
+    version = F.min_by(F.nullif(F.regexp_extract("line", r"\(v\.([\d.]+)\)", 1), F.lit("")), F.when(F.col("line_no") == 0, 0))
+    return head.groupBy("source_path").agg(version.alias("version"), cell("Location").alias("location"), cell("Mount").alias("mount"), cell("Firmware").alias("firmware"))
+
+
+def _cells(spark: SparkSession, root: str, pattern: str, least: int):
+    """(lines split at tabs below the line 'Timestamp', getters of a text, a number and a whole number)."""
+    cells = _after(_lines(spark, root, pattern), "Timestamp").select("source_path", "line_no", F.split("line", "\t").alias("c")).where(F.size("c") >= least)
+    of = lambda k: F.nullif(F.trim(F.get("c", F.lit(k))), F.lit(""))
+    return cells.where(of(0).isNotNull()), of, lambda k: of(k).try_cast("double"), lambda k: of(k).try_cast("double").cast("int")
+
+
+def read_mount_fft(spark: SparkSession, root: str) -> DataFrame:
+    """Periodic-error peaks: axis, sample rate, bins, and frequency, period and amplitude of three peaks."""
+    cells, text, number, whole = _cells(spark, root, "*.fft", 13)
+    peaks = [number(4 + 3 * p + k).alias(f"peak{p + 1}_{n}") for p in range(3) for k, n in enumerate(("freq", "period", "amp"))]
+    return cells.select("source_path", "line_no", text(0).alias("timestamp"), text(1).alias("axis"), number(2).alias("sample_rate"), whole(3).alias("num_bins"), *peaks)
+
+
+def read_mount_env(spark: SparkSession, root: str) -> DataFrame:
+    """Environment samples; any field may be empty."""
+    cells, text, number, whole = _cells(spark, root, "*.env", 2)
+    named = {"temp_ext": number(1), "pressure": number(2), "temp_int": number(3), "tracking_rate": text(5), "meridian_flip_min": number(6), "pier_side": text(7), "align_stars": whole(8), "align_rms": number(9), "polar_error": number(10)}
+    return cells.select("source_path", "line_no", text(0).alias("timestamp"), *(v.alias(k) for k, v in named.items()))
+
+
+def read_mount_meta(spark: SparkSession, root: str) -> DataFrame:
+    """mount and firmware: the first of each in every event log."""
+    lines = _lines(spark, root, "*.log")
+    first = lambda form: F.min_by(F.trim(F.regexp_extract("line", form, 1)), F.when(F.col("line").rlike(form), F.col("line_no")))
+    return lines.groupBy("source_path").agg(first(r"Mount:\s*(.+?)\s*\|").alias("mount"), first(r"FW:\s*([\d.]+)").alias("firmware"))
+
+
+def mount_sessions(headers: DataFrame, *companions: tuple[str, DataFrame]) -> DataFrame:
+    """One row for each tracking log, with the rows of its companions (name, table): files of the same folder and stem are one session. A companion without
+    several rows a file gives its columns, others the number of their rows; the log's mount and firmware fill what the tracking log lacks."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    out = headers.withColumn("session", stem("source_path")).drop("source_path")
+    for name, table in companions:
+        own = table.withColumn("session", stem("source_path"))
+        if "line_no" in table.columns:
+            out = out.join(own.groupBy("session").agg(F.count("*").alias(f"n_{name}")), "session", "left").fillna(0, [f"n_{name}"])
+        else:
+            values = [c for c in table.columns if c != "source_path"]
+            out = out.join(own.select("session", *(F.col(c).alias(f"_{c}") for c in values)), "session", "left")
+            out = out.withColumns({c: F.coalesce(c, f"_{c}") if c in out.columns else F.col(f"_{c}") for c in values}).drop(*(f"_{c}" for c in values))
+    return out
+
+
+def read_xisf_headers(spark: SparkSession, root: str, pattern: str = "*.xisf") -> DataFrame:
+    """(path, place, keyword, value, compression) of the keyword elements in the XML at the start of each file, whose length the file's bytes 9 to 12 say; the codec is the image element's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    size = F.conv(F.hex(F.reverse(F.substring("content", 9, 4))), 16, 10).cast("int")
+    xml = files.where(F.decode(F.substring("content", 1, 8), "ISO-8859-1") == "XISF0100").select("path", F.decode(F.substring(F.col("content"), F.lit(17), size), "UTF-8").alias("xml"))
+    plain = xml.withColumn("xml", F.regexp_replace(F.regexp_replace("xml", r"\x00", ""), r"<\?xml[^>]*\?>", ""))
+    found = plain.select("path", F.expr("xpath(xml, '//FITSKeyword/@name')").alias("k"), F.expr("xpath(xml, '//FITSKeyword/@value')").alias("v"), F.nullif(F.expr("xpath_string(xml, '//Image/@compression')"), F.lit("")).alias("compression"))
+    pairs = found.select("path", "compression", F.posexplode_outer(F.arrays_zip("k", "v")).alias("place", "p"))
+    return pairs.select("path", "place", F.col("p.k").alias("keyword"), F.trim(F.regexp_replace("p.v", "^'(.*?)\\s*'$", "$1")).alias("value"), "compression")
+
+
+def extension_mismatches(spark: SparkSession, root: str) -> DataFrame:
+    """(path, extension, content): files whose first bytes are of another kind than their ending. FITS begins with SIMPLE, XISF with XISF0100; .fz holds FITS."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.lower("path")
+    ending = F.when(name.rlike(r"\.(fits|fit)\.fz$"), "fz").when(name.rlike(r"\.(fits|fit|fts)$"), "fits").when(name.endswith(".xisf"), "xisf").otherwise("unknown")
+    start = F.decode(F.substring("content", 1, 8), "ISO-8859-1")
+    kind = F.when(start == "XISF0100", "xisf").when(start.startswith("SIMPLE"), "fits").otherwise("unknown")
+    judged = files.select("path", ending.alias("extension"), kind.alias("content")).where("extension <> 'unknown'")
+    return judged.where(F.when(F.col("extension") == "fz", "fits").otherwise(F.col("extension")) != F.col("content"))
+
+
 def read_processing_log(spark: SparkSession, root: str, product: str, pattern: str = "*.log") -> DataFrame:
     """(source_path, line_no, logged_at, line) of the logs that name ``product`` in their first 1,024 characters; the ``[time]`` prefix is taken off."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
@@ -56,10 +130,98 @@ def subframe_metrics(lines: DataFrame) -> DataFrame:
     return kept.select("source_path", "block", "file", F.trim(F.regexp_extract("line", r"^([^:]+?)\s* : ", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]+ : (.*)$", 1)).alias("value"))
 
 
-def calibration_groups(lines: DataFrame) -> DataFrame:
-    found = r"Group of (\d+) (.+?) frames? \((\d+) active\)"
-    hit = lines.where(F.col("line").rlike(found))
-    return hit.select("source_path", "line_no", F.regexp_extract("line", found, 1).cast("int").alias("n_frames"), F.regexp_extract("line", found, 2).alias("frame_type"), F.regexp_extract("line", found, 3).cast("int").alias("n_active"))
+def calibration_groups(lines: DataFrame, reach: int = 20) -> DataFrame:
+    """A row for each 'Group of N <type> frames (M active)': numbers, and of the up to ``reach`` lines below it (ended by a blank line, by *** or by the next group) size, binning,
+    filter, exposure (seconds, or the range as written), keywords, colour mode, master paths and pedestal."""
+    found = r"^\s*Group of (\d+) (\w+) frames?\s*\((\d+) active\)"
+    order = Window.partitionBy("source_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("block", F.sum(F.when(F.col("line").rlike(found), 1).otherwise(0)).over(order)).where("block > 0")
+    inside = Window.partitionBy("source_path", "block").orderBy("line_no")
+    placed = marked.withColumn("place", F.row_number().over(inside))
+    ends = F.when((F.col("place") > 1) & ((F.trim("line") == "") | F.trim("line").startswith("***")), 1).otherwise(0)
+    body = placed.withColumn("ended", F.sum(ends).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("ended") == 0) & (F.col("place") <= reach))
+
+    def part(form: str, k: int = 1):
+        return F.min_by(F.trim(F.regexp_extract(F.trim("line"), form, k)), F.when(F.trim("line").rlike(form), F.col("line_no")))
+
+    master = lambda kind: F.nullif(part(rf"^Master {kind}:\s*(.+)"), F.lit("none")).alias(f"master_{kind}")
+    exposure = part(r"^Exposure\s*:\s*\[?([^\]]+)\]?")
+    out = body.groupBy("source_path", "block").agg(
+        F.min("line_no").alias("line_no"), part(found).cast("int").alias("n_frames"), part(found, 2).alias("frame_type"), part(found, 3).cast("int").alias("n_active"), part(r"^SIZE\s*:\s*(\d+)x(\d+)").cast("int").alias("width"), part(r"^SIZE\s*:\s*(\d+)x(\d+)", 2).cast("int").alias("height"),
+        part(r"^BINNING\s*:\s*(\d+)").cast("int").alias("binning"), part(r"^Filter\s*:\s*(\S+)").alias("filter_name"), exposure.alias("exposure"), part(r"^Keywords\s*:\s*\[(.*)\]").alias("keywords"), part(r"^Color\s*:\s*(\S+)").alias("color_mode"), *(master(k) for k in ("bias", "dark", "flat")),
+        part(r"^Applying automatic pedestal:\s*([\d.]+)").cast("double").alias("pedestal"),
+    )
+    seconds = F.regexp_replace("exposure", "s$", "").try_cast("double")
+    return out.withColumn("exposure_seconds", seconds).withColumn("exposure_range", F.when(seconds.isNull(), F.col("exposure"))).drop("exposure")
+
+
+def frame_rejections(lines: DataFrame) -> DataFrame:
+    """(source_path, line_no, filename, weight, threshold, accepted) of both kinds of rejection lines; a warning has no threshold."""
+    plain = r"^\[Frames rejection\]\s*(.+?)\s*-\s*([\d.]+)\s*[<>]?\s*([\d.]+)\s*\|\s*(\w+)"
+    warning = r"^\*{3}\s*Warning:\s*frame rejected\s*\[(.+?)\s*-\s*([\d.]+)"
+    of = lambda form, k: F.regexp_extract("line", form, k)
+    one = lines.where(F.col("line").rlike(plain)).select("source_path", "line_no", F.trim(of(plain, 1)).alias("filename"), of(plain, 2).try_cast("double").alias("weight"), of(plain, 3).try_cast("double").alias("threshold"), (F.lower(of(plain, 4)) == "accepted").alias("accepted"))
+    other = lines.where(F.col("line").rlike(warning)).select("source_path", "line_no", F.trim(of(warning, 1)).alias("filename"), of(warning, 2).try_cast("double").alias("weight"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("accepted"))
+    return one.unionByName(other)
+
+
+def integration_lines(lines: DataFrame) -> DataFrame:
+    """The lines between '* Begin integration of Light frames' and its end, with integration (from 1 in each log) and the next line."""
+    order = Window.partitionBy("source_path").orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    begins, ends = F.col("line").contains("* Begin integration of Light frames"), F.col("line").contains("* End integration of Light frames")
+    marked = lines.withColumns({"integration": F.sum(begins.cast("int")).over(upto), "line": F.trim("line"), "next": F.trim(F.lead("line").over(order))}).where("integration > 0")
+    inside = Window.partitionBy("source_path", "integration").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("over", F.sum(ends.cast("int")).over(inside)).where("over = 0").drop("over")
+
+
+def integrations(lines: DataFrame) -> DataFrame:
+    """One row for each integration of light frames: filter, frames in all, integrated and rejected, methods, rejection percentages, output estimates and file."""
+    body = integration_lines(lines)
+
+    def part(form: str, k: int = 1, last: bool = False):
+        return (F.max_by if last else F.min_by)(F.trim(F.regexp_extract("line", form, k)), F.when(F.col("line").rlike(form), F.col("line_no")))
+
+    total = r"^Total\s*:\s*\d+\s+([\d.]+)%\s*\(\s*\d+\s*\+\s*\d+\s*=\s*([\d.]+)%\s*\+\s*([\d.]+)%\)"
+    number = lambda name: part(rf"^{name}\s*:\s*([eE\d.+-]+)", last=True).try_cast("double")
+    out = body.groupBy("source_path", "integration").agg(
+        part(r"^Filter\s*:\s*(\S+)").alias("filter_name"), part(r"^Group of (\d+) Light frames?\s*\(\d+ active\)").cast("int").alias("frames_total"), part(r"^Integration of (\d+) images?:", last=True).cast("int").alias("frames_integrated"),
+        part(r"^Pixel combination\s*\.+\s*(.+)", last=True).alias("combination_method"), part(r"^Weighting mode\s*\.+\s*(.+)", last=True).alias("weight_mode"), part(r"^Output normalization\s*\.+\s*(.+)", last=True).alias("normalization"),
+        F.coalesce(part(r"^Pixel rejection\s*\.+\s*(.+)", last=True), part(r"^Rejection method auto-selected:\s*(.+)")).alias("rejection_method"), *(part(total, k, True).cast("double").alias(n) for k, n in ((1, "total_rejection_pct"), (2, "low_rejection_pct"), (3, "high_rejection_pct"))),
+        number("SNR estimates").alias("output_snr"), number("PSF signal weights").alias("output_psf_signal"), number("Noise estimates").alias("output_noise"), F.max_by("next", F.when(F.col("line").contains("* Writing master Light frame:"), F.col("line_no"))).alias("output_file"),
+    )
+    rejected = F.when((F.col("frames_total") > 0) & (F.col("frames_integrated") > 0), F.col("frames_total") - F.col("frames_integrated"))
+    return out.withColumn("frames_rejected", rejected).where("frames_integrated > 0 or filter_name is not null")
+
+
+def integration_weights(lines: DataFrame) -> DataFrame:
+    """(source_path, integration, line_no, filename, normalized_weight): '[ n ] path' lines of a list of normalised weights, with the number on the next line."""
+    body = integration_lines(lines)
+    inside = Window.partitionBy("source_path", "integration").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.when(F.col("line").contains("Normalized image weights:"), True).when((F.col("line") == "") | F.col("line").startswith("Integration of") | F.col("line").startswith("* Available"), False)
+    listed = body.withColumn("inside", F.last(state, ignorenulls=True).over(inside)).where("inside")
+    form = r"^\[\s*\d+\]\s*(.+)"
+    return listed.where(F.col("line").rlike(form)).select("source_path", "integration", "line_no", F.trim(F.regexp_extract("line", form, 1)).alias("filename"), F.col("next").try_cast("double").alias("normalized_weight"))
+
+
+def pixel_rejections(lines: DataFrame) -> DataFrame:
+    """(source_path, integration, line_no, filename, pixel_rejection_count, ..pct, low.., high..): a file's line and its numbers on the next line."""
+    form = r"^\d+\s*:\s*(\d+)\s+([\d.]+)%\s*\(\s*(\d+)\s*\+\s*(\d+)\s*=\s*([\d.]+)%\s*\+\s*([\d.]+)%\)"
+    body = integration_lines(lines).where(F.col("next").rlike(form) & ~F.col("line").rlike(r"^(\d|\[|\*|Total|Computing|PSF)") & (F.col("line") != "") & ~F.col("line").contains("Pixel rejection counts"))
+    of = lambda k: F.regexp_extract("next", form, k)
+    return body.select("source_path", "integration", "line_no", F.col("line").alias("filename"), of(1).cast("long").alias("pixel_rejection_count"), of(2).cast("double").alias("pixel_rejection_pct"), of(5).cast("double").alias("low_rejection_pct"), of(6).cast("double").alias("high_rejection_pct"))
+
+
+def log_summary(lines: DataFrame, head: int = 30) -> DataFrame:
+    """By log: first time, tool and script versions (of the first ``head`` lines), registration totals and the last elapsed time."""
+    tool, script = r"^\S+ Core\s+([\d.]+\s+\S+)", r"^(Weighted Batch Preprocessing Script|Fast Batch Preprocessing)\s+([\d.]+)"
+    aligned, elapsed = r"^=+\s*StarAlignment:\s*(\d+)\s*succeeded,\s*(\d+)\s*failed,\s*(\d+)\s*skipped", r"^\s*\*\s*(?:WeightedBatchPreprocessing|FastBatchPreprocessing):\s*(.+)"
+    early = lambda form, k: F.max_by(F.trim(F.regexp_extract("line", form, k)), F.when(F.col("line").rlike(form) & (F.col("line_no") < head), F.col("line_no")))
+    total = lambda k: F.coalesce(F.sum(F.regexp_extract("line", aligned, k).try_cast("long")), F.lit(0))
+    return lines.groupBy("source_path").agg(
+        F.min_by("logged_at", F.when(F.col("logged_at").isNotNull(), F.col("line_no"))).alias("log_timestamp"), early(tool, 1).alias("tool_version"), early(script, 1).alias("script_name"), early(script, 2).alias("script_version"),
+        total(1).alias("registration_succeeded"), total(2).alias("registration_failed"), total(3).alias("registration_skipped"), F.max_by(F.trim(F.regexp_extract("line", elapsed, 1)), F.when(F.col("line").rlike(elapsed), F.col("line_no"))).alias("total_elapsed"),
+    )
 
 
 def parse_light_filename(files: DataFrame, column: str) -> DataFrame:
@@ -69,10 +231,10 @@ def parse_light_filename(files: DataFrame, column: str) -> DataFrame:
     return files.withColumns({"target": part(1), "night": part(2).try_cast("date"), "filter": part(4), "binning": part(5), "exposure": part(6).try_cast("double"), "temperature": part(8).try_cast("double"), "camera": part(9), "sequence": part(10).try_cast("int")})
 
 
-def read_fits_headers(spark: SparkSession, root: str, most: int = 28_800, pattern: str = "*.fits") -> DataFrame:
+def read_fits_headers(spark: SparkSession, root: str, most: int = 28_800, pattern: str = "*.{fits,fit,fts,fits.fz}") -> DataFrame:
     """(path, place, keyword, value) of the 80-character cards up to END.
 
-    END is looked for in the first ``most`` bytes, and in the whole file where it is not among them.
+    A compressed file's cards are those of its first header. END is looked for in the first ``most`` bytes, and in the whole file where it is not among them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from nightledger.plans import catalog, more, scalars  # noqa: F401
+from nightledger.plans import analyses, calibrations, catalog, histories, measures, more, names, scalars, sky_groups  # noqa: F401
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
