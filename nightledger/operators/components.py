@@ -23,8 +23,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that is reachable.
 
-    Edges may repeat, point either way or be loops; rows with a null end are left out. Each round keeps at most as
-    many edges as the last, aggregates before it shuffles, and is checkpointed; rounds stop when no edge moves.
+    Edges may repeat, point either way or be loops; rows with a null end are left out. Each step keeps at most as
+    many edges as the last and aggregates before it shuffles; two of them are one checkpointed round. Rounds stop when no edge moves.
     """
     ends = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     loops = ends.where("u = v").select("u").distinct()
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if now == state or not now[0]:
             break
         state = now
-        stars = durable(_small_star(_large_star(stars)))
+        stars = durable(_small_star(_large_star(_small_star(_large_star(stars)))))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     pairs = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -87,8 +87,10 @@ def session_summary(exposures: DataFrame) -> DataFrame:
 
 def equipment_performance(exposures: DataFrame) -> DataFrame:
     """Exact medians by telescope, camera and filter; frame_count is the larger number of measures, at least 1."""
-    return exposures.withColumn("filter_name", F.coalesce("filter_name", F.lit("Unknown"))).groupBy("telescope", "camera", "filter_name").agg(
-        F.expr("percentile(hfr, 0.5)").alias("median_hfr"), F.expr("percentile(fwhm, 0.5)").alias("median_fwhm"), F.min("hfr").alias("best_hfr"), F.greatest(F.count("hfr"), F.count("fwhm"), F.lit(1)).alias("frame_count"), F.sum("exposure_seconds").alias("total_seconds"))
+    keys = ["telescope", "camera", "filter_name"]
+    rows = exposures.withColumn("filter_name", F.coalesce("filter_name", F.lit("Unknown"))).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in keys[:2]})
+    sums = rows.groupBy(*keys).agg(F.min("hfr").alias("best_hfr"), F.greatest(F.count("hfr"), F.count("fwhm"), F.lit(1)).alias("frame_count"), F.sum("exposure_seconds").alias("total_seconds"))
+    return sums.join(medians(rows, keys, "hfr", "median_hfr"), keys, "left").join(medians(rows, keys, "fwhm", "median_fwhm"), keys, "left")
 
 
 def equipment_performance_obs(observations: DataFrame) -> DataFrame:
