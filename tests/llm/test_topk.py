@@ -49,3 +49,27 @@ def test_few_rows_and_empty(spark):
     assert [tuple(r) for r in digest(frame).collect()] == [(0, 1, 1, 256 * 128)]
     rows = whole_vectors(frame.limit(0), "vec_id", "embedding")
     assert top_k(rows, rows).count() == 0
+
+
+def test_an_empty_vector_is_one_of_zeros(spark):
+    frame = spark.createDataFrame([(0, [-1.0, -1.0]), (1, [1.0, 1.0]), (2, []), (50, [])], "vec_id long, embedding array<float>")
+    found = sorted(tuple(r) for r in digest(frame).collect())
+    assert found == [(0, 1, 2, 0), (0, 2, 50, 0), (0, 3, 1, -2 * 256 * 256), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+
+
+def test_the_root_spares_most_of_clustered_rows(spark, monkeypatch):
+    """With twenty clusters a query is compared with a small share of the rows, and the result is exact."""
+    monkeypatch.setattr(topk, "PAGE_ROWS", 100)
+    monkeypatch.setattr(topk, "LEAF_ROWS", 20)
+    monkeypatch.setattr(topk, "PAGES_A_TASK", 1)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(0, 1, (20, 16))[rng.integers(0, 20, 4000)] + rng.normal(0, 0.02, (4000, 16))).tolist()
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    rows = whole_vectors(frame, "vec_id", "embedding")
+    whole = np.floor(256 * np.array(x)).astype(np.int64)
+    found = topk._ranked(rows, rows.where("vec_id % 500 = 0"), 5, topk.PIVOTS).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    for i in range(0, 4000, 500):
+        want = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+    assert np.mean([r.compared for r in found]) < 400
