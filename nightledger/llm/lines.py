@@ -207,9 +207,10 @@ def _short(tokens: np.ndarray) -> bytes:
     return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _long(packed: np.ndarray) -> np.ndarray:
+    """The numbers of rows of five bytes."""
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :5] = packed
     return out.view("<u8").ravel()
 
 
@@ -327,48 +328,69 @@ def _post_whole(model, count: int):
 
 
 def _overlaps(tokens: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Words that lines i and j have in common."""
+    """Words that lines i and j have in common; ``tokens`` are words as ``_short`` packs them, five bytes each."""
     out = np.zeros(len(i), np.int64)
-    for a in range(0, len(i), 50_000):
+    for a in range(0, len(i), 20_000):
         keys = []
-        for rows in (i[a : a + 50_000], j[a : a + 50_000]):
+        for rows in (i[a : a + 20_000], j[a : a + 20_000]):
             size = first[rows + 1] - first[rows]
             at = np.repeat(first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            keys.append((np.repeat(np.arange(len(rows)), size).astype(np.uint64) << np.uint64(36)) | tokens[at])
+            keys.append((np.repeat(np.arange(len(rows)), size).astype(np.uint64) << np.uint64(36)) | _long(tokens[at]))
         keys = np.sort(np.concatenate(keys))
         both = keys[1:][keys[1:] == keys[:-1]]
-        out[a : a + 50_000] = np.bincount((both >> np.uint64(36)).astype(np.int64), minlength=len(i[a : a + 50_000]))
+        out[a : a + 20_000] = np.bincount((both >> np.uint64(36)).astype(np.int64), minlength=len(i[a : a + 20_000]))
     return out
 
 
+def _parts(column, kind) -> list[np.ndarray]:
+    """The values of a binary column as arrays, without a copy."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def _slices(key: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of sorted keys, about ``most`` long, that part no key."""
+    a = 0
+    while a < len(key):
+        b = min(len(key), a + most)
+        b = int(np.searchsorted(key, key[b - 1], "right"))
+        yield slice(a, b)
+        a = b
+
+
 def _verified(bounds: Filter, count: int):
-    """Sets that have a similar set whose first line is earlier, dealt by set."""
+    """Sets that have a similar set whose first line is earlier, dealt by set. Keys are gone through some ten thousands of postings at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        post = np.concatenate([np.frombuffer(x, _FULL) for x in table.column("postings").to_pylist()])
-        tokens = np.concatenate([_long(x) for x in table.column("tokens").to_pylist()])
-        sizes = [np.frombuffer(x, np.int32) for x in table.column("sizes").to_pylist()]
-        n = [len(x) // _FULL.itemsize for x in table.column("postings").to_pylist()]
-        which = post["ref"] + np.repeat(np.cumsum([0, *map(len, sizes)])[:-1], n)
-        start = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64))])[which]
+        lists = _parts(table.column("postings"), _FULL)
+        sizes = _parts(table.column("sizes"), np.int32)
+        n = [len(x) for x in lists]
         block = np.repeat(table.column("block").to_numpy(), n)
-        order = np.lexsort((post["line"], block, post["doc"], post["key"]))
-        pair = np.stack([post["key"][order], post["set"][order]], axis=1)
-        _, earliest = np.unique(pair.view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True)
-        order = order[np.sort(earliest)]
-        key, sets, size, at = (np.ascontiguousarray(post[c][order]) for c in ("key", "set", "size", "at"))
-        size, at = size.astype(np.int64), at.astype(np.int64)
-        gone = np.zeros(len(order), bool)
-        for i, step in _runs(key):
-            i = i[~gone[i + step]]
-            j = i + step
-            i = i[bounds.lengths(size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j])]
-            if len(i):
+        ref = np.repeat(np.cumsum([0, *map(len, sizes)])[:-1], n)
+        post = np.concatenate(lists)
+        tokens = np.concatenate(_parts(table.column("tokens"), np.uint8)).reshape(-1, 5)
+        bound = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64))])
+        by_key = np.argsort(post["key"], kind="stable")
+        found = [np.zeros(0, np.uint64)]
+        for now in _slices(post["key"][by_key], 60_000):
+            own = by_key[now]
+            part = post[own]
+            order = np.lexsort((part["line"], block[own], part["doc"], part["set"], part["key"]))
+            same = (part["key"][order][1:] == part["key"][order][:-1]) & (part["set"][order][1:] == part["set"][order][:-1])
+            order = order[np.concatenate([[True], ~same])]  # of a set's lines the earliest
+            order = order[np.lexsort((part["line"][order], block[own][order], part["doc"][order], part["key"][order]))]
+            key, sets, size, at = (np.ascontiguousarray(part[c][order]) for c in ("key", "set", "size", "at"))
+            size, at, low = size.astype(np.int64), at.astype(np.int64), bound[part["ref"][order] + ref[own][order]]
+            gone = np.zeros(len(order), bool)
+            for i, step in _runs(key):
+                i = i[~gone[i + step]]
                 j = i + step
-                low = start[order]  # lines in their new order
-                overlap = _overlaps(tokens, np.stack([low, low + size]).T.ravel(), 2 * i, 2 * j)
-                gone[j[bounds.enough(overlap, size[i], size[j])]] = True
-        found = np.unique(sets[gone])
+                i = i[bounds.lengths(size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j])]
+                if len(i):
+                    j = i + step
+                    overlap = _overlaps(tokens, np.stack([low, low + size]).T.ravel(), 2 * i, 2 * j)
+                    gone[j[bounds.enough(overlap, size[i], size[j])]] = True
+            found.append(np.unique(sets[gone]))
+        found = np.unique(np.concatenate(found))
         out = _rows(blocks.partition_of(found, count), count, 0, sets=found)
         return out.select(["part", "sets"])
 
@@ -449,7 +471,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     _, size = blocks.volume(docs)
     bounds = Filter(Fraction(threshold))
     count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
-    fewer = max(1, count // 8)  # what is sent again is little, and lines are sent whole to each partition
+    fewer = max(1, count // 16)  # what is sent again is little, and lines are sent whole to each partition
     tasks = blocks.table_tasks(docs, size)
     words = _counted(docs, tasks, lambda lines: _slot(lines.hashes))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
