@@ -9,6 +9,7 @@ a key that is common in the corpus is sent once by each block at most.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,11 @@ def volume(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def release() -> None:
+    """Gives freed Arrow memory back: a Python worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def table_tasks(docs: DataFrame, total_bytes: int) -> int:
     """Tasks that each build one table of counts: no more than needed, but none has over ``TABLE_BYTES`` of text."""
     return max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // TABLE_BYTES))

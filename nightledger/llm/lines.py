@@ -391,6 +391,7 @@ def _verified(bounds: Filter, count: int):
                     gone[j[bounds.enough(overlap, size[i], size[j])]] = True
             found.append(np.unique(sets[gone]))
         found = np.unique(np.concatenate(found))
+        blocks.release()
         out = _rows(blocks.partition_of(found, count), count, 0, sets=found)
         return out.select(["part", "sets"])
 
@@ -451,6 +452,7 @@ def _cut(count: int):
             n_lines.append(lines.counts)
             n_removed.append(np.bincount(lines.owner[flags], minlength=len(lines.counts)))
         whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        blocks.release()
         own = {c: table.column(c).take(pa.array(order)) for c in ("doc_id", "rest") if c in table.column_names}
         return pa.table({"doc_id": own.pop("doc_id"), "n_lines": whole(n_lines), "n_removed": whole(n_removed), "text": string_column(kept), **own})
 

@@ -25,7 +25,7 @@ from . import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 1 << 20
-CACHED_WORDS = 150_000  # of a worker, before it starts anew
+CACHED_WORDS = 150_000  # of a task, before it starts anew
 THREADS = 2  # of a task
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -226,6 +226,8 @@ def _codec(model, threads: int):
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), ids, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "decoded", "round_trip"])
                 at = end
+        codec.forget()  # a worker serves other stages too
+        blocks.release()
 
     return run
 
