@@ -34,19 +34,35 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-class Lines:
-    """The lines of some texts; ``owner`` is each line's text, ``filled`` those with words."""
+class Breaks:
+    """Where the lines of some texts end; ``counts`` are each text's lines, ``owner`` is each line's text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.words = Words(data, offsets, lower=True)
         self.data, self.offsets = data, offsets
-        self.breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(self.breaks, offsets)
-        self.counts = np.diff(before) + 1
-        base = np.concatenate([[0], np.cumsum(self.counts)])
+        self.before = np.searchsorted(np.flatnonzero(data == 10), offsets)
+        self.counts = np.diff(self.before) + 1
         self.owner = np.repeat(np.arange(len(offsets) - 1), self.counts)
+
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """Each text without the lines marked in ``gone``."""
+        raw, out = self.data.tobytes(), []
+        at = 0
+        for a, b, n in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), self.counts.tolist()):
+            own = gone[at : at + n]
+            out.append(raw[a:b] if not own.any() else b"\n".join([x for x, g in zip(raw[a:b].split(b"\n"), own) if not g]))
+            at += n
+        return out
+
+
+class Lines(Breaks):
+    """Lines with their words; ``filled`` are the lines that have any."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        self.words = Words(data, offsets, lower=True)
+        base = np.concatenate([[0], np.cumsum(self.counts)])
         text = self.words.text()
-        of = (base[:-1] - before[:-1])[text] + np.cumsum(data == 10, dtype=np.int32)[self.words.start]
+        of = (base[:-1] - self.before[:-1])[text] + np.cumsum(data == 10, dtype=np.int32)[self.words.start]
         new = np.ones(len(of), bool)
         new[1:] = of[1:] != of[:-1]
         self.filled = of[new]
@@ -54,14 +70,13 @@ class Lines:
         self.whole = self.words.hashes()
         self.hashes = self.whole & _HASH
 
-    def sets(self, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sets(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words of the filled lines one after the other, first of each line), rarest first; and their 64-bit hashes."""
         out, whole, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(len(self.filled), np.int64)
         for a in range(0, len(self.filled), 1 << 20):  # a line's number takes 20 bits of the sort key
             lo, hi = np.searchsorted(self.of, [a, a + (1 << 20)])
             key = ((self.of[lo:hi] - a).astype(np.uint64) << np.uint64(44)) | self.hashes[lo:hi]
-            if rarity is not None:
-                key |= rarity[_slot(self.hashes[lo:hi])].astype(np.uint64) << np.uint64(36)
+            key |= rarity[_slot(self.hashes[lo:hi])].astype(np.uint64) << np.uint64(36)
             order = np.argsort(key)
             key = key[order]
             new = np.ones(len(key), bool)
@@ -74,16 +89,6 @@ class Lines:
             out.append(key & _HASH)
         return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(whole)
 
-    def kept(self, gone: np.ndarray) -> list[bytes]:
-        """Each text without the lines marked in ``gone``."""
-        raw, out = self.data.tobytes(), []
-        at = 0
-        for a, b, n in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), self.counts.tolist()):
-            own = gone[at : at + n]
-            out.append(raw[a:b] if not own.any() else b"\n".join([x for x, g in zip(raw[a:b].split(b"\n"), own) if not g]))
-            at += n
-        return out
-
 
 def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set from the 64-bit hashes of its words; every set has a token."""
@@ -140,16 +145,15 @@ def _cells(word: np.ndarray, chosen_by: np.ndarray, load: np.ndarray, cell: int)
     return index, mix(word[index] + mix(pair))
 
 
-def _counted(docs: DataFrame, tasks: int, count) -> np.ndarray:
-    """Sums over all rows of ``count(lines)``, a table of 2**SLOT_BITS numbers."""
+def _counted(docs: DataFrame, tasks: int, slots_of) -> np.ndarray:
+    """How often each slot comes in ``slots_of(bytes, offsets)`` of all rows, a table of 2**SLOT_BITS numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for _, _, body, offs in chunks(data, offsets):
-                slots = count(Lines(body, offs))
-                np.add.at(total, slots, 1)
+                np.add.at(total, slots_of(body, offs), 1)
         pack = zstandard.ZstdCompressor(level=1).compress
         for a in range(0, len(total), _SEGMENT):
             if total[a : a + _SEGMENT].any():
@@ -174,8 +178,17 @@ def _rows(part: np.ndarray, count: int, block: int, **columns) -> pa.Table:
     return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), **packed})
 
 
-def _block_lines(table: pa.Table, rarity: np.ndarray | None):
-    """(doc_ids in order, row order, [(first text, lines, tokens, first, ids of sets)]) of a block."""
+def _ascending(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers, packed by their steps."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values.astype("<u8"), prepend=np.uint64(0)).tobytes())
+
+
+def _unpacked(values: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(values), np.uint64)).astype(np.int64)
+
+
+def _block_lines(table: pa.Table, rarity: np.ndarray):
+    """(doc_ids in order, [(first text, lines, tokens, first, ids of sets)]) of a block."""
     order, ids = blocks.in_order(table)
     data, offsets = texts_of(table.column("text").take(pa.array(order)))
     parts = []
@@ -183,7 +196,7 @@ def _block_lines(table: pa.Table, rarity: np.ndarray | None):
         lines = Lines(body, offs)
         tokens, first, whole = lines.sets(rarity)
         parts.append((a, lines, tokens, first, set_ids(whole, first)))
-    return ids, order, parts
+    return ids, parts
 
 
 def _runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -214,17 +227,35 @@ def _long(packed: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("postings", pa.binary()), ("shape", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("lines", pa.binary())])
+
+
+def _sent(**columns) -> pa.Table:
+    n = len(columns["part"])
+    return pa.table([columns.get(f.name, pa.nulls(n, f.type)) for f in _SENT], _SENT)
+
+
 def _post(model, count: int):
+    """Three kinds of rows, told apart by what is null: postings of prefix words by the word's partition; each set of the
+    block, with its first line and that line's document, by the set's partition; and, without keys, the lines that repeat a set of the block."""
+
     def run(table: pa.Table) -> pa.Table:
         rarity, load, bounds, cell = model.value
         block = table.column("block")[0].as_py()
-        _, _, parts = _block_lines(table, rarity)
+        ids_in_order, parts = _block_lines(table, rarity)
         out, shape, keys, seen = [np.zeros(0, _POSTING)], [np.zeros((0, 2), np.int32)], [np.zeros(0, np.uint64)], np.zeros(0, np.uint64)
-        for _, _, tokens, first, ids in parts:
+        sets_of, docs_of, lines_of, repeats, above = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for a, lines, tokens, first, ids in parts:
             new, at = np.unique(ids, return_index=True)
             fresh = np.zeros(len(ids), bool)
             fresh[at[~np.isin(new, seen)]] = True
             seen = np.union1d(seen, new)
+            own_line = above + lines.filled
+            sets_of.append(ids[fresh])
+            docs_of.append(ids_in_order[a + lines.owner[lines.filled[fresh]]])
+            lines_of.append(own_line[fresh])
+            repeats.append(own_line[~fresh])
+            above += len(lines.owner)
             line, place, word = _prefixes(tokens, first, fresh, bounds)
             index, key = _cells(word, ids[line], load, cell)
             post = np.zeros(len(index), _POSTING)
@@ -240,22 +271,37 @@ def _post(model, count: int):
             out.append(post)
             shape.append(np.stack([np.diff(first)[line], place[index]], axis=1).astype(np.int32))
             keys.append(key)
-        post, shape, keys = np.concatenate(out), np.concatenate(shape), np.concatenate(keys)
-        table = _rows(blocks.partition_of(keys, count), count, block, postings=post, shape=shape)
+        post, shape, keys, sets_of, docs_of, lines_of, repeats = map(np.concatenate, (out, shape, keys, sets_of, docs_of, lines_of, repeats))
         pack = zstandard.ZstdCompressor(level=1).compress
-        return table.set_column(3, "shape", pa.array([pack(x) for x in table.column("shape").to_pylist()], pa.binary()))
+        posted = _rows(blocks.partition_of(keys, count), count, block, postings=post, shape=shape)
+        posted = _sent(part=posted["part"], block=posted["block"], postings=posted["postings"], shape=pa.array([pack(x) for x in posted["shape"].to_pylist()], pa.binary()))
+        order, edges = blocks.slices(blocks.partition_of(sets_of, count), count)
+        full = np.flatnonzero(np.diff(edges)).tolist()
+        own = [order[edges[p] : edges[p + 1]] for p in full]
+        packed = lambda c: pa.array([_ascending(c[x]) for x in own], pa.binary())
+        listed = _sent(part=pa.array(full, pa.int32()), block=pa.array([block] * len(full), pa.int32()), keys=pa.array([sets_of[x].tobytes() for x in own], pa.binary()), docs=packed(docs_of), lines=packed(lines_of))
+        again = [_ascending(repeats)] if len(repeats) else []
+        repeated = _sent(part=pa.array([block % count] * len(again), pa.int32()), block=pa.array([block] * len(again), pa.int32()), lines=pa.array(again, pa.binary()))
+        return pa.concat_tables([posted, listed, repeated])
 
     return run
 
 
+def _having(table: pa.Table, column: str) -> list[int]:
+    """The rows in which a column is not null."""
+    return np.flatnonzero(table.column(column).is_valid().to_numpy()).tolist()
+
+
 def _candidates(bounds: Filter):
     """Of each block's postings, those that pass the filters with any other set's."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, _POSTING) for x in table.column("postings").to_pylist()]
+        rows = _having(table, "postings")
+        column = lambda c: (table.column(c)[k] for k in rows)
+        lists = _parts(column("postings"), _POSTING)
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        post = np.concatenate(lists)
-        shape = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int32).reshape(-1, 2) for x in table.column("shape").to_pylist()])
+        post = np.concatenate([np.zeros(0, _POSTING), *lists])
+        shape = np.concatenate([np.zeros((0, 2), np.int32), *(np.frombuffer(zstandard.decompress(x.as_py()), np.int32).reshape(-1, 2) for x in column("shape"))])
         order = np.argsort(post["key"])
         key = post["key"][order]
         alone = np.ones(len(key), bool)
@@ -276,7 +322,7 @@ def _candidates(bounds: Filter):
             bits = np.bitwise_count(odd0[i] ^ odd0[j]).astype(np.int64) + np.bitwise_count(odd1[i] ^ odd1[j])
             go = bounds.sketches(bits, size[i], size[j]) & bounds.positions(size[i], at[i], size[j], at[j]) & np.where((size[i] < size[j]) | ((size[i] == size[j]) & (sets[i] < sets[j])), short[i], short[j])
             hit[i[go]] = hit[j[go]] = True
-        names = table.column("block").to_pylist()
+        names = [x.as_py() for x in column("block")]
         met = _meeting(sets, key)
         found = {b: np.unique(met[hit & (own == b)]) for b in np.unique(own[hit])}
         return pa.table({"block": pa.array([names[b] for b in found], pa.int32()), "sets": pa.array([x.tobytes() for x in found.values()], pa.binary())})
@@ -294,7 +340,7 @@ def _post_whole(model, count: int):
             return empty
         want = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("sets").to_pylist()]))
         block = table.column("block")[0].as_py()
-        docs, _, parts = _block_lines(table, rarity)
+        docs, parts = _block_lines(table, rarity)
         rows = {p: ([], [], []) for p in range(count)}
         done, above = np.zeros(0, np.uint64), 0
         for a, lines, tokens, first, ids in parts:
@@ -398,65 +444,40 @@ def _verified(bounds: Filter, count: int):
     return run
 
 
-def _send_sets(count: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        docs, _, parts = _block_lines(table, None)
-        ids = np.concatenate([np.zeros(0, np.uint64), *(p[4] for p in parts)])
-        doc = np.concatenate([np.zeros(0, np.int64), *(docs[a + lines.owner[lines.filled]] for a, lines, *_ in parts)])
-        _, first = np.unique(ids, return_index=True)
-        first = np.sort(first)
-        return _rows(blocks.partition_of(ids[first], count), count, block, keys=ids[first], docs=doc[first])
-
-    return run
-
-
-def _judge(lists: pa.Table, similar: pa.Table) -> pa.Table:
-    """Of each block's sets, which another block holds in an earlier document, or in an earlier block of it, or which have an earlier similar set."""
-    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("gone", pa.binary())])
-    if not lists.num_rows:
-        return pa.table({c: [] for c in schema.names}, schema)
-    each = [np.frombuffer(x, np.uint64) for x in lists.column("keys").to_pylist()]
-    keys, doc = np.concatenate(each), np.concatenate([np.frombuffer(x, np.int64) for x in lists.column("docs").to_pylist()])
-    bad = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in similar.column("sets").to_pylist())])
-    block = np.repeat(lists.column("block").to_numpy(), [len(x) for x in each])
+def _judge(sent: pa.Table, similar: pa.Table) -> pa.Table:
+    """The lines of each block that go: those whose set another block holds in an earlier document, or in an earlier block of
+    it, or has an earlier similar set; and those that repeat a set of their block."""
+    listed = _having(sent, "keys")
+    column = lambda c: (sent.column(c)[k].as_py() for k in listed)
+    each = _parts((sent.column("keys")[k] for k in listed), np.uint64)
+    keys, doc = np.concatenate([np.zeros(0, np.uint64), *each]), np.concatenate([np.zeros(0, np.int64), *map(_unpacked, column("docs"))])
+    bad = np.concatenate([np.zeros(0, np.uint64), *_parts(similar.column("sets"), np.uint64)])
+    names = list(column("block"))
+    block = np.repeat(np.array(names, np.int64), [len(x) for x in each])
     order = np.lexsort((block, doc, keys))
     later = np.zeros(len(keys), bool)
     later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
     gone = later | np.isin(keys, bad)
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-    keep = [k for k in range(len(each)) if gone[edges[k] : edges[k + 1]].any()]
-    column = lambda c: [lists.column(c)[k].as_py() for k in keep]
-    return pa.table({"block": column("block"), "part": column("part"), "gone": [np.packbits(gone[edges[k] : edges[k + 1]]).tobytes() for k in keep]}, schema)
-
-
-def _cut(count: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, order, parts = _block_lines(table, None)
-        ids = np.concatenate([np.zeros(0, np.uint64), *(p[4] for p in parts)])
-        _, first = np.unique(ids, return_index=True)
-        first = np.sort(first)
-        gone = np.ones(len(ids), bool)
-        gone[first] = False
-        if len(first) and answers.num_rows:
-            own, edges = blocks.slices(blocks.partition_of(ids[first], count), count)
-            for p, bits in zip(answers.column("part").to_pylist(), answers.column("gone").to_pylist()):
-                mine = first[own[edges[p] : edges[p + 1]]]
-                gone[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
-        kept, n_lines, n_removed, at = [], [], [], 0
-        for _, lines, *_, own_ids in parts:
-            flags = np.zeros(len(lines.owner), bool)
-            flags[lines.filled] = gone[at : at + len(own_ids)]
-            at += len(own_ids)
-            kept += lines.kept(flags)
-            n_lines.append(lines.counts)
-            n_removed.append(np.bincount(lines.owner[flags], minlength=len(lines.counts)))
-        whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        blocks.release()
-        own = {c: table.column(c).take(pa.array(order)) for c in ("doc_id", "rest") if c in table.column_names}
-        return pa.table({"doc_id": own.pop("doc_id"), "n_lines": whole(n_lines), "n_removed": whole(n_removed), "text": string_column(kept), **own})
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    answers = [(name, _ascending(_unpacked(lines)[gone[a:b]])) for name, lines, a, b in zip(names, column("lines"), edges, edges[1:]) if gone[a:b].any()]
+    plain = set(_having(sent, "lines")).difference(listed)
+    answers += [(sent.column("block")[k].as_py(), sent.column("lines")[k].as_py()) for k in sorted(plain)]
+    blocks.release()
+    return pa.table({"block": pa.array([a for a, _ in answers], pa.int32()), "lines": pa.array([x for _, x in answers], pa.binary())})
 
-    return run
+
+def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """A block's texts without the lines that go."""
+    order, _ = blocks.in_order(table)
+    data, offsets = texts_of(table.column("text").take(pa.array(order)))
+    lines = Breaks(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+    gone = np.zeros(len(lines.owner), bool)
+    for x in answers.column("lines"):
+        gone[_unpacked(x.as_py())] = True
+    kept = string_column(lines.kept(gone))
+    blocks.release()
+    own = {c: table.column(c).take(pa.array(order)) for c in ("doc_id", "rest") if c in table.column_names}
+    return pa.table({"doc_id": own.pop("doc_id"), "n_lines": lines.counts, "n_removed": np.bincount(lines.owner[gone], minlength=len(lines.counts)), "text": kept, **own})
 
 
 def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int = CELL, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -475,11 +496,11 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     count = blocks.partition_count(size // 4)  # small partitions: what is sent again is many times a posting
     fewer = max(1, count // 16)  # what is sent again is little, and lines are sent whole to each partition
     tasks = blocks.table_tasks(docs, size)
-    words = _counted(docs, tasks, lambda lines: _slot(lines.hashes))
+    words = _counted(docs, tasks, lambda body, offs: _slot(Words(body, offs, lower=True).hashes() & _HASH))
     rarity = np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8)
 
-    def prefix_slots(lines: Lines) -> np.ndarray:
-        tokens, first, whole = lines.sets(rarity)
+    def prefix_slots(body: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        tokens, first, whole = Lines(body, offs).sets(rarity)
         _, at = np.unique(set_ids(whole, first), return_index=True)
         chosen = np.zeros(len(first) - 1, bool)
         chosen[at] = True
@@ -490,17 +511,16 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), cell: int
     spread = blocks.crowded(docs, blocks.block_count(size))
     dealt = blocks.with_block(docs, blocks.block_count(size), spread)
     grouped = dealt.groupBy("block")
-    postings = grouped.applyInArrow(_post(model, count), "part int, block int, postings binary, shape binary")
-    asked = postings.groupBy("part").applyInArrow(_candidates(bounds), "block int, sets binary")
+    sent = grouped.applyInArrow(_post(model, count), "part int, block int, postings binary, shape binary, keys binary, docs binary, lines binary").groupBy("part")
+    asked = sent.applyInArrow(_candidates(bounds), "block int, sets binary")
     whole = grouped.cogroup(asked.groupBy("block")).applyInArrow(_post_whole(model, fewer), "part int, block int, postings binary, tokens binary, sizes binary")
     similar = whole.groupBy("part").applyInArrow(_verified(bounds, count), "part int, sets binary")
-    lists = grouped.applyInArrow(_send_sets(count), "part int, block int, keys binary, docs binary")
-    answers = lists.groupBy("part").cogroup(similar.groupBy("part")).applyInArrow(_judge, "block int, part int, gone binary")
+    answers = sent.cogroup(similar.groupBy("part")).applyInArrow(_judge, "block int, lines binary")  # one exchange of ``sent`` serves both
     result = "doc_id long, n_lines long, n_removed long, text string"
     if carry:
         grouped = blocks.with_block(whole_rows, blocks.block_count(size), spread).groupBy("block")
         result += f", rest {blocks.sql_type(whole_rows, 'rest')}"
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut(count), result)
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut, result)
 
 
 def digest(docs: DataFrame) -> DataFrame:
