@@ -34,3 +34,30 @@ def compare_series(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
     both = scaled(a, "a").join(scaled(b, "b"), key)
     gap = F.col("a") - F.col("b")
     return both.agg(F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.corr("a", "b").alias("r"))
+
+
+def compare_profiles(a: DataFrame, b: DataFrame, by: str, key: str, value: str) -> DataFrame:
+    """By group: n, rmse, mae, r, peak_diff and mean_diff of two series, each scaled to 0 .. 1; ``key`` counts from 0 in each.
+
+    The shorter series is interpolated linearly at the places of the longer. A constant series is 0 everywhere, and its
+    correlation is 0. Groups that only one side has are left out. Points meet by (group, place), so a long series is spread over tasks.
+    """
+    length = lambda rows, name: rows.groupBy(by).agg(F.count("*").alias(name))
+    lengths = length(a, "_a").join(length(b, "_b"), by).withColumn("_n", F.greatest("_a", "_b"))
+
+    def scaled(rows: DataFrame, own: str, name: str) -> DataFrame:
+        after = rows.select(by, (F.col(key) - 1).alias(key), F.col(value).alias("_after"))
+        points = rows.select(by, key, value).join(after, [by, key], "left").join(lengths.select(by, F.col(own).alias("_m"), "_n"), by)
+        step = (F.col("_n") - 1) / F.nullif(F.col("_m") - 1, F.lit(0))  # places of the longer series a point
+        last = F.col(key) == F.col("_m") - 1
+        begin = F.when(F.col("_m") == 1, F.lit(0)).otherwise(F.ceil(F.col(key) * (F.col("_n") - 1) / F.nullif(F.col("_m") - 1, F.lit(0))))
+        end = F.when(last, F.col("_n") - 1).otherwise(F.ceil((F.col(key) + 1) * (F.col("_n") - 1) / F.nullif(F.col("_m") - 1, F.lit(0))) - 1)
+        placed = points.withColumn("_place", F.explode(F.sequence(begin.cast("long"), end.cast("long"))))
+        at = placed.select(by, "_place", F.when(last, F.col(value)).otherwise(F.col(value) + (F.col("_after") - F.col(value)) * (F.col("_place") / step - F.col(key))).alias("_v"))
+        ends = at.groupBy(by).agg(F.min("_v").alias("_lo"), (F.max("_v") - F.min("_v")).alias("_span"))
+        return at.join(ends, by).select(by, "_place", F.when(F.col("_span") < 1e-15, 0.0).otherwise((F.col("_v") - F.col("_lo")) / F.col("_span")).alias(name))
+
+    gap = F.col("u") - F.col("v")
+    spread = F.when((F.stddev_pop("u") >= 1e-15) & (F.stddev_pop("v") >= 1e-15), F.stddev_pop("u") * F.stddev_pop("v"))
+    sums = [F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.coalesce(F.covar_pop("u", "v") / spread, F.lit(0.0)).alias("r"), (F.max("u") - F.max("v")).alias("peak_diff"), (F.avg("u") - F.avg("v")).alias("mean_diff")]
+    return scaled(a, "_a", "u").join(scaled(b, "_b", "v"), [by, "_place"]).groupBy(by).agg(*sums)

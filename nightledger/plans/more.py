@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from ..operators import cluster, images, ordered, stats
+from ..operators import cluster, images, joins, ordered, stats
 from .catalog import query
 
 
@@ -83,3 +83,20 @@ def _(v):
 @query("H05_top_exposures", "SELECT event_id, hfr FROM {exposures} ORDER BY hfr, event_id LIMIT 20", "hfr")
 def _(v):
     return v.exposures.select("event_id", "hfr").orderBy("hfr", "event_id").limit(20)
+
+
+@query("B19_separation", "SELECT id, degrees(acos(greatest(-1.0, least(1.0, sin(radians(dec_deg)) * sin(radians(10.0)) + cos(radians(dec_deg)) * cos(radians(10.0)) * cos(radians(ra_deg - 180.0)))))) AS separation FROM {targets}", "separation")
+def _(v):
+    return v.targets.select("id", joins.angular_separation(F.col("ra_deg"), F.col("dec_deg"), F.lit(180.0), F.lit(10.0)).alias("separation"))
+
+
+@query("G12_compare_profiles", """WITH a AS (SELECT image_id, x + 8 * y AS k, value FROM {pixels}), b AS (SELECT image_id, x AS k, avg(value) AS value FROM {pixels} GROUP BY image_id, x),
+ l AS (SELECT image_id, count(*) AS n FROM a GROUP BY image_id), m AS (SELECT image_id, count(*) AS m FROM b GROUP BY image_id),
+ t AS (SELECT a.image_id, a.k, a.value, a.k * (m - 1) / (n - 1) AS t, CAST(floor(a.k * (m - 1) / (n - 1)) AS INT) AS lo, m FROM a JOIN l ON l.image_id = a.image_id JOIN m ON m.image_id = a.image_id),
+ s AS (SELECT t.image_id, t.value AS u, p.value + (q.value - p.value) * (t.t - t.lo) AS v FROM t JOIN b p ON p.image_id = t.image_id AND p.k = t.lo JOIN b q ON q.image_id = t.image_id AND q.k = least(t.lo + 1, t.m - 1)),
+ e AS (SELECT image_id, min(u) AS ul, max(u) AS uh, min(v) AS vl, max(v) AS vh FROM s GROUP BY image_id),
+ z AS (SELECT s.image_id, (u - ul) / (uh - ul) AS u, (v - vl) / (vh - vl) AS v FROM s JOIN e ON e.image_id = s.image_id)
+ SELECT image_id, count(*) AS n, sqrt(avg((u - v) * (u - v))) AS rmse, avg(abs(u - v)) AS mae, corr(u, v) AS r, max(u) - max(v) AS peak_diff, avg(u) - avg(v) AS mean_diff FROM z GROUP BY image_id""", "rmse mae r peak_diff mean_diff")
+def _(v):
+    columns = v.pixels.groupBy("image_id", F.col("x").alias("at")).agg(F.avg("value").alias("value"))
+    return images.compare_profiles(v.pixels.select("image_id", (F.col("x") + 8 * F.col("y")).alias("at"), "value"), columns, "image_id", "at", "value")

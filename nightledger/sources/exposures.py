@@ -24,8 +24,12 @@ EXPOSURE_HEADERS = {
     "adu_mean": ("adumean",),
     "adu_median": ("adumedian",),
     "adu_stdev": ("adustdev",),
+    "adu_min": ("adumin",),
+    "adu_max": ("adumax",),
     "focuser_position": ("focuserposition",),
     "focuser_temp": ("focusertemp", "focusertemperature"),
+    "rotator_position": ("rotatorposition",),
+    "pier_side": ("pierside",),
     "airmass": ("airmass",),
     "telescope": ("telescope", "telescopename"),
     "camera": ("camera", "cameraname"),
@@ -46,7 +50,7 @@ WEATHER_HEADERS = {
     "cloud_cover": ("cloudcover",),
     "sky_quality": ("skyquality", "sqm"),
 }
-TEXTS = ("target_name", "filter_name", "telescope", "camera", "file_path")
+TEXTS = ("target_name", "filter_name", "pier_side", "telescope", "camera", "file_path")
 WHOLE = ("detected_stars", "focuser_position", "gain", "binning")
 
 

@@ -13,6 +13,12 @@ def stream_exposures(spark: SparkSession, folder: str, schema: StructType, late:
     return rows.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["timestamp", "file_path"])
 
 
+def stream_weather(spark: SparkSession, folder: str, schema: StructType, late: str = "36 hours") -> DataFrame:
+    """New Parquet files of weather readings, each (timestamp, telescope) once while its night is within ``late``."""
+    rows = spark.readStream.schema(schema).parquet(folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return rows.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["timestamp", "telescope"])
+
+
 def stream_session_summary(exposures: DataFrame, late: str = "36 hours") -> DataFrame:
     """Counts by night (noon to noon), in append mode once the watermark has passed."""
     watermarked = exposures if exposures.isStreaming else exposures.withWatermark("timestamp", late)

@@ -2,11 +2,13 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nightledger.operators import cluster, joins, upserts
 from nightledger.operators.components import connected_components
-from nightledger.streaming.imports import stream_exposures, stream_session_summary
+from nightledger.operators.images import compare_profiles
+from nightledger.streaming.imports import stream_exposures, stream_session_summary, stream_weather
 
 
 def distance(a, b):
@@ -84,6 +86,29 @@ def test_upserts_twice_change_nothing(spark):
     assert kept.count() == 4 and upserts.insert_ignore(kept, new, ["filter", "telescope"], "seq").count() == 4
 
 
+def test_profiles_of_unequal_length(spark):
+    a = [1.0, 4.0, 2.0, 8.0, 5.0, 7.0, 3.0]
+    b = {1: [2.0, 6.0, 1.0], 2: [5.0], 3: a}
+    rows = lambda series: spark.createDataFrame([(g, k, x) for g, s in series.items() for k, x in enumerate(s)], "g int, k int, v double")
+    got = {r.g: r for r in compare_profiles(rows({g: a for g in (1, 2, 3, 4)}), rows(b), "g", "k", "v").collect()}
+    assert set(got) == {1, 2, 3}
+    u = (np.array(a) - 1) / 7
+    w = np.interp(np.linspace(0, 1, 7), np.linspace(0, 1, 3), b[1])
+    w = (w - w.min()) / (w.max() - w.min())
+    one = got[1]
+    assert one.n == 7 and np.allclose([one.rmse, one.mae, one.r, one.peak_diff, one.mean_diff], [np.sqrt(np.mean((u - w) ** 2)), np.abs(u - w).mean(), np.corrcoef(u, w)[0, 1], 0, u.mean() - w.mean()])
+    assert (got[2].r, got[2].peak_diff) == (0.0, 1.0) and np.isclose(got[2].mean_diff, u.mean())
+    assert got[3].rmse == 0 and np.isclose(got[3].r, 1)
+
+
+def test_streamed_weather_comes_once(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, 18) + timedelta(minutes=k), t, 1.0) for k in range(30) for t in ("a", "b")]
+    frame = spark.createDataFrame(rows + rows[:7], "timestamp timestamp, telescope string, temperature double")
+    frame.write.parquet(f"{tmp_path}/in")
+    stream_weather(spark, f"{tmp_path}/in", frame.schema).writeStream.format("memory").queryName("readings").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert spark.sql("select * from readings").count() == 60
+
+
 def test_streamed_summary_equals_the_batch(spark, tmp_path):
     start = datetime(2024, 1, 1, 18)
     rows = [(start + timedelta(hours=k), f"f{k % 50}", 60.0) for k in range(200)]
