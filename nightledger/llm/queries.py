@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, lines, pieces, quality, scoring, simhash, sources, substrings, topk
+from . import alignment, chat, hyperminhash, imatch, lines, pieces, quality, runs, scoring, simhash, sources, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_exact_top_k, op4_line_dedup, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op9_chat_formatting, op10_substring_dedup)}
+def op11_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_sentencepiece, op3_exact_top_k, op4_line_dedup, op5_simhash_near_dedup, op6_lm_scoring, op7_document_fingerprints, op8_source_mixing, op9_chat_formatting,
+    op10_substring_dedup, op11_hyperminhash_near_dedup, op12_periodic_runs, op13_tokenizer_alignment,
+)}
 ORACLES: dict[str, str] = {"op3_exact_top_k": topk.ORACLE, "op8_source_mixing": sources.ORACLE}
