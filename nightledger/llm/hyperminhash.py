@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_co
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("text", "node")
     sets = found.mapInArrow(_packed, "node long, shingles binary, registers binary").dropDuplicates(["node"])
     cells = few.unionByName(many).join(sets, "node").repartition("cell").sortWithinPartitions("cell")
-    members = connected_components(cells.mapInArrow(_verified(threshold, slack), "u long, v long"))
+    members = connected_components(durable(cells.mapInArrow(_verified(threshold, slack), "u long, v long")))  # links are read twice
     rooted = nodes.select("node", "least").join(members, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("reached")), "root").select("node", "reached")
     out = rows.select("doc_id", "node", "size").join(named, "node", "left")
