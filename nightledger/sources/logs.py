@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sexagesimal_to_degrees
+from .headers import read_image_headers
 
 
 def _lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -89,9 +90,8 @@ def mount_sessions(headers: DataFrame, *companions: tuple[str, DataFrame]) -> Da
 
 def read_xisf_headers(spark: SparkSession, root: str, pattern: str = "*.xisf") -> DataFrame:
     """(path, place, keyword, value, compression) of the keyword elements in the XML at the start of each file, whose length the file's bytes 9 to 12 say; the codec is the image element's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    size = F.conv(F.hex(F.reverse(F.substring("content", 9, 4))), 16, 10).cast("int")
-    xml = files.where(F.decode(F.substring("content", 1, 8), "ISO-8859-1") == "XISF0100").select("path", F.decode(F.substring(F.col("content"), F.lit(17), size), "UTF-8").alias("xml"))
+    files = read_image_headers(spark, root, "xisf", pattern)
+    xml = files.where(F.size("headers") == 1).select("path", F.decode(F.get("headers", F.lit(0)), "UTF-8").alias("xml"))
     plain = xml.withColumn("xml", F.regexp_replace(F.regexp_replace("xml", r"\x00", ""), r"<\?xml[^>]*\?>", ""))
     found = plain.select("path", F.expr("xpath(xml, '//FITSKeyword/@name')").alias("k"), F.expr("xpath(xml, '//FITSKeyword/@value')").alias("v"), F.nullif(F.expr("xpath_string(xml, '//Image/@compression')"), F.lit("")).alias("compression"))
     pairs = found.select("path", "compression", F.posexplode_outer(F.arrays_zip("k", "v")).alias("place", "p"))
@@ -100,10 +100,10 @@ def read_xisf_headers(spark: SparkSession, root: str, pattern: str = "*.xisf") -
 
 def extension_mismatches(spark: SparkSession, root: str) -> DataFrame:
     """(path, extension, content): files whose first bytes are of another kind than their ending. FITS begins with SIMPLE, XISF with XISF0100; .fz holds FITS."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = read_image_headers(spark, root, "magic")
     name = F.lower("path")
     ending = F.when(name.rlike(r"\.(fits|fit)\.fz$"), "fz").when(name.rlike(r"\.(fits|fit|fts)$"), "fits").when(name.endswith(".xisf"), "xisf").otherwise("unknown")
-    start = F.decode(F.substring("content", 1, 8), "ISO-8859-1")
+    start = F.decode("magic", "ISO-8859-1")
     kind = F.when(start == "XISF0100", "xisf").when(start.startswith("SIMPLE"), "fits").otherwise("unknown")
     judged = files.select("path", ending.alias("extension"), kind.alias("content")).where("extension <> 'unknown'")
     return judged.where(F.when(F.col("extension") == "fz", "fits").otherwise(F.col("extension")) != F.col("content"))
@@ -231,20 +231,22 @@ def parse_light_filename(files: DataFrame, column: str) -> DataFrame:
     return files.withColumns({"target": part(1), "night": part(2).try_cast("date"), "filter": part(4), "binning": part(5), "exposure": part(6).try_cast("double"), "temperature": part(8).try_cast("double"), "camera": part(9), "sequence": part(10).try_cast("int")})
 
 
-def read_fits_headers(spark: SparkSession, root: str, most: int = 28_800, pattern: str = "*.{fits,fit,fts,fits.fz}") -> DataFrame:
+def read_fits_headers(spark: SparkSession, root: str, pattern: str = "*.{fits,fit,fts,fits.fz,fit.fz}") -> DataFrame:
     """(path, place, keyword, value) of the 80-character cards up to END.
 
-    A compressed file's cards are those of its first header. END is looked for in the first ``most`` bytes, and in the whole file where it is not among them.
+    A compressed file's cards are those of its first extension, and of its own first header the keywords that the extension lacks. Only headers are read of the files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-
-    def split(head: Column) -> Column:
-        last = F.greatest(F.floor(F.length(head) / 80).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.decode(F.substring(head, i * 80 + 1, F.lit(80)), "ISO-8859-1"))
-
-    first = split(F.substring("content", 1, most))
-    ended = F.exists(first, lambda c: F.trim(c) == "END")
-    cards = files.select("path", F.posexplode(F.when(ended, first).otherwise(split(F.col("content")))).alias("place", "card"))
-    ends = cards.where("trim(card) = 'END'").groupBy("path").agg(F.min("place").alias("end"))
-    value = F.coalesce(F.nullif(F.regexp_extract("card", r"^.{8}= *'((?:[^']|'')*)'", 1), F.lit("")), F.trim(F.regexp_extract("card", r"^.{8}= *([^/']*)", 1)))
-    return cards.join(ends, "path").where("place < end and substr(card, 9, 1) = '='").select("path", "place", F.trim(F.substring("card", 1, 8)).alias("keyword"), F.trim(value).alias("value"))
+    files = read_image_headers(spark, root, "fits", pattern).where(F.size("headers") > 0)
+
+    def cards(header: Column) -> Column:
+        """The cards that have a value, before END; those of a header one after the other."""
+        every = F.transform(F.sequence(F.lit(0), F.floor(F.length(header) / 80).cast("int") - 1), lambda i: F.decode(F.substring(header, i * 80 + 1, F.lit(80)), "ISO-8859-1"))
+        whole = F.slice(every, 1, F.array_position(F.transform(every, lambda c: F.trim(c) == "END"), True).cast("int") - 1)
+        return F.filter(whole, lambda c: F.substring(c, 9, 1) == "=")
+
+    keyword = lambda c: F.trim(F.substring(c, 1, 8))
+    own = files.select("path", cards(F.get("headers", F.lit(0))).alias("a"), F.when(F.size("headers") > 1, cards(F.get("headers", F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("b"))
+    known = own.withColumn("known", F.transform("b", keyword))
+    merged = known.select("path", F.posexplode(F.concat(F.filter("a", lambda c: ~F.array_contains("known", keyword(c))), "b")).alias("place", "card"))
+    value = F.coalesce(F.nullif(F.regexp_extract("card", r"^.{8}= *'((?:[^']|'')*)'", 1), F.lit("")), F.trim(F.regexp_extract("card", r"^.{8}= *([^/]*)", 1)))
+    return merged.select("path", "place", keyword(F.col("card")).alias("keyword"), F.trim(value).alias("value"))
