@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import joined_by, order_statistics
+
 
 def histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
     """Pixels in equal bins between each image's smallest and largest value."""
@@ -16,7 +18,8 @@ def histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
 def background_subtracted(pixels: DataFrame, signal: str, background: str) -> DataFrame:
     """Mean and spread of the signal region less the median of the background region, for each image."""
     of = lambda region: F.when(F.expr(region), F.col("value"))
-    sums = pixels.withColumns({"_s": of(signal), "_b": of(background)}).groupBy("image_id").agg(F.avg("_s").alias("m"), F.expr("percentile(_b, 0.5)").alias("background"), F.stddev_samp("_s").alias("spread"))
+    marked = pixels.withColumns({"_s": of(signal), "_b": of(background)})
+    sums = joined_by(marked.groupBy("image_id").agg(F.avg("_s").alias("m"), F.stddev_samp("_s").alias("spread")), order_statistics(marked, ["image_id"], {"background": ("_b", 0.5)}), ["image_id"])
     return sums.select("image_id", (F.col("m") - F.col("background")).alias("signal"), "background", "spread", ((F.col("m") - F.col("background")) / F.nullif(F.col("spread"), F.lit(0.0))).alias("snr"))
 
 

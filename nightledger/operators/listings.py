@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from .selection import numbered
 
 # Image file endings, and folders of processed and of calibration files that a listing may skip.
 IMAGE_ENDS = (".fits", ".fit", ".fts", ".xisf", ".fits.fz")
@@ -60,11 +61,20 @@ def filename_tokens() -> dict[str, Column]:
     }
 
 
+FRAME_GROUP = ("target", "filter", "telescope", "image_type")
+
+
 def rename_plan(frames: DataFrame, extension: str, pattern: str = PATTERN) -> DataFrame:
     """path and name: frames are numbered inside target, filter, telescope and image type by time, then path; names that collide get a suffix."""
-    number = F.row_number().over(Window.partitionBy("target", "filter", "telescope", "image_type").orderBy("date_obs", "path"))
-    named = frames.withColumn("_number", number).withColumn("_name", naming.build_filename(pattern, filename_tokens(), F.col("_number"), extension))
-    return naming.conflict_free(named, "_name", ["path"], "name").select("path", "name")
+    named = numbered(frames, list(FRAME_GROUP), ["date_obs", "path"], "_number").withColumn("_name", naming.build_filename(pattern, filename_tokens(), F.col("_number"), extension))
+    return conflict_free(named, "_name", ["path"], "name").select("path", "name")
+
+
+def conflict_free(rows: DataFrame, path: str, by: list[str], out: str) -> DataFrame:
+    """Adds ``out``: of rows with one path the first keeps it, later ones get _2, _3 ... before the extension, in the order of ``by``."""
+    numbers = numbered(rows, [path], by, "_k")
+    marked = F.concat(F.regexp_extract(path, r"^(.*?)(\.[A-Za-z]+)?$", 1), F.lit("_"), "_k", F.regexp_extract(path, r"^(.*?)(\.[A-Za-z]+)?$", 2))
+    return numbers.select(*rows.columns, F.when(F.col("_k") > 1, marked).otherwise(F.col(path)).alias(out))
 
 
 def folder_of(template: str | None = None) -> Column:
@@ -88,7 +98,7 @@ def build_plan(frames: DataFrame, root: str, name: str, template: str | None = N
     A destination is unsafe if a part of it is '..'. Nothing is copied.
     """
     placed = frames.withColumn("_to", F.concat_ws("/", F.lit(root), folder_of(template), F.col(name).cast("string")))
-    out = naming.conflict_free(placed, "_to", ["path"], "destination")
+    out = conflict_free(placed, "_to", ["path"], "destination")
     unsafe = F.array_contains(F.split("destination", "/"), "..")
     return out.select("path", "image_type", "destination", F.when(unsafe, "unsafe").when(F.length("destination") > MOST_PATH, "too_long").otherwise("ok").alias("status"))
 

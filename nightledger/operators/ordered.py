@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
+from .selection import numbered
 
 
 def segment_jumps(samples: DataFrame, ra_hours: float = 0.25, dec_degrees: float = 2.0) -> DataFrame:
@@ -89,8 +90,8 @@ def best_and_worst(rows: DataFrame, column: str, ids: list[str], n: int) -> Data
 
 def unique_names(plan: DataFrame, name: str, order: str) -> DataFrame:
     """The second and later rows of one name get the suffix _2, _3 ..."""
-    r = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return plan.withColumn("unique_name", F.when(r == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), r.cast("string"))))
+    numbers = numbered(plan, [name], [order], "_number")
+    return numbers.select(*plan.columns, F.when(F.col("_number") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_number").cast("string"))).alias("unique_name"))
 
 
 def orphan_matches(targets: DataFrame) -> DataFrame:

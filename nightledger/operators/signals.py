@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import order_statistics
+
 Z95 = 1.959963984540054  # the normal quantile of 0.975
 
 
@@ -78,13 +80,15 @@ def region_measures(pixels: DataFrame, signal: str, background: str, readnoise:
     ``signal`` and ``background`` are conditions on x and y. Photon: mean over the root of it, the background's mean (neither under 0) and the squared read noise. Flux:
     difference of means over the background's spread. A zero noise gives 0.
     """
-    middle = pixels.where(background).groupBy("image_id").agg(F.percentile("value", F.lit(0.5)).alias("bg"), F.avg("value").alias("bg_mean"), F.stddev_samp("value").alias("bg_std"))
+    sky = pixels.where(background)
+    middle = sky.groupBy("image_id").agg(F.avg("value").alias("bg_mean"), F.stddev_samp("value").alias("bg_std")).join(order_statistics(sky, ["image_id"], {"bg": ("value", 0.5)}), "image_id")
     part = pixels.where(signal).join(middle, "image_id")
     less = F.col("value") - F.col("bg")
     sums = part.groupBy("image_id").agg(
-        F.avg(less).alias("mean"), F.percentile(less, F.lit(0.5)).alias("median"), F.stddev_pop(less).alias("std"), F.min(less).alias("min"), F.max(less).alias("max"), F.count("*").alias("n"), F.var_samp(less).alias("var"),
+        F.avg(less).alias("mean"), F.stddev_pop(less).alias("std"), F.min(less).alias("min"), F.max(less).alias("max"), F.count("*").alias("n"), F.var_samp(less).alias("var"),
         F.avg("value").alias("raw_mean"), F.first("bg_mean").alias("bg_mean"), F.first("bg_std").alias("bg_std"),
     )
+    sums = sums.join(order_statistics(part.select("image_id", less.alias("_less")), ["image_id"], {"median": ("_less", 0.5)}), "image_id")
     noise = F.sqrt(F.greatest(F.col("mean"), F.lit(0.0)) + F.greatest(F.col("bg_mean"), F.lit(0.0)) + readnoise**2)
     return sums.withColumns({"snr_photon": F.when(noise > 0, F.col("mean") / noise).otherwise(0.0), "snr_flux": F.when(F.col("bg_std") > 0, (F.col("raw_mean") - F.col("bg_mean")) / F.col("bg_std")).otherwise(0.0)})
 
@@ -113,18 +117,19 @@ def compare_images(measures: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def image_percentiles(pixels: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """image_id, share and value: exact percentiles of each image (an image is bounded)."""
-    listed = pixels.groupBy("image_id").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p"))
-    return listed.select("image_id", F.posexplode("p").alias("k", "value")).select("image_id", F.array(*map(F.lit, shares))[F.col("k")].alias("share"), "value")
+    """image_id, share and value: exact percentiles of each image, whatever its size."""
+    found = order_statistics(pixels, ["image_id"], {f"p{k}": ("value", s) for k, s in enumerate(shares)})
+    return found.select("image_id", F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"p{k}").alias("value")) for k, s in enumerate(shares)))).alias("x")).select("image_id", "x.share", "x.value")
 
 
 def stretch(pixels: DataFrame, low: float = 0.0005, high: float = 0.9995, shadow: float = 2.8, target: float = 0.25) -> DataFrame:
     """By image: clip percentiles lo and hi, and of the values scaled between them the median, MAD, shadow and midtone. A constant image has 0, 0, 0 and 0.5."""
-    ends = pixels.groupBy("image_id").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p")).select("image_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    ends = order_statistics(pixels, ["image_id"], {"lo": ("value", low), "hi": ("value", high)})
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     scaled = pixels.join(ends, "image_id").withColumn("v", F.coalesce((F.greatest("lo", F.least("hi", F.col("value"))) - F.col("lo")) / width, F.lit(0.0)))
-    middle = scaled.groupBy("image_id", "lo", "hi").agg(F.percentile("v", F.lit(0.5)).alias("median"))
-    mad = scaled.join(middle.select("image_id", "median"), "image_id").groupBy("image_id", "lo", "hi", "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5)).alias("mad"))
+    middle = order_statistics(scaled, ["image_id"], {"median": ("v", 0.5)})
+    away = scaled.join(middle, "image_id").withColumn("_away", F.abs(F.col("v") - F.col("median")))
+    mad = ends.join(middle, "image_id").join(order_statistics(away, ["image_id"], {"mad": ("_away", 0.5)}), "image_id")
     dark = F.greatest(F.lit(0.0), F.col("median") - shadow * F.col("mad"))
     x = (F.col("median") - F.col("shadow")) / (1 - F.col("shadow"))
     midtone = F.when((x <= 0) | (x >= 1), 0.5).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(0.999), (target * x - x) / (2 * target * x - target - x))))

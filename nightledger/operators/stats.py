@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import joined_by, order_statistics
+
 SEEN = lambda c: F.when(F.col(c) > 0, F.col(c))  # noqa: E731  a measure of zero is a missing one
 
 
@@ -90,25 +92,16 @@ def equipment_performance(exposures: DataFrame) -> DataFrame:
     keys = ["telescope", "camera", "filter_name"]
     rows = exposures.withColumn("filter_name", F.coalesce("filter_name", F.lit("Unknown"))).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in keys[:2]})
     sums = rows.groupBy(*keys).agg(F.min("hfr").alias("best_hfr"), F.greatest(F.count("hfr"), F.count("fwhm"), F.lit(1)).alias("frame_count"), F.sum("exposure_seconds").alias("total_seconds"))
-    return sums.join(medians(rows, keys, "hfr", "median_hfr"), keys, "left").join(medians(rows, keys, "fwhm", "median_fwhm"), keys, "left")
+    return joined_by(sums, order_statistics(rows, keys, {"median_hfr": ("hfr", 0.5), "median_fwhm": ("fwhm", 0.5)}), keys)
 
 
 def equipment_performance_obs(observations: DataFrame) -> DataFrame:
-    """By telescope, camera and filter: rows, upper medians of HFR and FWHM, best HFR. Rows without a telescope or camera are left out; a blank filter is 'Unknown'.
-
-    Equal values are counted before they are ordered, so a large setup is as many rows as it has distinct values.
-    """
+    """By telescope, camera and filter: rows, upper medians of HFR and FWHM, best HFR. Rows without a telescope or camera are left out; a blank filter is 'Unknown'."""
     keys = ["telescope", "camera", "filter"]
     blank = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
     rows = observations.where("telescope is not null and camera is not null").withColumns({c: blank(c) for c in keys})
     out = rows.groupBy(*keys).agg(F.count("*").alias("frame_count"), F.min("hfr").alias("best_hfr"))
-    for c in ("hfr", "fwhm"):
-        counts = rows.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
-        by = Window.partitionBy(*keys)
-        place = counts.withColumn("upto", F.sum("n").over(by.orderBy(c))).withColumn("half", F.floor(F.sum("n").over(by) / 2))
-        middle = place.where("upto > half").groupBy(*keys).agg(F.min(c).alias(f"median_{c}"))
-        out = out.join(middle, keys, "left")
-    return out
+    return joined_by(out, order_statistics(rows, keys, {"median_hfr": ("hfr", "upper"), "median_fwhm": ("fwhm", "upper")}), keys)
 
 
 def tracking_stats(samples: DataFrame) -> DataFrame:
@@ -135,7 +128,7 @@ def trail_flag(stars: DataFrame, least: int = 5, cut: float = 0.5) -> DataFrame:
 
 
 def region_stats(stars: DataFrame, width: float, height: float) -> DataFrame:
-    """FWHM of a 3 x 3 grid of regions; empty regions are rows too. Medians come from counts of distinct values."""
+    """FWHM of a 3 x 3 grid of regions; empty regions are rows too."""
     cell = lambda c, size: F.least(F.floor(F.col(c) / (size / 3)), F.lit(2)).cast("int")
     placed = stars.select(cell("y", height).alias("row"), cell("x", width).alias("col"), "fwhm")
     found = placed.groupBy("row", "col").agg(F.count("*").alias("n"), F.min("fwhm").alias("min_fwhm"), F.max("fwhm").alias("max_fwhm"), F.avg("fwhm").alias("mean_fwhm"), F.stddev_pop("fwhm").alias("std_fwhm"))
@@ -145,12 +138,17 @@ def region_stats(stars: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def medians(rows: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
-    """Exact medians by ``keys`` (linear between the two middle values) from counts of distinct values, for groups of any size."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*keys)
-    placed = counts.withColumn("_upto", F.sum("_n").over(by.orderBy(column))).withColumn("_all", F.sum("_n").over(by))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-    return placed.groupBy(*keys).agg(((F.min(F.when(F.col("_upto") >= low, F.col(column))) + F.min(F.when(F.col("_upto") >= high, F.col(column)))) / 2).alias(out))
+    """Exact medians by ``keys`` (linear between the two middle values), for groups of any size."""
+    return order_statistics(rows, keys, {out: (column, 0.5)})
+
+
+def batch_summary(scored: DataFrame, batch: str) -> DataFrame:
+    """By ``batch``: frames, mean, median and spread of the score, median FWHM, and the frames of the best and the worst score (to nine places; ties to the smaller frame)."""
+    score = F.round("score", 9)
+    sums = scored.groupBy(batch).agg(
+        F.count("*").alias("frames"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.min_by("frame", F.struct(-score, "frame")).alias("best_frame"), F.min_by("frame", F.struct(score, "frame")).alias("worst_frame"),
+    )
+    return joined_by(sums, order_statistics(scored, [batch], {"median_score": ("score", 0.5), "median_fwhm": ("fwhm", 0.5)}), [batch])
 
 
 def dominant_filter(observations: DataFrame) -> DataFrame:

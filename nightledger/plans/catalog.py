@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, ordered, stats
+from ..operators.selection import numbered
 from .views import Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,7 +208,7 @@ def _(v):
 
 @query("E11_number_frames", "SELECT path, CAST(row_number() OVER (PARTITION BY target, filter, telescope, image_type ORDER BY date_obs, path) AS INT) AS number FROM {frames}")
 def _(v):
-    return ordered.top_per(v.frames, ["target", "filter", "telescope", "image_type"], ["date_obs", "path"], 1 << 30).select("path", F.col("rank").alias("number"))
+    return numbered(v.frames, ["target", "filter", "telescope", "image_type"], ["date_obs", "path"]).select("path", F.col("number").cast("int").alias("number"))
 
 
 @query("E12_unique_names", "WITH p AS (SELECT path, target || '_' || filter || '_' || camera AS name FROM {frames}), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS k FROM p) SELECT path, name, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS unique_name FROM r")

@@ -21,11 +21,7 @@ def _(v):
 def _(v):
     m = stats.frame_metrics(v.stars)
     score = sky.quality_score({"fwhm": F.col("fwhm"), "eccentricity": F.col("eccentricity"), "snr": F.col("snr"), "stars": F.col("n_stars"), "roundness": 1 - F.col("eccentricity")})
-    scored = m.withColumn("score", score).withColumn("_s", F.round("score", 9))
-    return scored.groupBy((F.col("frame") % 20).alias("batch")).agg(
-        F.count("*").alias("frames"), F.avg("score").alias("mean_score"), F.percentile("score", F.lit(0.5)).alias("median_score"), F.stddev_pop("score").alias("std_score"), F.percentile("fwhm", F.lit(0.5)).alias("median_fwhm"),
-        F.min_by("frame", F.struct(-F.col("_s"), "frame")).alias("best_frame"), F.min_by("frame", F.struct("_s", "frame")).alias("worst_frame"),
-    )
+    return stats.batch_summary(m.withColumn("score", score).withColumn("batch", F.col("frame") % 20), "batch")
 
 
 @query("E14_flag_rejections", """WITH m AS (SELECT frame, count(*) AS n, quantile_cont(fwhm, 0.5) AS fwhm, quantile_cont(eccentricity, 0.5) AS e, pow(sum(cos(radians(2 * theta))), 2) + pow(sum(sin(radians(2 * theta))), 2) AS r FROM {stars} GROUP BY frame), b AS (SELECT frame % 50 AS batch, quantile_cont(fwhm, 0.5) AS middle FROM m WHERE fwhm > 0 GROUP BY batch)
