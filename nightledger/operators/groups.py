@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.sky import gnomonic
 from .components import connected_components
 from .joins import angular_distance, pairs_within
+from .nearest import k_nearest
+from .selection import order_statistics
 
 # Catalogue prefixes after which leading zeros don't count.
 ZERO_PREFIXES = ("NGC", "IC", "M", "ARP", "SH2", "LDN", "LBN", "UGC", "PGC", "VDB", "CED", "ABELL")
@@ -81,7 +83,7 @@ def mosaic_panels(frames: DataFrame, proximity: float = 5.0, least: float = 0.01
     pairs = pairs_within(frames.select("id", "ra_deg", "dec_deg"), proximity)
     found = connected_components(pairs, "id_a", "id_b")
     placed = frames.join(found, F.col("id") == F.col("node")).select("id", "ra_deg", "dec_deg", F.col("component").alias("group"))
-    tile = pairs.where(F.col("distance") > least).join(found.select(F.col("node").alias("id_a"), F.col("component").alias("group")), "id_a").groupBy("group").agg(F.percentile("distance", F.lit(0.5)).alias("tile"))
+    tile = order_statistics(pairs.where(F.col("distance") > least).join(found.select(F.col("node").alias("id_a"), F.col("component").alias("group")), "id_a"), ["group"], {"tile": ("distance", 0.5)})
     a, d = F.radians("ra_deg"), F.radians("dec_deg")
     centre = placed.groupBy("group").agg(F.sum(F.cos(d) * F.cos(a)).alias("x"), F.sum(F.cos(d) * F.sin(a)).alias("y"), F.sum(F.sin(d)).alias("z"))
     centre = centre.select("group", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)).alias("ra0"), F.degrees(F.atan2("z", F.hypot("x", "y"))).alias("dec0"))
@@ -175,14 +177,8 @@ def split_by_focal(frames: DataFrame, target: str, focal: str, share: float = 0.
 
 
 def local_outliers(stars: DataFrame, k: int = 6, factor: float = 3.0) -> DataFrame:
-    """frame, star and keep: whether a star's FWHM is within ``factor`` sigmas (1.4826 MAD) of its ``k`` nearest stars of the frame; frames of ``k`` stars or fewer keep all.
-
-    A frame's stars meet by bands of x of ``k`` + 1 ranks each and its neighbours only if the frame is small; a frame is one image, so its stars are bounded.
-    """
-    a = stars.select("frame", "star", "x", "y", "fwhm")
-    b = a.select("frame", F.col("star").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("fwhm").alias("_w"))
-    gap = F.pow(F.col("x") - F.col("_x"), F.lit(2)) + F.pow(F.col("y") - F.col("_y"), F.lit(2))
-    near = a.join(b, "frame").where("star <> _s").withColumn("_r", F.row_number().over(Window.partitionBy("frame", "star").orderBy(gap, "_s"))).where(F.col("_r") <= k)
+    """frame, star and keep: whether a star's FWHM is within ``factor`` sigmas (1.4826 MAD) of its ``k`` nearest stars of the frame (see ``k_nearest``); frames of ``k`` stars or fewer keep all."""
+    near = k_nearest(stars, "frame", "star", k, ["fwhm"]).withColumnRenamed("near_fwhm", "_w").join(stars.select("frame", "star", "fwhm"), ["frame", "star"])
     local = near.groupBy("frame", "star", "fwhm").agg(F.percentile("_w", F.lit(0.5)).alias("m"), F.collect_list("_w").alias("ws"))  # k values
     spread = local.withColumn("w", F.explode("ws")).groupBy("frame", "star", "fwhm", "m").agg(F.percentile(F.abs(F.col("w") - F.col("m")), F.lit(0.5)).alias("mad"), F.count("*").alias("n"))
     sigma = F.when(F.col("mad") * 1.4826 < 1e-6, F.when(F.col("m") > 0, 0.1 * F.col("m")).otherwise(1.0)).otherwise(F.col("mad") * 1.4826)
@@ -195,13 +191,13 @@ def fwhm_grid(stars: DataFrame, width: float, height: float, n: int) -> DataFram
 
     The bandwidth is twice the median distance to the nearest star, at least max(width, height) / (n / 2). Stars of one place count once for each.
     """
-    b = stars.select("frame", F.col("star").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    near = stars.join(b, "frame").where("star <> _s").groupBy("frame", "star").agg(F.min(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).alias("d"))
-    bands = near.groupBy("frame").agg(F.greatest(2 * F.percentile("d", F.lit(0.5)), F.lit(max(width, height) / (n * 0.5))).alias("h"), F.count("*").alias("k")).where("k >= 3")
+    near = k_nearest(stars, "frame", "star", 1).select("frame", F.sqrt("distance2").alias("d"))
+    middles = near.groupBy("frame").agg(F.count("*").alias("k")).join(order_statistics(near, ["frame"], {"d": ("d", 0.5)}), "frame")
+    bands = middles.select("frame", F.greatest(2 * F.col("d"), F.lit(max(width, height) / (n * 0.5))).alias("h"), "k").where("k >= 3")
     grid = stars.sparkSession.range(n * n).select((F.col("id") % n).cast("int").alias("gx"), F.floor(F.col("id") / n).cast("int").alias("gy"))
     dx, dy = (F.col("gx") + 0.5) * width / n - F.col("x"), (F.col("gy") + 0.5) * height / n - F.col("y")
     weight = F.exp(-(dx * dx + dy * dy) / (2 * F.col("h") * F.col("h")))
     sums = stars.join(bands, "frame").join(F.broadcast(grid)).groupBy("frame", "gx", "gy").agg(F.sum(weight * F.col("fwhm")).alias("a"), F.sum(weight).alias("b"))  # a row for each grid point and frame is the result
-    middle = stars.groupBy("frame").agg(F.percentile("fwhm", F.lit(0.5)).alias("m"))
+    middle = order_statistics(stars, ["frame"], {"m": ("fwhm", 0.5)})
     value = F.when(F.col("b") > 1e-30, F.col("a") / F.col("b"))
     return sums.join(middle, "frame").select("frame", "gx", "gy", F.when(value >= 1e-10, value).otherwise(F.col("m")).alias("fwhm"))
