@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
+
 # The rules of each profile as (mode, tolerance, weight); parameters without a rule are ignored.
 PROFILES = {
     "dark": {"instrument": ("exact", 0, 0), "binning": ("exact", 0, 0), "gain": ("exact", 0, 0), "offset": ("warning", 0, 0.10), "exposure": ("exact", 0.01, 0), "temperature": ("warning", 2.0, 0.30)},
@@ -24,7 +26,96 @@ def _same(name: str, tolerance: float) -> Column:
     return a.eqNullSafe(b) if not tolerance else a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
 
 
-def match_profile(lights: DataFrame, masters: DataFrame, profile: str, k: int = 5) -> DataFrame:
+FINEST = 4  # cell sizes of a warning parameter: its span, and a sixteenth, 256th and 4,096th of it
+PAIRS = 1 << 22  # pairs of distinct settings up to which all are scored at once; of more, only those that can be among the best are
+
+
+def _warning_rules(rules: dict) -> list[tuple[str, float, float]]:
+    return [(n, tolerance, weight) for n, (mode, tolerance, weight) in rules.items() if mode == "warning"]
+
+
+def _score(cost: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), 1 - cost), 4)
+
+
+def _all_scored(asked: DataFrame, held: DataFrame, met: DataFrame, rules: dict) -> DataFrame:
+    """Every pair of settings of keys that met."""
+    pairs = asked.join(met, "_asked").join(held, "_held")
+    cost, warned, matched = F.lit(0.0), F.lit(0), []
+    for name, (mode, tolerance, weight) in rules.items():
+        same = _same(name, tolerance) if mode == "warning" else F.lit(True)
+        matched += [F.lit(name), same]
+        if mode == "warning":
+            gap = F.abs(F.coalesce(F.col(name), F.lit(0.0)) - F.coalesce(F.col(f"_{name}"), F.lit(0.0)))
+            cost = cost + F.when(same, 0.0).otherwise(weight * F.least(gap / SPANS[name], F.lit(1.0)))
+            warned = warned + F.when(same, 0).otherwise(1)
+    return pairs.select("setting", "_paths", _score(cost).alias("score"), warned.alias("n_warnings"), F.create_map(*matched).alias("matched"))
+
+
+def _cells(held: DataFrame, names: list[str], k: int) -> list[DataFrame]:
+    """Masters' settings by cells of the warning parameters, from the widest to the settings themselves: _held, for each parameter whether it is null, its cell,
+    the cell of the next wider size and its least and largest value; how many masters (k at most count) and the k smallest paths."""
+    parts = held.select("_held", "_paths", *(F.col(f"_{n}").isNull().alias(f"z_{n}") for n in names), *(F.coalesce(F.col(f"_{n}"), F.lit(0.0)).alias(f"v_{n}") for n in names))
+    parts = parts.select("*", *(F.floor(F.col(f"v_{n}") / SPANS[n] * 16 ** (FINEST - 1)).alias(f"c_{n}") for n in names))
+    nulls = [f"z_{n}" for n in names]
+    leaves = parts.select("_held", *nulls, *(x for n in names for x in (F.col(f"c_{n}"), F.col(f"c_{n}").alias(f"up_{n}"), F.col(f"v_{n}").alias(f"lo_{n}"), F.col(f"v_{n}").alias(f"hi_{n}"))), F.least(F.size("_paths"), F.lit(k)).alias("n"), "_paths")
+    cell = ["_held", *nulls, *(f"c_{n}" for n in names)]
+    ends = [x for n in names for x in (F.min(f"lo_{n}").alias(f"lo_{n}"), F.max(f"hi_{n}").alias(f"hi_{n}"))]
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("path"))
+    first = leaves.select(*cell, F.explode("_paths").alias("path")).withColumn("_r", place).where(F.col("_r") <= k).groupBy(*cell).agg(F.array_sort(F.collect_list("path")).alias("_paths"))  # k at most
+    finest = leaves.groupBy(*cell).agg(*ends, F.least(F.sum("n"), F.lit(k)).alias("n"))
+    same = [finest[c].eqNullSafe(first[c]) for c in cell]
+    tables = [leaves, durable(finest.join(first, same).select(*(finest[c] for c in finest.columns), "_paths").select("*", *(F.shiftright(f"c_{n}", 4).alias(f"up_{n}") for n in names)))]
+    for _ in range(FINEST - 1):
+        below = tables[-1]
+        wider = below.groupBy("_held", *nulls, *(F.col(f"up_{n}").alias(f"c_{n}") for n in names)).agg(*ends, F.least(F.sum("n"), F.lit(k)).alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("_paths"))), 1, k).alias("_paths"))  # of 16 cells a parameter at most
+        tables.append(durable(wider.select("*", *(F.shiftright(f"c_{n}", 4).alias(f"up_{n}") for n in names))))
+    return tables[::-1]
+
+
+def _best_scored(asked: DataFrame, held: DataFrame, met: DataFrame, rules: dict, k: int, frontiers: list | None = None) -> DataFrame:
+    """As ``_all_scored``, but of masters that cannot be among the ``k`` best of a setting only some.
+
+    Settings meet cells, from the widest. A cell bounds the cost and the warnings of its masters from both sides. A cell goes when ``k`` masters are sure to be
+    better than its best; it stays as it is when its bounds agree, for then its k smallest paths stand for it; any other is taken apart into the next smaller ones, the last being settings.
+    """
+    warn = _warning_rules(rules)
+    names = [n for n, _, _ in warn]
+    nulls = [f"z_{n}" for n in names]
+    tables = _cells(held, names, k)
+    lights = asked.select("setting", "_asked", *(F.col(n).isNull().alias(f"no_{n}") for n in names), *(F.coalesce(F.col(n), F.lit(0.0)).alias(f"a_{n}") for n in names))
+    own = ["setting", *(f"no_{n}" for n in names), *(f"a_{n}" for n in names)]
+    kept = [*own, "_held", *nulls, *(f"c_{n}" for n in names), "n", "_paths", "score", "worst", "n_warnings", "most", "flags", "settled"]
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        cost, dear, warned, most, flags = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), []
+        for name, tolerance, weight in warn:
+            a, lo, hi, none, other = (F.col(f"{c}_{name}") for c in ("a", "lo", "hi", "no", "z"))
+            near, far = F.greatest(F.lit(0.0), lo - a, a - hi), F.greatest(F.abs(a - lo), F.abs(a - hi))
+            same = lambda gap: (none & other) | (~none & ~other & (gap <= tolerance))  # noqa: B023, E731
+            price = lambda gap: F.when(same(gap), 0.0).otherwise(weight * F.least(gap / SPANS[name], F.lit(1.0)))  # noqa: B023, E731
+            cost, dear = cost + price(near), dear + price(far)
+            warned, most = warned + F.when(same(near), 0).otherwise(1), most + F.when(same(far), 0).otherwise(1)
+            flags += [F.lit(name), same(near)]
+        out = rows.select("*", _score(cost).alias("score"), _score(dear).alias("worst"), warned.alias("n_warnings"), most.alias("most"), F.create_map(*flags).alias("flags"))
+        return out.withColumn("settled", (F.col("score") == F.col("worst")) & (F.col("n_warnings") == F.col("most"))).select(*kept)
+
+    frontier = bounded(lights.join(met, "_asked").join(tables[0], "_held"))
+    for level, table in enumerate(tables):
+        if level:
+            waiting = frontier.where("not settled").select(*own, "_held", *nulls, *(F.col(f"c_{n}").alias(f"up_{n}") for n in names))
+            frontier = frontier.where("settled").unionByName(bounded(waiting.join(table, ["_held", *nulls, *(f"up_{n}" for n in names)])))
+        by = Window.partitionBy("setting")
+        sure = F.sum("n").over(by.orderBy(F.desc("worst"), "most", "_held", *nulls, *(f"c_{n}" for n in names)).rowsBetween(Window.unboundedPreceding, 0))
+        counted = frontier.withColumn("_sure", sure).withColumn("_least", F.max(F.when(F.col("_sure") >= k, F.struct("worst", -F.col("most")))).over(by))
+        frontier = durable(counted.where(F.col("_least").isNull() | (F.struct(F.col("score").alias("worst"), -F.col("n_warnings")) >= F.col("_least"))).drop("_sure", "_least"))
+        if frontiers is not None:
+            frontiers.append(counted)
+    exact = [x for n, (mode, _, _) in rules.items() if mode != "warning" for x in (F.lit(n), F.lit(True))]
+    return frontier.select("setting", "_paths", "score", "n_warnings", F.map_concat(F.create_map(*exact), "flags").alias("matched") if exact else F.col("flags").alias("matched"))
+
+
+def match_profile(lights: DataFrame, masters: DataFrame, profile: str, k: int = 5, pairs: int = PAIRS, frontiers: list | None = None) -> DataFrame:
     """light, master, score, n_warnings, matched (map of parameter to whether it agrees), rank: the k best masters of each light.
 
     Both tables have path and the profile's parameters, null where unknown. A parameter of an exact rule must agree (null with null only); one of a
@@ -32,40 +123,39 @@ def match_profile(lights: DataFrame, masters: DataFrame, profile: str, k: int =
     fewer warnings, then the smaller path.
 
     Equal settings are matched once: distinct settings of lights and of masters meet on the exact rules' keys, at most ``k`` masters of
-    a setting go on, and the lights are joined to the outcome.
+    a setting go on, and the lights are joined to the outcome. Up to ``pairs`` pairs of settings are all scored; beyond, cells of masters that cannot be among
+    the best are left out before they are taken apart (``_best_scored``), with the same result.
     """
     rules = PROFILES[profile]
-    names = list(rules)
+    names, sharp = list(rules), [n for n, (mode, _, _) in rules.items() if mode == "exact"]
     tidy = lambda df: df.select("path", *(F.lower(F.trim(F.col(n))).alias(n) if n in TEXTS else F.col(n).cast("double").alias(n) for n in names))
     own, theirs = tidy(lights), tidy(masters)
-    asked = own.select(*names).distinct().withColumn("setting", F.xxhash64(*names))
+    asked = own.select(*names).distinct().withColumn("setting", F.xxhash64(*names)).withColumn("_asked", F.xxhash64(*sharp))
     one = Window.partitionBy(*names).orderBy("path")
     held = theirs.withColumn("_place", F.row_number().over(one)).where(F.col("_place") <= k)
     held = held.groupBy(*names).agg(F.array_sort(F.collect_list("path")).alias("_paths"))  # k at most
-    held = held.select(*(F.col(n).alias(f"_{n}") for n in names), "_paths")
+    held = held.select(*(F.col(n).alias(f"_{n}") for n in names), "_paths").withColumn("_held", F.xxhash64(*(f"_{n}" for n in sharp)))
+    own_keys = asked.groupBy("_asked", *sharp).agg(F.count("*").alias("_n"))
+    their_keys = held.groupBy("_held", *(f"_{n}" for n in sharp)).agg(F.count("*").alias("_m"))
     keys, filters = [], []
-    for name, (mode, tolerance, _) in rules.items():
-        if mode == "exact" and tolerance:
-            asked = asked.withColumn(f"{name}_cell", F.floor(F.col(name) / tolerance))
+    for name in sharp:
+        tolerance = rules[name][1]
+        if tolerance:
+            own_keys = own_keys.withColumn(f"{name}_cell", F.floor(F.col(name) / tolerance))
             cell = F.floor(F.col(f"_{name}") / tolerance)
             around = F.when(cell.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(cell - 1, cell, cell + 1))
-            held = held.withColumn(f"_{name}_cell", F.explode(around))
+            their_keys = their_keys.withColumn(f"_{name}_cell", F.explode(around))
             keys.append(F.col(f"{name}_cell").eqNullSafe(F.col(f"_{name}_cell")))
             filters.append(_same(name, tolerance))
-        elif mode == "exact":
+        else:
             keys.append(F.col(name).eqNullSafe(F.col(f"_{name}")))
-    pairs = asked.join(held, keys)
+    met = own_keys.join(their_keys, keys)
     for f in filters:
-        pairs = pairs.where(f)
-    cost, warned, matched = F.lit(0.0), F.lit(0), []
-    for name, (mode, tolerance, weight) in rules.items():
-        same = _same(name, tolerance)
-        matched += [F.lit(name), same]
-        if mode == "warning":
-            gap = F.abs(F.coalesce(F.col(name), F.lit(0.0)) - F.coalesce(F.col(f"_{name}"), F.lit(0.0)))
-            cost = cost + F.when(same, 0.0).otherwise(weight * F.least(gap / SPANS[name], F.lit(1.0)))
-            warned = warned + F.when(same, 0).otherwise(1)
-    scored = pairs.select("setting", "_paths", F.round(F.greatest(F.lit(0.0), 1 - cost), 4).alias("score"), warned.alias("n_warnings"), F.create_map(*matched).alias("matched"))
+        met = met.where(f)
+    met = met.select("_asked", "_held", "_n", "_m")
+    many = met.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0  # one number
+    met = met.select("_asked", "_held")
+    scored = _all_scored(asked, held, met, rules) if many <= pairs or not _warning_rules(rules) else _best_scored(asked, held, met, rules, k, frontiers)
     best = Window.partitionBy("setting").orderBy(F.desc("score"), "n_warnings", F.col("_paths")[0])
     few = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).withColumn("master", F.explode("_paths"))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("setting").orderBy(F.desc("score"), "n_warnings", "master"))).where(F.col("rank") <= k)
