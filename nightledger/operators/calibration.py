@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
+from .selection import joined_by
 
 # The rules of each profile as (mode, tolerance, weight); parameters without a rule are ignored.
 PROFILES = {
@@ -191,39 +192,51 @@ def coverage(lights: DataFrame, pools: dict[str, DataFrame]) -> tuple[DataFrame,
     return per, counts.groupBy(state.alias("coverage")).agg(F.count("*").alias("lights"))
 
 
+def _light_groups(frames: DataFrame) -> DataFrame:
+    """For each target and filter of the lights: mean temperature, and exposure and camera of the earliest light (date, then path)."""
+    first = F.min_by(F.struct("exposure", "camera"), F.struct("date_obs", "path"))
+    groups = frames.where("image_type = 'LIGHT'").groupBy("target", "filter").agg(first.alias("one"), F.avg("temperature").alias("mean"))
+    return groups.select("target", "filter", "mean", F.col("one.exposure").alias("exposure"), F.col("one.camera").alias("camera"))
+
+
+def _darks_met(groups: DataFrame, frames: DataFrame) -> DataFrame:
+    """Groups with the temperatures and numbers (n) of the darks of their camera and exposure (within 0.01 s); unknown cameras are alike."""
+    darks = frames.where("image_type = 'DARK'").groupBy(F.col("camera").alias("dark_camera"), F.col("exposure").alias("dark_exposure"), "temperature").agg(F.count("*").alias("n"))
+    darks = darks.withColumn("dark_cell", F.explode(F.array(*(F.floor(F.col("dark_exposure") / 0.01) + d for d in (-1, 0, 1)))))
+    own = groups.withColumn("cell", F.floor(F.col("exposure") / 0.01))
+    return own.join(darks, F.col("camera").eqNullSafe(F.col("dark_camera")) & (F.col("cell") == F.col("dark_cell"))).where("abs(exposure - dark_exposure) < 0.01")
+
+
+def _with_flats_and_biases(groups: DataFrame, frames: DataFrame) -> DataFrame:
+    flats = frames.where("image_type = 'FLAT'").groupBy("filter", "camera").agg(F.count("*").alias("n_flats"))
+    biases = frames.where("image_type = 'BIAS'").groupBy("camera").agg(F.count("*").alias("n_biases"))
+    return joined_by(joined_by(groups, flats, ["filter", "camera"]), biases, ["camera"])
+
+
 def match_groups(frames: DataFrame, tolerance: float = 2.0, near: float = 0.5) -> DataFrame:
     """For each target and filter of the lights: how many darks, flats and biases fit, and the darks' temperature difference.
 
     The earliest light (date, then path) gives exposure and camera. Of the darks of that camera and exposure (within 0.01 s) the temperature nearest
     to the lights' mean counts, the lower of two, and all darks within ``near`` of it, if it is within ``tolerance``. Flats have the
-    filter and camera, biases the camera. Counts are made before the join, so no pairs of frames are.
+    filter and camera, biases the camera; an unknown target, filter or camera is like an unknown one. Counts are made before the join, so no pairs of frames are.
     """
-    first = F.min_by(F.struct("exposure", "camera"), F.struct("date_obs", "path"))
-    groups = frames.where("image_type = 'LIGHT'").groupBy("target", "filter").agg(first.alias("one"), F.avg("temperature").alias("mean"))
-    groups = groups.select("target", "filter", "mean", F.col("one.exposure").alias("exposure"), F.col("one.camera").alias("camera"))
-    darks = frames.where("image_type = 'DARK'").groupBy(F.col("camera"), F.col("exposure").alias("dark_exposure"), "temperature").agg(F.count("*").alias("n"))
-    darks = darks.withColumn("cell", F.explode(F.array(*(F.floor(F.col("dark_exposure") / 0.01) + d for d in (-1, 0, 1)))))
-    met = groups.withColumn("cell", F.floor(F.col("exposure") / 0.01)).join(darks, ["camera", "cell"]).where("abs(exposure - dark_exposure) < 0.01")
-    best = met.groupBy("target", "filter").agg(F.min_by("temperature", F.struct(F.abs(F.col("temperature") - F.col("mean")), "temperature")).alias("best"))
-    near_ones = met.join(best, ["target", "filter"]).where(F.abs(F.col("best") - F.col("mean")) <= tolerance).where(F.abs(F.col("temperature") - F.col("best")) <= near)
-    dark_counts = near_ones.groupBy("target", "filter").agg(F.sum("n").alias("n_darks"), F.first(F.abs(F.col("best") - F.col("mean"))).alias("dark_temp_delta"))
-    flats = frames.where("image_type = 'FLAT'").groupBy("filter", "camera").agg(F.count("*").alias("n_flats"))
-    biases = frames.where("image_type = 'BIAS'").groupBy("camera").agg(F.count("*").alias("n_biases"))
-    out = groups.join(dark_counts, ["target", "filter"], "left").join(flats, ["filter", "camera"], "left").join(biases, ["camera"], "left")
-    return out.select("target", "filter", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_darks", "n_flats", "n_biases")), "dark_temp_delta")
+    keys = ["target", "filter"]
+    groups = _light_groups(frames)
+    met = _darks_met(groups, frames)
+    best = met.groupBy(*keys).agg(F.min_by("temperature", F.struct(F.abs(F.col("temperature") - F.col("mean")), "temperature")).alias("best"))
+    near_ones = joined_by(met, best, keys).where(F.abs(F.col("best") - F.col("mean")) <= tolerance).where(F.abs(F.col("temperature") - F.col("best")) <= near)
+    counts = near_ones.groupBy(*keys).agg(F.sum("n").alias("n_darks"), F.first(F.abs(F.col("best") - F.col("mean"))).alias("dark_temp_delta"))
+    out = _with_flats_and_biases(joined_by(groups, counts, keys), frames)
+    return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_darks", "n_flats", "n_biases")), "dark_temp_delta")
 
 
 def candidates(frames: DataFrame) -> DataFrame:
     """For each target and filter of the lights: n_dark_candidates (camera and exposure of the earliest light), dark_gap (degrees from the lights' mean to the nearest of them), n_flats and n_biases."""
-    first = F.min_by(F.struct("exposure", "camera"), F.struct("date_obs", "path"))
-    groups = frames.where("image_type = 'LIGHT'").groupBy("target", "filter").agg(first.alias("one"), F.avg("temperature").alias("mean")).select("target", "filter", "mean", "one.exposure", "one.camera").withColumn("cell", F.floor(F.col("exposure") / 0.01))
-    darks = frames.where("image_type = 'DARK'").groupBy("camera", F.col("exposure").alias("dark_exposure"), "temperature").agg(F.count("*").alias("n"))
-    darks = darks.withColumn("cell", F.explode(F.array(*(F.floor(F.col("dark_exposure") / 0.01) + d for d in (-1, 0, 1)))))
-    met = groups.join(darks, ["camera", "cell"]).where("abs(exposure - dark_exposure) < 0.01").groupBy("target", "filter").agg(F.sum("n").alias("n_dark_candidates"), F.min(F.abs(F.col("temperature") - F.col("mean"))).alias("dark_gap"))
-    flats = frames.where("image_type = 'FLAT'").groupBy("filter", "camera").agg(F.count("*").alias("n_flats"))
-    biases = frames.where("image_type = 'BIAS'").groupBy("camera").agg(F.count("*").alias("n_biases"))
-    out = groups.join(met, ["target", "filter"], "left").join(flats, ["filter", "camera"], "left").join(biases, "camera", "left")
-    return out.select("target", "filter", "dark_gap", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dark_candidates", "n_flats", "n_biases")))
+    keys = ["target", "filter"]
+    groups = _light_groups(frames)
+    met = _darks_met(groups, frames).groupBy(*keys).agg(F.sum("n").alias("n_dark_candidates"), F.min(F.abs(F.col("temperature") - F.col("mean"))).alias("dark_gap"))
+    out = _with_flats_and_biases(joined_by(groups, met, keys), frames)
+    return out.select(*keys, "dark_gap", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dark_candidates", "n_flats", "n_biases")))
 
 
 FLAT_KEYS = ("telescope", "camera", "filter", "binning")

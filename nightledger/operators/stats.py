@@ -182,7 +182,7 @@ def validation_warnings(frames: DataFrame, matches: DataFrame, least: int = 5, t
     ``matches`` has, for each target and filter, n_dark_candidates, dark_gap (degrees of the nearest dark), n_flats and n_biases.
     """
     light = frames.where("image_type = 'LIGHT'")
-    groups = light.groupBy("target", "filter").agg(F.count("*").alias("n")).join(matches, ["target", "filter"])
+    groups = joined_by(light.groupBy("target", "filter").agg(F.count("*").alias("n")), matches, ["target", "filter"])
     none = F.lit(0).cast("double")
     checks = [
         (F.col("n") < least, "few frames", F.col("n").cast("double")), (F.coalesce("target", F.lit("Unknown")) == "Unknown", "no object", F.col("n").cast("double")), (F.col("n_dark_candidates") == 0, "no darks", none),

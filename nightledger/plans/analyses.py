@@ -103,12 +103,13 @@ def _(v):
     return _dark(v)
 
 
-_EFFICIENCY = f"""{_DARK}, x AS (SELECT session_date, sum(exposure_seconds) AS a FROM {{exposures}} WHERE event_id % 2 = 0 GROUP BY session_date), o AS (SELECT observation_date, sum(exposure_time) AS b FROM {{observations}} GROUP BY observation_date),
+_EFFICIENCY = f"""{_DARK}, x AS (SELECT session_date, sum(CASE WHEN extract(day FROM session_date) % 3 = 0 THEN 0 ELSE exposure_seconds END) AS a FROM {{exposures}} GROUP BY session_date), o AS (SELECT observation_date, sum(exposure_time) AS b FROM {{observations}} GROUP BY observation_date),
  e AS (SELECT dark.session_date, dark_hours, coalesce(nullif(a, 0), b, 0) / 3600 AS integration_hours, least(100, coalesce(nullif(a, 0), b, 0) / (dark_hours * 3600) * 100) AS efficiency_pct FROM dark LEFT JOIN x ON x.session_date = dark.session_date LEFT JOIN o ON o.observation_date = dark.session_date WHERE dark_hours > 0)"""
 
 
 def _efficiency(v):
-    return processing.imaging_efficiency(_dark(v).select("session_date", "dark_hours"), v.exposures.where("event_id % 2 = 0"), v.observations)
+    seconds = F.when(F.dayofmonth("session_date") % 3 == 0, 0.0).otherwise(F.col("exposure_seconds"))  # nights without seconds, so that observations stand in
+    return processing.imaging_efficiency(_dark(v).select("session_date", "dark_hours"), v.exposures.withColumn("exposure_seconds", seconds), v.observations)
 
 
 @query("G06_imaging_efficiency", f"WITH {_EFFICIENCY} SELECT * FROM e", "integration_hours efficiency_pct")

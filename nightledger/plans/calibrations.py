@@ -30,8 +30,8 @@ def _scored(profile: str, lights: str, masters: str, k: int) -> str:
  CAST(row_number() OVER (PARTITION BY l.path ORDER BY round(greatest(0, CAST(1 AS DOUBLE) - ({' + '.join(cost)})), 4) DESC, {' + '.join(warned)}, m.path) AS INT) AS rank FROM {lights} l JOIN {masters} m ON {' AND '.join(agree)} QUALIFY rank <= {k}"""
 
 
-def _pool(name: str, kind: str) -> str:
-    return f"{name} AS (SELECT path, {_COLUMNS} FROM {{frames}} WHERE image_type = '{kind}')"
+def _pool(name: str, kind: str, columns: str = _COLUMNS) -> str:
+    return f"{name} AS (SELECT path, {columns} FROM {{frames}} WHERE image_type = '{kind}')"
 
 
 _POOLS = ", ".join(_pool(n, k) for n, k in (("l", "LIGHT"), ("dark", "DARK"), ("darkflat", "DARKFLAT"), ("flat", "FLAT"), ("bias", "BIAS")))
@@ -56,12 +56,14 @@ def _(v):
     return calibration.match_profile(_frames(v, "LIGHT"), _frames(v, "FLAT"), "flat").drop("matched")
 
 
-_SPARSE = _POOLS.replace("dark AS (SELECT path,", "dark AS (SELECT path + 0 AS path,").replace("WHERE image_type = 'DARK')", "WHERE image_type = 'DARK' AND gain = 100)")
+# darks are seen with gains that lights of gain 0 lack, so that fallbacks fire
+_OTHER_GAIN = "CASE WHEN gain = 100 THEN 100 ELSE 300 END"
+_SPARSE = _POOLS.replace(_pool("dark", "DARK"), _pool("dark", "DARK", _COLUMNS.replace("gain AS p_gain", f"{_OTHER_GAIN} AS p_gain")))
 
 
 @query("C09_match_with_fallback", f"WITH {_SPARSE} {_chain('dark', 2)}", "score")
 def _(v):
-    return calibration.match_with_fallback(_frames(v, "LIGHT"), _pools(v) | {"dark": _frames(v, "DARK").where("gain = 100")}, "dark", 2).drop("matched")
+    return calibration.match_with_fallback(_frames(v, "LIGHT"), _pools(v) | {"dark": _frames(v, "DARK").withColumn("gain", F.expr(_OTHER_GAIN))}, "dark", 2).drop("matched")
 
 
 _BEST = " UNION ALL ".join(f"SELECT light, '{k}' AS kind, score, n_warnings FROM ({_chain(k, 1)})" for k in ("dark", "flat", "bias", "darkflat"))
@@ -80,13 +82,17 @@ def _(v):
     return calibration.coverage(_frames(v, "LIGHT"), _pools(v))[1]
 
 
-@query("C10_match_groups", """WITH l AS (SELECT target, filter, avg(temperature) AS mean, arg_min({exposure: exposure, camera: camera}, (date_obs, path)) AS one FROM {frames} WHERE image_type = 'LIGHT' GROUP BY target, filter),
- g AS (SELECT target, filter, mean, one.exposure AS exposure, one.camera AS camera FROM l), d AS (SELECT g.*, f.temperature AS t FROM g JOIN {frames} f ON f.image_type = 'DARK' AND f.camera = g.camera AND abs(f.exposure - g.exposure) < 0.01),
- b AS (SELECT target, filter, arg_min(t, (abs(t - mean), t)) AS best FROM d GROUP BY target, filter), k AS (SELECT d.target, d.filter, count(*) AS n, any_value(abs(best - mean)) AS delta FROM d JOIN b ON b.target = d.target AND b.filter = d.filter WHERE abs(best - mean) <= 2 AND abs(t - best) <= 0.5 GROUP BY d.target, d.filter)
- SELECT g.target, g.filter, coalesce(k.n, 0) AS n_darks, (SELECT count(*) FROM {frames} f WHERE f.image_type = 'FLAT' AND f.filter = g.filter AND f.camera = g.camera) AS n_flats, (SELECT count(*) FROM {frames} f WHERE f.image_type = 'BIAS' AND f.camera = g.camera) AS n_biases, delta AS dark_temp_delta
- FROM g LEFT JOIN k ON k.target = g.target AND k.filter = g.filter""".replace("{exposure: exposure, camera: camera}", "struct_pack(exposure := exposure, camera := camera)"), "dark_temp_delta")
+_UNKNOWN = {"target": "CASE WHEN path % 17 = 0 THEN NULL ELSE target END", "filter": "CASE WHEN path % 13 = 0 THEN NULL ELSE filter END", "camera": "CASE WHEN path % 11 = 0 THEN NULL ELSE camera END"}
+
+
+@query("C10_match_groups", "WITH f AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _UNKNOWN.items()) + """) FROM {frames}), l AS (SELECT target, filter, avg(temperature) AS mean, arg_min(struct_pack(exposure := exposure, camera := camera), (date_obs, path)) AS one FROM f WHERE image_type = 'LIGHT' GROUP BY target, filter),
+ g AS (SELECT target, filter, mean, one.exposure AS exposure, one.camera AS camera FROM l), d AS (SELECT g.*, f.temperature AS t FROM g JOIN f ON f.image_type = 'DARK' AND f.camera IS NOT DISTINCT FROM g.camera AND abs(f.exposure - g.exposure) < 0.01),
+ b AS (SELECT target, filter, arg_min(t, (abs(t - mean), t)) AS best FROM d GROUP BY target, filter), k AS (SELECT d.target, d.filter, count(*) AS n, any_value(abs(best - mean)) AS delta FROM d JOIN b ON b.target IS NOT DISTINCT FROM d.target AND b.filter IS NOT DISTINCT FROM d.filter WHERE abs(best - mean) <= 2 AND abs(t - best) <= 0.5 GROUP BY d.target, d.filter),
+ fl AS (SELECT filter, camera, count(*) AS n FROM f WHERE image_type = 'FLAT' GROUP BY filter, camera), bi AS (SELECT camera, count(*) AS n FROM f WHERE image_type = 'BIAS' GROUP BY camera)
+ SELECT g.target, g.filter, coalesce(k.n, 0) AS n_darks, coalesce(fl.n, 0) AS n_flats, coalesce(bi.n, 0) AS n_biases, delta AS dark_temp_delta
+ FROM g LEFT JOIN k ON k.target IS NOT DISTINCT FROM g.target AND k.filter IS NOT DISTINCT FROM g.filter LEFT JOIN fl ON fl.filter IS NOT DISTINCT FROM g.filter AND fl.camera IS NOT DISTINCT FROM g.camera LEFT JOIN bi ON bi.camera IS NOT DISTINCT FROM g.camera""", "dark_temp_delta")
 def _(v):
-    return calibration.match_groups(v.frames)
+    return calibration.match_groups(v.frames.withColumns({c: F.expr(e) for c, e in _UNKNOWN.items()}))
 
 
 _NIGHT = "CAST(CAST(date_obs AS TIMESTAMP) - INTERVAL 12 HOUR AS DATE)"
