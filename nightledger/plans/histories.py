@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import stats
+from ..operators.merge import table_rows
 from ..sources import history
+from ..streaming import imports
 from .catalog import query
+from .durable import checkpoint_folder
+from .views import VIEWS
 
 
 def _targets(v):
@@ -68,9 +74,25 @@ def _(v):
     return e.select("event_id", text.parse_timestamp(shown).cast("timestamp_ntz").alias("timestamp"))
 
 
-@query("J02_running_summary", "SELECT CAST(ts - INTERVAL 12 HOUR AS DATE) AS session_date, count(*) AS n_exposures, sum(value) AS total_seconds FROM (SELECT DISTINCT ts, event_id, value FROM events) GROUP BY 1", "total_seconds")
+def _streamed(v) -> tuple[str, str]:
+    """The exposures of the event table through the import stream: (folder of the table, folder of the summaries)."""
+    place = f"{checkpoint_folder(v.spark)}/{uuid.uuid4().hex}"
+    exposures = lambda rows: rows.selectExpr(*(f"{e} AS `{c}`" for c, e in VIEWS["exposures"][1].items()))
+    whole = exposures(v.events.limit(0)).withColumn(imports.BATCH, F.lit("")).schema
+    then = lambda new, nights: imports.summarise(table_rows(v.spark, f"{place}/exposures", whole, nights), f"{place}/summaries")
+    stream = v.spark.readStream.schema(v.events.schema).parquet(f"{v._dir}/events.parque[t]")  # a pattern, as streams take single files only by one
+    imports.start_import(stream, exposures, f"{place}/exposures", f"{place}/state", "exposures", list(imports.EXPOSURE_KEY), "event_id", F.col("session_date"), then).awaitTermination()
+    return f"{place}/exposures", f"{place}/summaries"
+
+
+@query("J01_incremental_import", "SELECT event_id, timestamp, target_name, filter_name, file_path FROM {exposures} QUALIFY file_path IS NULL OR row_number() OVER (PARTITION BY timestamp, file_path ORDER BY event_id) = 1")
 def _(v):
-    from ..streaming.imports import stream_session_summary
+    folder, _ = _streamed(v)
+    return table_rows(v.spark, folder, v.exposures.schema).select("event_id", "timestamp", "target_name", "filter_name", "file_path")
 
-    rows = v.events.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("file_path"), F.col("value").alias("exposure_seconds"))
-    return stream_session_summary(rows.dropDuplicates(["timestamp", "file_path"]))
+
+@query("J02_running_summary", """WITH x AS (SELECT * FROM {exposures} QUALIFY file_path IS NULL OR row_number() OVER (PARTITION BY timestamp, file_path ORDER BY event_id) = 1) SELECT session_date, count(*) AS n_exposures, count(DISTINCT target_name) AS n_targets, sum(exposure_seconds) AS total_seconds, avg(hfr) AS avg_hfr, avg(fwhm) AS avg_fwhm,
+ array_to_string(list_sort(list(DISTINCT target_name)), ',') AS targets, array_to_string(list_sort(list(DISTINCT filter_name)), ',') AS filters, array_to_string(list_sort(list(DISTINCT telescope)), ',') AS telescopes, min(timestamp) AS first_exposure, max(timestamp) AS last_exposure FROM x GROUP BY session_date""", "avg_hfr avg_fwhm")
+def _(v):
+    _, summaries = _streamed(v)
+    return imports.running_summary(v.spark, summaries, stats.session_summary(v.exposures).schema)

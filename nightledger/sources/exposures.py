@@ -64,7 +64,12 @@ def read_aliased_csv(spark: SparkSession, root: str, pattern: str, headers: dict
     Each file's own first line names its columns, so files of different layouts are read together; of two headers for one
     column the first counts. Blank lines are skipped, quoted fields may hold commas.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.split("value", "\r?\n").alias("lines"))
+    return aliased_rows(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value"), headers)
+
+
+def aliased_rows(files: DataFrame, headers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``read_aliased_csv`` of files (source_path, value) that were read whole, of a folder or of a batch of a stream."""
+    lines = files.select("source_path", F.split("value", "\r?\n").alias("lines"))
     columns = F.create_map(*(x for name, known in headers.items() for k in known for x in (F.lit(k), F.lit(name))))
     width = lines.agg(F.max(F.size(F.split(F.get("lines", F.lit(0)), ",")))).first()[0] or 1  # of the widest header: one number
     schema = ", ".join(f"c{k} string" for k in range(width))
@@ -80,7 +85,10 @@ def read_aliased_csv(spark: SparkSession, root: str, pattern: str, headers: dict
 
 def read_exposure_csv(spark: SparkSession, root: str, pattern: str = "*ImageMetaData*.csv") -> DataFrame:
     """Typed exposures; rows without a readable timestamp are left out. A missing target is taken from the path."""
-    raw = read_aliased_csv(spark, root, pattern, EXPOSURE_HEADERS)
+    return typed_exposures(read_aliased_csv(spark, root, pattern, EXPOSURE_HEADERS))
+
+
+def typed_exposures(raw: DataFrame) -> DataFrame:
     typed = {c: safe_int(F.col(c)) if c in WHOLE else safe_double(F.col(c)) for c in EXPOSURE_HEADERS if c not in TEXTS and c != "timestamp"}
     named = F.coalesce(F.nullif(F.col("target_name"), F.lit("")), target_from_path(F.col("source_path")), target_from_path(F.col("file_path")))
     rows = raw.withColumns(typed | {"timestamp": parse_timestamp(F.col("timestamp")), "target_name": normalize_target(named)})
@@ -88,7 +96,10 @@ def read_exposure_csv(spark: SparkSession, root: str, pattern: str = "*ImageMeta
 
 
 def read_weather_csv(spark: SparkSession, root: str, pattern: str = "*WeatherData*.csv") -> DataFrame:
-    raw = read_aliased_csv(spark, root, pattern, WEATHER_HEADERS)
+    return typed_weather(read_aliased_csv(spark, root, pattern, WEATHER_HEADERS))
+
+
+def typed_weather(raw: DataFrame) -> DataFrame:
     typed = {c: safe_double(F.col(c)) for c in WEATHER_HEADERS if c != "timestamp"}
     return raw.withColumns(typed | {"timestamp": parse_timestamp(F.col("timestamp"))}).where("timestamp is not null")
 
