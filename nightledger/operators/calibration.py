@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import durable, stored
 from .selection import joined_by
 
 # The rules of each profile as (mode, tolerance, weight); parameters without a rule are ignored.
@@ -170,7 +170,7 @@ def match_with_fallback(lights: DataFrame, pools: dict[str, DataFrame], kind: st
     for name in (kind, *FALLBACKS[kind]):
         if name not in pools:
             continue
-        hits = match_profile(left, pools[name], name, k).withColumn("profile_used", F.lit(name))
+        hits = stored(match_profile(left, pools[name], name, k).withColumn("profile_used", F.lit(name)))  # read by the next levels too
         left = left.join(hits.select(F.col("light").alias("path")).distinct(), "path", "left_anti")
         found = hits if found is None else found.unionByName(hits)
     return found
