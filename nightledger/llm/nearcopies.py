@@ -171,6 +171,6 @@ def least_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("text", "node")
     sets = found.mapInArrow(_packed, "node long, shingles binary").dropDuplicates(["node"])
     cells = small.unionByName(large).join(sets, "node").repartition("cell").sortWithinPartitions("cell")
-    members = connected_components(cells.mapInArrow(_verified(threshold), "u long, v long"))
+    members = connected_components(durable(cells.mapInArrow(_verified(threshold), "u long, v long")))  # links are read twice
     rooted = nodes.join(members, "node", "left").select(F.coalesce("component", "node").alias("root"), F.col("one.doc_id").alias("least"))
     return rooted.groupBy("root").agg(F.min("least").alias("component_id")).select("component_id")
