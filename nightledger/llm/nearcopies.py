@@ -105,13 +105,14 @@ def _similar(a: bytes, b: bytes, threshold: Fraction) -> bool:
 
 
 def _verified(threshold: Fraction):
-    """Of each cell, similar pairs that keep its similar sets connected (not every pair of a group)."""
+    """Of each cell, similar pairs that keep its similar sets connected (not every pair of a group). Pairs share a key, in small groups as in large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "cell", 2000):
             column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
             cell, node, sets = column("cell"), column("node"), table.column("shingles").to_pylist()
             size = np.array([len(s) for s in sets])
+            keys = band_keys(np.frombuffer(b"".join(sets), np.uint64), np.concatenate([[0], np.cumsum(size // 8)]))
             label = np.arange(len(cell))
 
             def root(i: int) -> int:
@@ -129,7 +130,8 @@ def _verified(threshold: Fraction):
                 if not len(at):
                     break
                 close = threshold.denominator * np.minimum(size[at], size[at + step]) >= threshold.numerator * np.maximum(size[at], size[at + step])
-                for i in at[close & (node[at] != node[at + step])].tolist():
+                i = at[close & (node[at] != node[at + step]) & (label[at] != label[at + step])]
+                for i in i[(keys[i] == keys[i + step]).any(axis=1)].tolist():
                     u, v = root(i), root(i + step)
                     if u != v and _similar(sets[i], sets[i + step], threshold):
                         label[max(u, v)] = min(u, v)
@@ -145,8 +147,8 @@ def least_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """component_id of each group of near copies: the smallest id of the texts that links of ``threshold`` connect.
 
     Equal sets are one node, texts without words one group. Nodes that share a band key are candidates; what they connect is
-    verified in one place if it is small, and by key, in pairs of blocks of ``CELL``, if it is not. Every candidate pair
-    is verified unless verified links connect it already.
+    verified in one place if it is small, and by key, in pairs of blocks of ``CELL``, if it is not. In both, every pair that shares a
+    key is verified unless verified links connect it already, and no other pair.
     """
     texts = blocks.texts(docs, id_col, text_col).withColumn("copy", F.xxhash64("text"))
     prints = texts.mapInArrow(_prints, "doc_id long, copy long, node long, size long, keys array<long>")
