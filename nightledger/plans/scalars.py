@@ -152,6 +152,29 @@ def _(v):
     return stats.target_totals(upserts.merge_targets(v.observations, 7, 3))
 
 
+_MERGES = "SELECT id AS source, CASE id % 10 WHEN 9 THEN id + 10000000000 WHEN 7 THEN id ELSE id - 1 END AS dest FROM {targets} WHERE id % 10 IN (3, 4, 7, 9)"
+
+
+def _merges(v):
+    return v.targets.where("id % 10 in (3, 4, 7, 9)").selectExpr("id AS source", "CASE id % 10 WHEN 9 THEN id + 10000000000 WHEN 7 THEN id ELSE id - 1 END AS dest")
+
+
+@query("F06_merge_plan", f"""WITH m AS ({_MERGES}), s AS (SELECT target_id, sum(exposure_time) AS e, sum(frame_count) AS f, count(*) AS n FROM {{observations}} GROUP BY target_id), t AS (SELECT id, name, coalesce(e, 0) AS e, CAST(coalesce(f, 0) AS BIGINT) AS f, coalesce(n, 0) AS n FROM {{targets}} LEFT JOIN s ON target_id = id)
+ SELECT source, a.name AS source_name, CAST(a.e AS DOUBLE) AS source_exposure, a.f AS source_frames, dest, b.name AS dest_name, CAST(b.e AS DOUBLE) AS dest_exposure, b.f AS dest_frames, CASE WHEN b.id IS NULL OR source = dest THEN 0 ELSE a.n END AS observations_moved, CASE WHEN b.id IS NULL THEN 'dest not found' WHEN source = dest THEN 'same target' END AS problem
+ FROM m LEFT JOIN t a ON a.id = source LEFT JOIN t b ON b.id = dest""")
+def _(v):
+    return cluster.merge_plan(v.targets, v.observations, _merges(v))
+
+
+_KEPT = "CASE WHEN {c} % 10 IN (3, 4) THEN {c} - {c} % 10 + 2 ELSE {c} END"
+
+
+@query("F06_merge_pairs", f"""WITH o AS (SELECT {_KEPT.format(c='target_id')} AS id, exposure_time, frame_count, observation_date FROM {{observations}}), s AS (SELECT id, sum(exposure_time) AS e, sum(frame_count) AS f, min(observation_date) AS a, max(observation_date) AS z FROM o GROUP BY id)
+ SELECT t.id, t.name, CAST(coalesce(e, 0) AS DOUBLE) AS total_exposure, CAST(coalesce(f, 0) AS BIGINT) AS total_frames, a AS first_date, z AS last_date FROM {{targets}} t LEFT JOIN s ON s.id = t.id WHERE t.id % 10 NOT IN (3, 4)""")
+def _(v):
+    return cluster.merge_pairs(v.targets.select("id", "name"), v.observations, _merges(v))[0].withColumn("total_exposure", F.col("total_exposure").cast("double"))
+
+
 _PAIRS = "degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(b.dec_deg - a.dec_deg) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2)))))"
 
 
@@ -166,6 +189,23 @@ def _(v):
     return cluster.merge_duplicates(v.targets)
 
 
+# names and canonical names that every one of the three rules meets
+_ALIASED = {"name": "CASE id % 6 WHEN 0 THEN replace(canonical_name, ' ', '  ') WHEN 1 THEN 'x' || CAST(floor(id / 12) AS INT) || ' (455mm)' WHEN 2 THEN 'x' || CAST(floor(id / 12) AS INT) WHEN 3 THEN 'y' || id || ' (80MM)' ELSE name END",
+            "canonical_name": "CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 3 THEN NULL ELSE canonical_name END"}
+
+
+@query("F07_merge_passes", f"""WITH RECURSIVE t AS (SELECT id, {_ALIASED['name']} AS name, {_ALIASED['canonical_name']} AS canonical_name, object_type FROM {{targets}}),
+ s AS (SELECT id AS u, min(id) OVER (PARTITION BY canonical_name) AS v FROM t WHERE canonical_name <> '' UNION SELECT id, min(id) OVER (PARTITION BY regexp_replace(name, ' [(][0-9]+mm[)]$', '', 'i')) FROM t UNION SELECT o.id, k.v FROM t o JOIN (SELECT canonical_name AS c, min(id) AS v FROM t WHERE canonical_name <> '' GROUP BY 1) k ON k.c = replace(o.name, '  ', ' ') WHERE coalesce(o.canonical_name, '') = ''),
+ e AS (SELECT u, v FROM s WHERE u <> v UNION SELECT v, u FROM s WHERE u <> v), r AS (SELECT id, id AS c FROM t UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id WHERE r.c < e.v), k AS (SELECT id, min(c) AS keep FROM r GROUP BY id),
+ g AS (SELECT keep, count(*) - 1 AS n_merged, arg_min(canonical_name, id) FILTER (canonical_name <> '') AS c, arg_min(object_type, id) FILTER (object_type IS NOT NULL) AS o FROM k JOIN t USING (id) GROUP BY keep), x AS (SELECT keep, sum(exposure_time) AS e, count(*) AS n FROM {{observations}} JOIN k ON id = target_id GROUP BY keep)
+ SELECT t.id, name, coalesce(nullif(canonical_name, ''), c) AS canonical_name, CASE WHEN coalesce(canonical_name, '') = '' THEN coalesce(object_type, o) ELSE object_type END AS object_type, n_merged, CAST(coalesce(e, 0) AS DOUBLE) AS exposure, coalesce(n, 0) AS n_observations FROM t JOIN g ON g.keep = t.id LEFT JOIN x ON x.keep = t.id""")
+def _(v):
+    targets = v.targets.selectExpr("id", *(f"{e} AS {c}" for c, e in _ALIASED.items()), "object_type")
+    kept, moved = cluster.merged_tables(targets, v.observations, cluster.merge_duplicates(targets))
+    sums = moved.groupBy(F.col("target_id").alias("id")).agg(F.sum("exposure_time").cast("double").alias("e"), F.count("*").alias("n"))
+    return kept.join(sums, "id", "left").select(*kept.columns, F.coalesce("e", F.lit(0.0)).alias("exposure"), F.coalesce("n", F.lit(0)).cast("long").alias("n_observations"))
+
+
 @query("G07_welch", """WITH g AS (SELECT camera, count(*) AS n, avg(hfr) AS m, var_samp(hfr) AS s FROM {exposures} GROUP BY camera) SELECT a.n AS n_a, b.n AS n_b, (a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) AS t, pow(a.s / a.n + b.s / b.n, 2) / (pow(a.s / a.n, 2) / (a.n - 1) + pow(b.s / b.n, 2) / (b.n - 1)) AS df,
  (a.m - b.m) / sqrt((a.s + b.s) / 2) AS cohen_d FROM g a JOIN g b ON a.camera = 'C0' AND b.camera = 'C1'""", "t df cohen_d")
 def _(v):
