@@ -73,15 +73,36 @@ def aliases_frame(spark, aliases: dict[str, str] = FILTER_ALIASES, names: tuple[
     return spark.createDataFrame(rows, "alias string, canonical string, rank long, partial boolean")
 
 
+def _grams(c: Column) -> Column:
+    """The distinct pieces of one to three characters of a text."""
+    of = lambda size: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda at: F.substring(c, at, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def containing(holders: DataFrame, holder: str, held: DataFrame, part: str) -> DataFrame:
+    """All columns of both sides where the text ``holder`` holds the text ``part``, '' holding and being held by nothing.
+
+    An inverted index: a held text is looked up by its rarest piece of three characters (all of it where it is shorter) among the pieces of the holders, and verified.
+    How often a piece is in holders is counted first, so a piece that all of them have is a key only of texts that have no other.
+    """
+    index = holders.where(F.col(holder) != "").withColumn("_gram", F.explode(_grams(F.col(holder))))
+    often = index.groupBy("_gram").agg(F.count("*").alias("_often"))
+    texts = held.where(F.col(part) != "").select(F.col(part).alias("_part")).distinct()
+    whole = texts.withColumn("_gram", F.explode(F.filter(_grams(F.col("_part")), lambda g: F.length(g) == F.least(F.length("_part"), F.lit(3)))))
+    counted = whole.join(often, "_gram", "left").groupBy("_part").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_gram")).alias("_rare")).where("_rare.n > 0")  # a piece in no holder: held by none
+    met = index.join(counted.select("_part", F.col("_rare._gram").alias("_gram")), "_gram").where(F.col(holder).contains(F.col("_part")))
+    return met.drop("_gram").join(held.withColumn("_own", F.col(part)), F.col("_part") == F.col("_own")).drop("_part", "_own")
+
+
 def normalize_by_aliases(df: DataFrame, column: str, aliases: DataFrame, out: str, least: int = 3) -> DataFrame:
     """Adds ``out``: the canonical name of the alias that equals the upper-cased name, else of the first (by rank) alias of ``least`` characters or more
     that the name holds (``partial`` ones only), else the name itself; null and blank names are ''.
 
-    Names are looked up once each: distinct names meet the aliases, and the outcome is joined back.
+    Names are looked up once each: distinct names meet the aliases by equality or by ``containing``, and the outcome is joined back.
     """
     names = df.select(F.col(column).alias("_name")).distinct().withColumn("_upper", F.upper(F.trim("_name")))
     exact = names.join(aliases, F.col("_upper") == F.col("alias")).select("_name", "canonical", F.col("rank").alias("_rank"))
-    near = names.join(F.broadcast(aliases.where("partial").where(F.length("alias") >= least)), F.col("_upper").contains(F.col("alias"))).select("_name", "canonical", (F.col("rank") + 1_000_000).alias("_rank"))
+    near = containing(names, "_upper", aliases.where("partial").where(F.length("alias") >= least), "alias").select("_name", "canonical", (F.col("rank") + 1_000_000).alias("_rank"))
     best = exact.unionByName(near).groupBy("_name").agg(F.min_by("canonical", "_rank").alias("_found"))
     joined = df.join(best, F.col(column).eqNullSafe(F.col("_name")), "left")
     return joined.withColumn(out, F.coalesce("_found", F.trim(column), F.lit(""))).drop("_name", "_found")
@@ -100,8 +121,9 @@ def normalize_camera(df: DataFrame, column: str, mapping: DataFrame, models: Dat
     names = df.select(F.col(column).alias("_name")).distinct().where(F.trim("_name") != "").withColumn("_upper", F.upper(F.trim("_name"))).withColumn("_bare", strip_brand(F.col("_name")))
     by = lambda key, level: names.join(mapping, F.upper(F.col(key)) == F.col("alias")).select("_name", "canonical", F.lit(level).alias("_rank"))
     own = names.where(F.upper("_bare") != F.col("_upper")).join(models, F.col("_bare") == F.col("model")).select("_name", F.col("model").alias("canonical"), F.lit(2).alias("_rank"))
-    big = F.upper("model")
-    near = names.join(F.broadcast(models), F.col("_upper").contains(big) | big.contains(F.col("_upper"))).select("_name", F.col("model").alias("canonical"), (F.col("rank") + 3).alias("_rank"))
+    big = models.withColumn("_big", F.upper("model"))
+    close = containing(names, "_upper", big, "_big").unionByName(containing(big, "_big", names, "_upper"))
+    near = close.select("_name", F.col("model").alias("canonical"), (F.col("rank") + 3).alias("_rank"))
     best = by("_upper", 0).unionByName(by("_bare", 1)).unionByName(own).unionByName(near).groupBy("_name").agg(F.min_by("canonical", "_rank").alias("_found"))
     return df.join(best, F.col(column) == F.col("_name"), "left").withColumn(out, F.coalesce("_found", F.trim(column), F.lit(""))).drop("_name", "_found")
 

@@ -74,6 +74,14 @@ def gnomonic(ra: Column, dec: Column, ra0: Column, dec0: Column) -> tuple[Column
     return x, y
 
 
+def tangent(ra: Column, dec: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """As ``gnomonic``, but defined everywhere: behind the plane a position is that of its opposite, and at its edge very far."""
+    a, d, a0, d0 = map(F.radians, (ra, dec, ra0, dec0))
+    c = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(a - a0)
+    c = F.when(F.abs(c) < 1e-12, 1e-12).otherwise(c)
+    return F.degrees(F.cos(d) * F.sin(a - a0) / c), F.degrees((F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(a - a0)) / c)
+
+
 def image_scale(pixel_um: Column, focal_mm: Column) -> Column:
     """Arc seconds a pixel."""
     return pixel_um / F.nullif(focal_mm, F.lit(0)) * 206.265

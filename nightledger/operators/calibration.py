@@ -290,6 +290,21 @@ def flat_statistics(groups: DataFrame, masters: DataFrame) -> DataFrame:
     return joined.agg(F.sum("n_files").alias("total_flat_files"), F.count("*").alias("total_groups"), made.alias("masters_created"), (F.count("*") - made).alias("masters_pending"), F.countDistinct("night").alias("nights_covered"), F.countDistinct("telescope", "camera").alias("setups"), F.countDistinct("filter").alias("filters"))
 
 
+def pending_flats(groups: DataFrame, masters: DataFrame) -> DataFrame:
+    """The groups without a master; ``masters`` has the keys of groups with one. Null keys are alike."""
+    keys = ["night", *FLAT_KEYS, "rotation"]
+    other = masters.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    return groups.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+
+
+def flats_by(groups: DataFrame, masters: DataFrame, by: list[str]) -> DataFrame:
+    """For each value of ``by`` (night, or telescope and camera): n_groups, n_files, filters (sorted), first and last night, masters_created and masters_pending."""
+    left = pending_flats(groups, masters).groupBy(*by).agg(F.count("*").alias("masters_pending"))
+    all_of = groups.groupBy(*by).agg(F.count("*").alias("n_groups"), F.sum("n_files").alias("n_files"), F.array_sort(F.collect_set("filter")).alias("filters"), F.min("night").alias("first_night"), F.max("night").alias("last_night"))  # a set of filter names
+    pending = F.coalesce("masters_pending", F.lit(0)).cast("long")
+    return joined_by(all_of, left, by).withColumn("masters_created", F.col("n_groups") - pending).withColumn("masters_pending", pending)
+
+
 def flat_coverage(groups: DataFrame, required: DataFrame, least: int = 20) -> DataFrame:
     """night, filter, n_files and status (complete from ``least`` files, insufficient, missing) for every night of the flats and each required filter."""
     have = groups.groupBy("night", "filter").agg(F.sum("n_files").alias("n"))

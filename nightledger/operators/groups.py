@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sky import gnomonic
+from ..functions.sky import tangent
+from ..plans.durable import durable
 from .components import connected_components
 from .joins import angular_distance, pairs_within
 from .nearest import k_nearest
@@ -74,25 +75,39 @@ def cluster_stats(clusters: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mosaic_panels(frames: DataFrame, proximity: float = 5.0, least: float = 0.01) -> DataFrame:
-    """id, group, row, col and panel of frames that are mosaics by position: groups are linked by less than ``proximity`` degrees.
+def mosaic_panels(frames: DataFrame, proximity: float = 5.0, least: float = 0.01, largest: bool = False) -> DataFrame:
+    """id, group, row, col and panel of frames that are mosaics by position: groups are linked by less than ``proximity`` degrees, and named by their smallest id.
 
-    Offsets from the group's mean position in the tangent plane are rounded to tiles, whose side is the group's median distance of pairs over ``least`` degrees;
-    rows count from the north, columns from the east. ``frames`` has id, ra_deg and dec_deg.
+    Offsets in the tangent plane at a group's median position are rounded to tiles, whose side is the median distance of the group's linked pairs over ``least`` degrees
+    (1 without such a pair). Rows count from the south, columns along right ascension. ``frames`` has id, ra_deg and dec_deg; frames without a position are left out.
+    With ``largest`` only the group of most frames is returned, the smallest name of equal ones. Frames of one position are one node and count by their number.
     """
-    pairs = pairs_within(frames.select("id", "ra_deg", "dec_deg"), proximity)
-    found = connected_components(pairs, "id_a", "id_b")
-    placed = frames.join(found, F.col("id") == F.col("node")).select("id", "ra_deg", "dec_deg", F.col("component").alias("group"))
-    tile = order_statistics(pairs.where(F.col("distance") > least).join(found.select(F.col("node").alias("id_a"), F.col("component").alias("group")), "id_a"), ["group"], {"tile": ("distance", 0.5)})
-    a, d = F.radians("ra_deg"), F.radians("dec_deg")
-    centre = placed.groupBy("group").agg(F.sum(F.cos(d) * F.cos(a)).alias("x"), F.sum(F.cos(d) * F.sin(a)).alias("y"), F.sum(F.sin(d)).alias("z"))
-    centre = centre.select("group", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)).alias("ra0"), F.degrees(F.atan2("z", F.hypot("x", "y"))).alias("dec0"))
-    joined = placed.join(centre, "group").join(tile, "group")
-    x, y = gnomonic(F.col("ra_deg"), F.col("dec_deg"), F.col("ra0"), F.col("dec0"))
-    cells = joined.withColumns({"_c": F.bround(-x / F.col("tile")).cast("int"), "_r": F.bround(-y / F.col("tile")).cast("int")})
+    known = frames.where("ra_deg is not null and dec_deg is not null").select("id", F.col("ra_deg").cast("double"), F.col("dec_deg").cast("double"))
+    places = durable(known.groupBy("ra_deg", "dec_deg").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = durable(pairs_within(places, proximity).where(F.col("distance") < proximity))
+    found = places.join(connected_components(pairs, "id_a", "id_b"), F.col("id") == F.col("node"), "left").select("id", "ra_deg", "dec_deg", "n", F.coalesce("component", "id").alias("group"))
+    if largest:
+        first = found.groupBy("group").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "group").limit(1).select("group")
+        found = found.join(F.broadcast(first), "group")  # one row
+    start = found.groupBy("group").agg(F.min_by("ra_deg", "id").alias("ra_start"))
+    turn = F.when(F.col("ra_deg") - F.col("ra_start") > 180, -360.0).when(F.col("ra_deg") - F.col("ra_start") < -180, 360.0).otherwise(0.0)  # groups across 0 h
+    unrolled = durable(found.join(start, "group").withColumn("ra", F.col("ra_deg") + turn))
+    centre = order_statistics(unrolled, ["group"], {"ra0": ("ra", 0.5), "dec0": ("dec_deg", 0.5)}, "n")
+    side = lambda s: unrolled.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), *(["group"] if s == "a" else []))
+    apart = pairs.where(F.col("distance") > least).join(side("a"), "id_a").join(side("b"), "id_b").withColumn("w", F.col("n_a") * F.col("n_b"))
+    joined = unrolled.join(centre, "group").join(order_statistics(apart, ["group"], {"tile": ("distance", 0.5)}, "w"), "group", "left").withColumn("tile", F.coalesce("tile", F.lit(1.0)))
+    x, y = tangent(F.col("ra"), F.col("dec_deg"), F.col("ra0"), F.col("dec0"))
+    cells = joined.withColumns({"_c": F.bround(x / F.col("tile")).cast("int"), "_r": F.bround(y / F.col("tile")).cast("int")})
     ends = cells.groupBy("group").agg(F.min("_c").alias("c0"), F.min("_r").alias("r0"))
-    out = cells.join(ends, "group").withColumns({"row": F.col("_r") - F.col("r0"), "col": F.col("_c") - F.col("c0")})
-    return out.select("id", "group", "row", "col", F.format_string("R%dC%d", F.col("row") + 1, F.col("col") + 1).alias("panel"))
+    placed = cells.join(ends, "group").select("ra_deg", "dec_deg", "group", (F.col("_r") - F.col("r0")).alias("row"), (F.col("_c") - F.col("c0")).alias("col"))
+    return known.join(placed, ["ra_deg", "dec_deg"]).select("id", "group", "row", "col", F.format_string("R%dC%d", F.col("row") + 1, F.col("col") + 1).alias("panel"))
+
+
+def panel_centres(frames: DataFrame, panels: DataFrame) -> DataFrame:
+    """group, panel, row, col, n_files and the median ra_deg and dec_deg of each panel's frames."""
+    held = panels.join(frames.select("id", F.col("ra_deg").cast("double"), F.col("dec_deg").cast("double")), "id")
+    keys = ["group", "panel", "row", "col"]
+    return held.groupBy(*keys).agg(F.count("*").alias("n_files")).join(order_statistics(held, keys, {"ra_deg": ("ra_deg", 0.5), "dec_deg": ("dec_deg", 0.5)}), keys)
 
 
 def panels_by_name(files: DataFrame, path: str) -> DataFrame:
@@ -119,6 +134,27 @@ def mosaic_stats(panels: DataFrame) -> DataFrame:
     return panels.groupBy("panel").agg(F.count("*").alias("n_files"), F.countDistinct("filter").alias("n_filters"), F.sum("exposure").alias("exposure"))
 
 
+def mosaic_field(panels: DataFrame, headers: DataFrame, path: str = "path") -> DataFrame:
+    """One row: total_panels, total_files, grid_rows, grid_cols, and the mosaic's estimated width and height in arc minutes.
+
+    ``panels`` has path, panel, row and col; ``headers`` path and naxis1, naxis2, cdelt1, cdelt2, cd1_1, cd1_2, cd2_1 and cd2_2, null where a key is absent. A panel's
+    sample is its first file (by path) with a header; where CDELT is absent the CD matrix gives the scale. The medians over panels are multiplied by the grid;
+    without any complete sample both are null.
+    """
+    z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    matrix = (F.col("cdelt1").isNull() | F.col("cdelt2").isNull()) & ((z("cd1_1") != 0) | (z("cd1_2") != 0))
+    wide, high = (F.when(matrix, F.hypot(z(f"cd{k}_1"), z(f"cd{k}_2"))).otherwise(F.col(f"cdelt{k}").cast("double")) for k in (1, 2))
+    n = lambda c: F.nullif(F.col(c), F.lit(0))
+    whole = wide.isNotNull() & high.isNotNull() & n("naxis1").isNotNull() & n("naxis2").isNotNull()
+    sizes = headers.select(path, F.when(whole, F.struct((F.abs(wide) * n("naxis1")).alias("w"), (F.abs(high) * n("naxis2")).alias("h"))).alias("_size"))
+    first = panels.select(path, "panel").join(sizes, path).groupBy("panel").agg(F.min_by(F.struct("_size"), path).alias("_one")).select("_one._size.w", "_one._size.h")
+    middle = order_statistics(first.withColumn("_mosaic", F.lit(1)), ["_mosaic"], {"w": ("w", 0.5), "h": ("h", 0.5)})
+    grid = panels.agg(F.countDistinct("panel").alias("total_panels"), F.count("*").alias("total_files"), (F.max("row") - F.min("row") + 1).alias("grid_rows"), (F.max("col") - F.min("col") + 1).alias("grid_cols")).withColumn("_mosaic", F.lit(1))
+    joined = grid.join(middle, "_mosaic", "left")
+    field = lambda size, count: F.bround(F.col(size) * F.col(count) * 60, 1)
+    return joined.select("total_panels", "total_files", "grid_rows", "grid_cols", field("w", "grid_cols").alias("width_arcmin"), field("h", "grid_rows").alias("height_arcmin"))
+
+
 def split_path(path: Column) -> tuple[Column, Column]:
     """(path without its format's ending, rank of the format in FORMATS)."""
     form = r"(?i)(\.fits\.fz|\.fits|\.xisf)$"

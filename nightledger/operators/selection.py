@@ -45,16 +45,16 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name:
     return joined.select(*rows.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(name))
 
 
-def order_statistics(rows: DataFrame, keys: list[str], asked: dict[str, tuple[str, float | str]]) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], asked: dict[str, tuple[str, float | str]], weight: str | None = None) -> DataFrame:
     """``keys`` and a column for each of ``asked``: name -> (column, share of 0 to 1, or 'upper' for the upper median).
 
     Exact; a share between two values is interpolated linearly. Nulls don't count; a group without a value has null. Equal values are counted before they are
-    cut into ranges, and only ranges that hold an asked rank are put in order. All measures go through together.
+    cut into ranges, and only ranges that hold an asked rank are put in order. All measures go through together. A row with ``weight`` n (a whole number) counts n times.
     """
     columns = sorted({c for c, _ in asked.values()})
     measures = F.explode(F.array(*(F.struct(F.lit(k).alias("_m"), F.col(c).cast("double").alias("_v")) for k, c in enumerate(columns))))
-    long = rows.select(*keys, measures.alias("_x")).select(*keys, "_x._m", "_x._v")
-    counts = long.where("_v is not null").groupBy(*keys, "_m", "_v").agg(F.count("*").alias("_n"))
+    long = rows.select(*keys, (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), measures.alias("_x")).select(*keys, "_w", "_x._m", "_x._v")
+    counts = long.where("_v is not null and _w > 0").groupBy(*keys, "_m", "_v").agg(F.sum("_w").alias("_n"))
     by = [*keys, "_m"]
     placed = _ranges(counts, by, ["_v"])
     ranks = {}

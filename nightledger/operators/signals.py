@@ -136,6 +136,12 @@ def stretch(pixels: DataFrame, low: float = 0.0005, high: float = 0.9995, shadow
     return mad.withColumn("shadow", dark).withColumn("midtone", F.coalesce(midtone, F.lit(0.5)))
 
 
+def metric_points(frames: DataFrame, key: str, x: str, y: str, stars: str | None = None) -> DataFrame:
+    """key, x and y of the frames that a scatter chart of two metrics shows: both known, and some stars where ``stars`` names their number."""
+    shown = frames.where(F.col(stars) > 0) if stars else frames
+    return shown.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("x"), F.col(y).alias("y"))
+
+
 def metric_histogram(df: DataFrame, column: str, most: int = 30) -> DataFrame:
     """bin, low and n of min(most, max(5, n div 3)) equal bins."""
     one = df.where(F.col(column).isNotNull()).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.least(F.lit(most), F.greatest(F.lit(5), F.floor(F.count("*") / 3))).cast("int").alias("bins"))

@@ -119,6 +119,24 @@ def _(v):
     return calibration.flat_statistics(groups, groups.where("filter = 'O'"))
 
 
+@query("D31_flats_by_night", f"""WITH {_FLATS} SELECT night, count(*) AS n_groups, CAST(sum(n_files) AS BIGINT) AS n_files, string_agg(DISTINCT filter, ',' ORDER BY filter) AS filters, night AS first_night, night AS last_night, count(*) FILTER (filter = 'O') AS masters_created, count(*) FILTER (filter <> 'O') AS masters_pending FROM g GROUP BY night""")
+def _(v):
+    groups = calibration.flat_groups(v.frames.where("image_type = 'FLAT'"))
+    return calibration.flats_by(groups, groups.where("filter = 'O'"), ["night"]).withColumn("filters", F.array_join("filters", ","))
+
+
+@query("D31_flats_by_setup", f"""WITH {_FLATS} SELECT telescope, camera, count(*) AS n_groups, CAST(sum(n_files) AS BIGINT) AS n_files, string_agg(DISTINCT filter, ',' ORDER BY filter) AS filters, min(night) AS first_night, max(night) AS last_night, count(*) FILTER (filter = 'O') AS masters_created, count(*) FILTER (filter <> 'O') AS masters_pending FROM g GROUP BY telescope, camera""")
+def _(v):
+    groups = calibration.flat_groups(v.frames.where("image_type = 'FLAT'"))
+    return calibration.flats_by(groups, groups.where("filter = 'O'"), ["telescope", "camera"]).withColumn("filters", F.array_join("filters", ","))
+
+
+@query("D31_pending_flats", f"WITH {_FLATS} SELECT night, telescope, camera, filter, binning, rotation, n_files, temperature, first_path FROM g WHERE filter <> 'O'")
+def _(v):
+    groups = calibration.flat_groups(v.frames.where("image_type = 'FLAT'"))
+    return calibration.pending_flats(groups, groups.where("filter = 'O'")).withColumn("first_path", F.col("files")[0]).drop("files")
+
+
 @query("D32_flat_coverage", f"""WITH {_FLATS}, h AS (SELECT night, filter, sum(n_files) AS n FROM g GROUP BY night, filter) SELECT d.night, r.filter, CAST(coalesce(n, 0) AS BIGINT) AS n_files, CASE WHEN coalesce(n, 0) >= 3 THEN 'complete' WHEN coalesce(n, 0) > 0 THEN 'insufficient' ELSE 'missing' END AS status
  FROM (SELECT DISTINCT night FROM g) d CROSS JOIN (SELECT DISTINCT filter FROM {{frames}} WHERE image_type = 'LIGHT') r LEFT JOIN h ON h.night = d.night AND h.filter = r.filter""")
 def _(v):

@@ -142,6 +142,11 @@ def _(v):
     return signals.metric_histogram(v.exposures, "hfr")
 
 
+@query("G14_metric_points", "SELECT frame AS path, x, y FROM (SELECT frame, quantile_cont(fwhm, 0.5) AS x, quantile_cont(eccentricity, 0.5) AS y FROM {stars} GROUP BY frame) WHERE x IS NOT NULL AND y IS NOT NULL", "x y")
+def _(v):
+    return signals.metric_points(stats.frame_metrics(v.stars), "frame", "fwhm", "eccentricity", "n_stars").withColumnRenamed("frame", "path")
+
+
 @query("H01_union_all", "SELECT 'exposure' AS kind, event_id AS id, timestamp, hfr, NULL AS cloud_cover FROM {exposures} UNION ALL SELECT 'weather', weather_id, timestamp, NULL, cloud_cover FROM {weather}", "hfr")
 def _(v):
     return listings.union_all(v.exposures.select(F.lit("exposure").alias("kind"), F.col("event_id").alias("id"), "timestamp", "hfr"), v.weather.select(F.lit("weather").alias("kind"), F.col("weather_id").alias("id"), "timestamp", "cloud_cover"))

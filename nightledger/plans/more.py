@@ -49,6 +49,19 @@ def _(v):
     return found.groupBy("event_id").agg(F.min_by("id", F.struct("p", "id")).alias("id"))
 
 
+_RESOLVED = """CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"main_id": "NAME ' || id || '", "aliases": ["HD ' || CAST(floor(id / 2) AS INT) || '", "IC ' || id || '"]}' WHEN 2 THEN '{"main_id": "", "aliases": []}' ELSE '{broken ' || id END"""
+_ASKED = "CASE event_id % 7 WHEN 0 THEN 'name  ' || CAST(event_id % 200 AS STRING) WHEN 1 THEN 'hd' || CAST(event_id % 200 AS STRING) WHEN 2 THEN 'ic ' || CAST(event_id % 200 AS STRING) WHEN 3 THEN '{first}' || CAST(event_id % 200 AS STRING) WHEN 4 THEN upper('{first}') WHEN 5 THEN '{first}' ELSE ' ' END"
+
+
+@query("C14_resolve_aliases", f"""WITH t AS (SELECT id, name, canonical_name, {_RESOLVED} AS d FROM {{targets}}), j AS (SELECT id, upper(replace(d ->> '$.main_id', ' ', '')) AS k FROM t WHERE json_valid(d) UNION ALL SELECT id, upper(replace(unnest(from_json(d -> '$.aliases', '["VARCHAR"]')), ' ', '')) FROM t WHERE json_valid(d)),
+ q AS (SELECT event_id, {_ASKED.format(first='small ring ')} AS asked FROM events), s AS (SELECT *, upper(replace(asked, ' ', '')) AS k FROM q), l AS (SELECT 1 AS step, name AS k, id FROM t UNION ALL SELECT 1, canonical_name, id FROM t), u AS (SELECT k, min(id) AS id FROM l GROUP BY k), w AS (SELECT upper(replace(k, ' ', '')) AS k, min(id) AS id FROM l GROUP BY 1), y AS (SELECT k, min(id) AS id FROM j WHERE k <> '' GROUP BY k)
+ SELECT event_id, asked, coalesce(u.id, w.id, y.id) AS id, CASE WHEN u.id IS NOT NULL THEN 1 WHEN w.id IS NOT NULL THEN 2 WHEN y.id IS NOT NULL THEN 3 END AS step FROM s LEFT JOIN u ON u.k = asked LEFT JOIN w ON w.k = s.k LEFT JOIN y ON y.k = s.k""")
+def _(v):
+    asked = v.events.selectExpr("event_id", f"{_ASKED.format(first='small ring ')} AS asked")
+    targets = v.targets.selectExpr("id", "name", "canonical_name", f"{_RESOLVED} AS data")
+    return joins.resolve_local(asked, targets, data="data")
+
+
 @query("F02_cluster_summary", """WITH RECURSIVE e AS (SELECT a.id AS u, b.id AS v FROM {targets} a JOIN {targets} b ON a.id <> b.id AND abs(a.dec_deg - b.dec_deg) <= 1.5 WHERE degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(b.dec_deg - a.dec_deg) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2))))) <= 1.5),
  r AS (SELECT id, id AS c FROM {targets} UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id WHERE r.c < e.v), k AS (SELECT id, min(c) AS cluster FROM r GROUP BY id), t AS (SELECT target_id, sum(exposure_time) AS e FROM {observations} GROUP BY target_id)
  SELECT cluster, count(*) AS members, coalesce(sum(e), 0) AS exposure FROM k LEFT JOIN t ON target_id = id GROUP BY cluster""")

@@ -51,9 +51,26 @@ def _(v):
     return groups.cluster_stats(cluster.cluster_targets(_dense(v), 0.25, 1), _dense(v)).drop("avg_cluster_radius_arcmin")
 
 
-@query("F08_mosaic_panels")
+# frames of the dense targets, up to three of one position
+_MOSAIC = f"""{_DENSE}, n AS (SELECT id * 10 + j AS id, cluster * 10 AS "group", ra_deg, dec_deg FROM tt JOIN k USING (id), (SELECT unnest([0, 1, 2]) AS j) WHERE j <= id % 3), a0 AS (SELECT "group" AS g, quantile_cont(ra_deg, 0.5) AS ra0, quantile_cont(dec_deg, 0.5) AS dec0, count(*) AS size FROM n GROUP BY g),
+ s AS (SELECT a."group" AS g, quantile_cont({_D}, 0.5) AS tile FROM n a JOIN n b ON a."group" = b."group" AND a.id < b.id WHERE {_D} > 0.01 AND {_D} < 0.25 GROUP BY g),
+ p AS (SELECT id, "group", ra_deg, dec_deg, size, coalesce(tile, 1) AS tile, radians(ra_deg) AS a, radians(dec_deg) AS d, radians(ra0) AS ra0, radians(dec0) AS dec0 FROM n JOIN a0 ON a0.g = "group" LEFT JOIN s ON s.g = "group"), c AS (SELECT *, sin(dec0) * sin(d) + cos(dec0) * cos(d) * cos(a - ra0) AS c FROM p),
+ x AS (SELECT *, CAST(round_even(degrees(cos(d) * sin(a - ra0) / c) / tile, 0) AS INT) AS cx, CAST(round_even(degrees((cos(dec0) * sin(d) - sin(dec0) * cos(d) * cos(a - ra0)) / c) / tile, 0) AS INT) AS cy FROM c), y AS (SELECT id, "group", ra_deg, dec_deg, size, cy - min(cy) OVER (PARTITION BY "group") AS "row", cx - min(cx) OVER (PARTITION BY "group") AS col FROM x)"""
+
+
+def _mosaic_frames(v):
+    return _dense(v).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("id") % 3).cast("int")))).select((F.col("id") * 10 + F.col("j")).alias("id"), "ra_deg", "dec_deg")
+
+
+@query("F08_mosaic_panels", f"""WITH RECURSIVE {_MOSAIC} SELECT id, "group", "row", col, 'R' || ("row" + 1) || 'C' || (col + 1) AS panel FROM y""")
+def _(v):
+    return groups.mosaic_panels(_mosaic_frames(v), 0.25)
+
+
+@query("F08_largest_mosaic", f"""WITH RECURSIVE {_MOSAIC} SELECT "group", 'R' || ("row" + 1) || 'C' || (col + 1) AS panel, "row", col, count(*) AS n_files, quantile_cont(ra_deg, 0.5) AS ra_deg, quantile_cont(dec_deg, 0.5) AS dec_deg FROM y WHERE "group" = (SELECT "group" FROM y ORDER BY size DESC, "group" LIMIT 1) GROUP BY ALL""", "ra_deg dec_deg")
 def _(v):
-    return groups.mosaic_panels(v.targets.select("id", F.col("ra_deg").cast("double"), F.col("dec_deg").cast("double")), 1.5)
+    frames = _mosaic_frames(v)
+    return groups.panel_centres(frames, groups.mosaic_panels(frames, 0.25, largest=True))
 
 
 _PANELS = "CASE o_orderkey % 6 WHEN 0 THEN 'M31_Row' || (o_orderkey % 3 + 1) || '_Col' || (o_orderkey % 4 + 2) || '_L' WHEN 1 THEN 'M42 ' || (o_orderkey % 3 + 1) || 'x' || (o_orderkey % 4 + 2) WHEN 2 THEN 'Veil-Panel ' || (o_orderkey % 5 + 2) WHEN 3 THEN 'a_P' || (o_orderkey % 5 + 2) ELSE 'plain' END"
@@ -76,6 +93,22 @@ def _(v):
     return groups.mosaic_stats(files.join(panels, "path"))
 
 
+_HEADERS = {
+    "naxis1": "CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE 4000 + 100 * (o_custkey % 3) END", "naxis2": "3000 + 100 * (o_custkey % 4)", "cdelt1": "CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE CAST(-0.0003 * (1 + o_custkey % 5) AS DOUBLE) END", "cdelt2": "CAST(0.0004 AS DOUBLE)",
+    "cd1_1": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(0.0003 AS DOUBLE) END", "cd1_2": "CAST(NULL AS DOUBLE)", "cd2_1": "CAST(0.0001 * (o_custkey % 3) AS DOUBLE)", "cd2_2": "CAST(0.0004 AS DOUBLE)",
+}
+_HEADER_COLUMNS = [f"{e} AS {c}" for c, e in _HEADERS.items()]
+
+
+@query("D37_mosaic_field", f"""{_PANEL_SQL}, l AS (SELECT 'R' || (r - r0 + 1) || 'C' || (c - c0 + 1) AS panel, r, c, '/' || o_orderkey || path AS path, o_orderkey FROM r, e), h AS (SELECT '/' || o_orderkey || path AS path, {', '.join(_HEADER_COLUMNS)} FROM p JOIN orders USING (o_orderkey) WHERE o_orderkey % 5 <> 0),
+ m AS (SELECT path, naxis1, naxis2, cdelt1 IS NULL AND cd1_1 IS NOT NULL AS matrix, * EXCLUDE (path, naxis1, naxis2) FROM h), q AS (SELECT path, abs(CASE WHEN matrix THEN cd1_1 ELSE cdelt1 END) * naxis1 AS w, CASE WHEN matrix THEN sqrt(cd2_1 * cd2_1 + cd2_2 * cd2_2) ELSE cdelt2 END * naxis2 AS h FROM m),
+ f AS (SELECT panel, CASE WHEN w IS NOT NULL THEN w END AS w, CASE WHEN w IS NOT NULL THEN h END AS h FROM l JOIN q USING (path) QUALIFY row_number() OVER (PARTITION BY panel ORDER BY path) = 1), g AS (SELECT count(DISTINCT panel) AS total_panels, count(*) AS total_files, CAST(max(r) - min(r) + 1 AS INT) AS grid_rows, CAST(max(c) - min(c) + 1 AS INT) AS grid_cols FROM l)
+ SELECT g.*, round(quantile_cont(w, 0.5) * any_value(grid_cols) * 60, 1) AS width_arcmin, round(quantile_cont(h, 0.5) * any_value(grid_rows) * 60, 1) AS height_arcmin FROM f, g GROUP BY ALL""")
+def _(v):
+    files = v.orders.selectExpr(f"'/' || o_orderkey || '/x/' || {_PANELS} || '.fits' AS path", "o_orderkey", "o_custkey")
+    return groups.mosaic_field(groups.panels_by_name(files.select("path"), "path"), files.where("o_orderkey % 5 <> 0").selectExpr("path", *_HEADER_COLUMNS))
+
+
 @query("F10_duplicate_files", """WITH f AS (SELECT path, file_id, regexp_replace(path, '(\\.fits\\.fz|\\.fits|\\.xisf)$', '') AS base, CASE WHEN path LIKE '%.xisf' THEN 0 WHEN path LIKE '%.fits' THEN 1 WHEN path LIKE '%.fits.fz' THEN 2 END AS k, CASE WHEN file_id % 9 = 0 THEN NULL ELSE length // 40 END AS date_obs, file_id % 3 AS filter FROM (SELECT replace(replace(path, '/' || file_id || '.', '/' || (file_id // 2) || '.'), 'x', 'x') AS path, file_id, length FROM {files})),
  a AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k, path) = 1 AS stays FROM f WHERE k IS NOT NULL), b AS (SELECT *, stays AND date_obs IS NOT NULL AND row_number() OVER (PARTITION BY stays, date_obs, filter ORDER BY path) > 1 AS again FROM a) SELECT path, stays AND NOT again AS keep, CASE WHEN NOT stays THEN 'format' WHEN again THEN 'signature' END AS reason FROM b""")
 def _(v):
