@@ -15,12 +15,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from . import blocks
 
 DICTIONARY_BYTES = 64 << 10
 PIECE_BYTES = 2 << 10  # a text's pieces are compressed one by one, so that a long text can't make up for the dictionary
 SAMPLE_ROWS = 1500  # labelled rows of each class for the dictionaries, and as many again for the curve
-SAMPLE_PIECES = 4  # pieces of each of those rows that go into a dictionary, spread over the whole text
+TRAIN_BYTES = 16 << 20  # text of each class for its dictionary: whole texts, in the order of the hash, as many as fit
 LEVEL = 3
 
 
@@ -34,17 +35,43 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; of too little text, the text itself."""
-    samples = []
-    for text in texts:
-        own = pieces(text)
-        samples += [own[i] for i in sorted({len(own) * k // SAMPLE_PIECES for k in range(SAMPLE_PIECES)})] if own else []
+    """A dictionary trained on all pieces of the texts; of too little text, the text itself."""
+    samples = [piece for text in texts for piece in pieces(text)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+def fitting(sizes: list[int], budget: int) -> list[int]:
+    """Which texts, taken in order, go into a budget of bytes: one that doesn't fit any more is left out whole, and a shorter one after it may still fit."""
+    chosen, left = [], budget
+    for k, size in enumerate(sizes):
+        if size <= left:
+            chosen.append(k)
+            left -= size
+    return chosen
+
+
+def dictionaries(docs: DataFrame, sample: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[bytes, bytes]:
+    """The dictionaries of good and of bad text, from the documents of ``sample`` (doc_id, quality, h; a bounded number of rows).
+
+    Texts go in whole, in the order of h, as many of each class as fit into ``train_bytes``; the driver sees their sizes first and then only the texts that fit.
+    Of a doc_id with several texts the least is taken.
+    """
+    built = docs.where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text"))
+    built = durable(built)  # as many rows as the sample at most
+    sizes = sorted(built.select("quality", "h", "doc_id", F.octet_length("text").alias("n")).collect())
+    kept = []
+    for quality in (1, 0):
+        own = [r for r in sizes if r["quality"] == quality]
+        kept += [(own[k]["doc_id"],) for k in fitting([r["n"] for r in own], train_bytes)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long"))
+    rows = sorted(built.join(chosen, "doc_id").select("quality", "h", "doc_id", "text").collect())
+    good, bad = ([r["text"].encode() for r in rows if r["quality"] == q] for q in (1, 0))
+    return _dictionary(good), _dictionary(bad)
+
+
 def features(model):
     """(size difference as a share of the sum, sum) of a text: the difference is positive where the good dictionary does better."""
     kinds = []
@@ -98,12 +125,12 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: bool = False, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, score (probability that quality is 1) and predicted (1 if score >= 0.5, else 0) of every row of ``docs``.
 
     Learns from the rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod 3 is not 1, quality 0 or 1 (others and
     nulls are left out), one of each repeated doc_id. Of each class the ``2 * sample_rows`` smallest hashes of doc_id are used:
-    half build the dictionary, half fit the curve, weighted to the class shares of all learning rows.
+    half build the dictionary (see ``dictionaries``), half fit the curve, weighted to the class shares of all learning rows.
     Only text is an input of the score. Null and empty texts get the score of no difference; rows repeat as they come.
     With ``carry`` the rows keep text and rest, see ``blocks.texts``. With labels of one class, or none, every text gets that class's share, smoothed.
     """
@@ -118,17 +145,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     beta, model = np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0, 0.0]), (b"", b"")
     if len(shares) == 2:
         chosen = [known.where(F.col("quality") == q).orderBy("h", "doc_id").limit(2 * sample_rows).withColumn("builds", F.pmod(F.col("h").bitwiseXOR(F.shiftright("h", 20)), F.lit(2)) == 0) for q in (0, 1)]
-        sample = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("doc_id"), "quality", "builds"))  # 4 * sample_rows at most
-        built = docs.join(sample.where("builds"), "doc_id")
-        step = F.greatest(F.floor(F.length("text") / SAMPLE_PIECES), F.lit(1)).cast("int")
-        spread = F.array(*(F.substring(F.col("text"), F.lit(1) + step * k, F.lit(PIECE_BYTES)) for k in range(SAMPLE_PIECES)))
-        short = F.when(F.length("text") <= PIECE_BYTES * SAMPLE_PIECES, F.array("text")).otherwise(spread)
-        rows = built.select("doc_id", "quality", short.alias("parts")).collect()
-        rows.sort(key=lambda r: (r["doc_id"], r["parts"]))
-        model = tuple(_dictionary([p.encode() for r in rows if r["quality"] == q for p in r["parts"]]) for q in (1, 0))
+        sample = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("doc_id"), "quality", "builds", "h"))  # 4 * sample_rows at most
+        model = dictionaries(docs, sample.where("builds"), train_bytes)
         known_model = spark.sparkContext.broadcast(model)
-        fitted = docs.join(sample.where("not builds"), "doc_id")
-        measured = fitted.select("doc_id", "text").mapInArrow(_measure(known_model), f"doc_id long, {MEASURED}").join(sample, "doc_id")
+        fitted = docs.join(sample.where("not builds"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        measured = fitted.mapInArrow(_measure(known_model), f"doc_id long, {MEASURED}").join(sample, "doc_id")
         measured = measured.select("doc_id", "quality", F.array(*inputs(*map(F.col, ("difference", "compressed", "n_bytes")))).alias("x")).collect()
         measured.sort(key=lambda r: (r["doc_id"], r["x"]))
         y = np.array([r["quality"] for r in measured], float)
