@@ -8,6 +8,8 @@ a key that is common in the corpus is sent once by each block at most.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,8 +50,11 @@ def volume(docs: DataFrame) -> tuple[int, int]:
 
 
 def release() -> None:
-    """Gives freed Arrow memory back: a Python worker lives on through later stages."""
+    """Gives freed Arrow and heap memory back: a Python worker lives on through later stages, and freed arrays of middling size stay in its heap otherwise."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other C libraries have none
+    if trim:
+        trim(0)
 
 
 def table_tasks(docs: DataFrame, total_bytes: int) -> int:

@@ -158,6 +158,8 @@ def _counted(docs: DataFrame, tasks: int, slots_of) -> np.ndarray:
         for a in range(0, len(total), _SEGMENT):
             if total[a : a + _SEGMENT].any():
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([a // _SEGMENT], pa.int32()), "counts": [pack(total[a : a + _SEGMENT].tobytes())]})
+        del total
+        blocks.release()
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in table.column("counts").to_pylist())
@@ -240,6 +242,7 @@ def _post(model, count: int):
     block, with its first line and that line's document, by the set's partition; and, without keys, the lines that repeat a set of the block."""
 
     def run(table: pa.Table) -> pa.Table:
+        blocks.release()
         rarity, load, bounds, cell = model.value
         block = table.column("block")[0].as_py()
         ids_in_order, parts = _block_lines(table, rarity)
@@ -296,6 +299,7 @@ def _candidates(bounds: Filter):
     """Of each block's postings, those that pass the filters with any other set's."""
 
     def run(table: pa.Table) -> pa.Table:
+        blocks.release()
         rows = _having(table, "postings")
         column = lambda c: (table.column(c)[k] for k in rows)
         lists = _parts(column("postings"), _POSTING)
@@ -334,6 +338,7 @@ def _post_whole(model, count: int):
     """The postings that passed once more, with order and all words."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
+        blocks.release()
         rarity, load, bounds, cell = model.value
         empty = pa.table({c: pa.array([], t) for c, t in (("part", pa.int32()), ("block", pa.int32()), ("postings", pa.binary()), ("tokens", pa.binary()), ("sizes", pa.binary()))})
         if not asked.num_rows or not table.num_rows:
@@ -407,6 +412,7 @@ def _verified(bounds: Filter, count: int):
     """Sets that have a similar set whose first line is earlier, dealt by set. Keys are gone through some ten thousands of postings at a time."""
 
     def run(table: pa.Table) -> pa.Table:
+        blocks.release()
         lists = _parts(table.column("postings"), _FULL)
         sizes = _parts(table.column("sizes"), np.int32)
         n = [len(x) for x in lists]

@@ -82,6 +82,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
             columns = [batch.column("doc_id").slice(a, b - a), batch.column("copy").slice(a, b - a), pa.array(set_hashes(hashes, first).view(np.int64)), pa.array(sizes.astype(np.int64)), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "node", "size", "keys"])
+    blocks.release()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +95,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right = np.flatnonzero(set_hashes(hashes, first) == node[a:b])
             sets = [hashes[first[i] : first[i + 1]].tobytes() for i in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(node[a:b][right].view(np.int64)), pa.array(sets, pa.binary())], ["node", "shingles"])
+    blocks.release()
 
 
 def _similar(a: bytes, b: bytes, threshold: Fraction) -> bool:
@@ -139,6 +141,7 @@ def _verified(threshold: Fraction):
             if out:
                 u, v = (np.array(x, np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        blocks.release()
 
     return run
 

@@ -100,6 +100,7 @@ def _measure(model):
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
             own = {c: batch.column(c) for c in (("doc_id", "text", "rest") if "rest" in batch.schema.names else ("doc_id",))}
             yield pa.RecordBatch.from_arrays([*own.values(), *columns], [*own, "difference", "compressed", "n_bytes"])
+        blocks.release()
 
     return run
 
