@@ -190,7 +190,7 @@ def equal_contents(files: DataFrame, path: str, content: str) -> DataFrame:
 def group_targets(frames: DataFrame, name: Column, aliases: DataFrame) -> DataFrame:
     """``frames`` with group: the alias table's canonical name (alias, canonical) of the normalised name, else that name."""
     named = frames.withColumn("_n", name)
-    return named.join(F.broadcast(aliases), F.col("_n") == F.col("alias"), "left").withColumn("group", F.coalesce("canonical", "_n")).drop("_n", "alias", "canonical")
+    return named.join(aliases, F.col("_n") == F.col("alias"), "left").withColumn("group", F.coalesce("canonical", "_n")).drop("_n", "alias", "canonical")
 
 
 def split_by_focal(frames: DataFrame, target: str, focal: str, share: float = 0.10) -> DataFrame:

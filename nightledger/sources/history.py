@@ -72,4 +72,4 @@ def load_dimension(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 def export_filter_ids(details: DataFrame, ids: DataFrame) -> DataFrame:
     """date, filter (the forum's number), number and duration of acquisitions (night, filter, exposure, n); filters without a number have none."""
-    return details.join(F.broadcast(ids), F.col("filter") == F.col("filter_name"), "left").groupBy(F.col("night").alias("date"), F.col("filter_id").alias("filter"), F.col("exposure").alias("duration")).agg(F.sum("n").alias("number"))
+    return details.join(ids, F.col("filter") == F.col("filter_name"), "left").groupBy(F.col("night").alias("date"), F.col("filter_id").alias("filter"), F.col("exposure").alias("duration")).agg(F.sum("n").alias("number"))
