@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sexagesimal_to_degrees
+from ..plans.durable import stored
 from .headers import read_image_headers
-
-
-def _lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(source_path, line_no, line) of text files, in the order of the file."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+from .lines import following, running, text_lines
 
 
 def _after(lines: DataFrame, marker: str) -> DataFrame:
@@ -23,7 +19,7 @@ def _after(lines: DataFrame, marker: str) -> DataFrame:
 
 def read_mount_dat(spark: SparkSession, root: str) -> DataFrame:
     """Samples of mount tracking logs: time, position, spreads, axes and status (the last field). Rows that lack a field are left out."""
-    cells = _after(_lines(spark, root, "*.dat"), "RAW Mount time").select("source_path", "line_no", F.split("line", "\t").alias("c"))
+    cells = _after(text_lines(spark, root, "*.dat"), "RAW Mount time").select("source_path", "line_no", F.split("line", "\t").alias("c"))
     of = lambda k: F.trim(F.get("c", F.lit(k)))
     ra, dec = sexagesimal_to_degrees(of(3)), sexagesimal_to_degrees(of(6))
     rows = cells.where(F.size("c") >= 8).select("source_path", "line_no", of(1).alias("timestamp"), ra.alias("ra_hours"), of(4).try_cast("double").alias("ra_stdev"), dec.alias("dec_degrees"), of(7).try_cast("double").alias("dec_stdev"), of(8).try_cast("double").alias("dec_axis"), of(12).try_cast("double").alias("ra_axis"), F.trim(F.element_at("c", -1)).alias("status"))
@@ -31,14 +27,14 @@ def read_mount_dat(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_mount_dti(spark: SparkSession, root: str) -> DataFrame:
-    cells = _after(_lines(spark, root, "*.dti"), "Mount time").select("source_path", "line_no", F.split("line", "\t").alias("c"))
+    cells = _after(text_lines(spark, root, "*.dti"), "Mount time").select("source_path", "line_no", F.split("line", "\t").alias("c"))
     names = ("pc_mount_diff_ms", "pc_loop_ms", "mount_loop_ms", "ntp_diff_ms")
     return cells.select("source_path", "line_no", F.trim(F.get("c", F.lit(0))).alias("timestamp"), *(F.trim(F.get("c", F.lit(k + 1))).try_cast("double").alias(n) for k, n in enumerate(names)))
 
 
 def read_mount_header(spark: SparkSession, root: str) -> DataFrame:
     """version, location, mount and firmware from the first 20 lines of each tracking log."""
-    head = _lines(spark, root, "*.dat").where("line_no < 20")
+    head = text_lines(spark, root, "*.dat").where("line_no < 20")
     cell = lambda name: F.min_by(F.nullif(F.trim(F.regexp_replace("line", rf"^\s*{name}:\s*", "")), F.lit("")), F.when(F.col("line").rlike(rf"^\s*{name}:"), F.col("line_no")))
     version = F.min_by(F.nullif(F.regexp_extract("line", r"\(v\.([\d.]+)\)", 1), F.lit("")), F.when(F.col("line_no") == 0, 0))
     return head.groupBy("source_path").agg(version.alias("version"), cell("Location").alias("location"), cell("Mount").alias("mount"), cell("Firmware").alias("firmware"))
@@ -46,7 +42,7 @@ def read_mount_header(spark: SparkSession, root: str) -> DataFrame:
 
 def _cells(spark: SparkSession, root: str, pattern: str, least: int):
     """(lines split at tabs below the line 'Timestamp', getters of a text, a number and a whole number)."""
-    cells = _after(_lines(spark, root, pattern), "Timestamp").select("source_path", "line_no", F.split("line", "\t").alias("c")).where(F.size("c") >= least)
+    cells = _after(text_lines(spark, root, pattern), "Timestamp").select("source_path", "line_no", F.split("line", "\t").alias("c")).where(F.size("c") >= least)
     of = lambda k: F.nullif(F.trim(F.get("c", F.lit(k))), F.lit(""))
     return cells.where(of(0).isNotNull()), of, lambda k: of(k).try_cast("double"), lambda k: of(k).try_cast("double").cast("int")
 
@@ -67,7 +63,7 @@ def read_mount_env(spark: SparkSession, root: str) -> DataFrame:
 
 def read_mount_meta(spark: SparkSession, root: str) -> DataFrame:
     """mount and firmware: the first of each in every event log."""
-    lines = _lines(spark, root, "*.log")
+    lines = text_lines(spark, root, "*.log")
     first = lambda form: F.min_by(F.trim(F.regexp_extract("line", form, 1)), F.when(F.col("line").rlike(form), F.col("line_no")))
     return lines.groupBy("source_path").agg(first(r"Mount:\s*(.+?)\s*\|").alias("mount"), first(r"FW:\s*([\d.]+)").alias("firmware"))
 
@@ -110,36 +106,38 @@ def extension_mismatches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_processing_log(spark: SparkSession, root: str, product: str, pattern: str = "*.log") -> DataFrame:
-    """(source_path, line_no, logged_at, line) of the logs that name ``product`` in their first 1,024 characters; the ``[time]`` prefix is taken off."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    kept = whole.where(F.substring("value", 1, 1024).contains(product)).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(source_path, line_no, logged_at, line) of the logs that name ``product`` in their first 1,024 characters; the ``[time]`` prefix is taken off.
+
+    A log is read by as many tasks as it has splits. The numbered lines are kept in the checkpoint folder, as many parsers go over them.
+    """
+    lines = stored(text_lines(spark, root, pattern))
+    start = lines.where("line_no < 1024").groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.substring("line", 1, 1024).alias("line")))).alias("first"))
+    named = start.where(F.substring(F.array_join("first.line", "\n"), 1, 1024).contains(product))
     stamp = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] ?"
+    kept = lines.join(named.select("source_path"), "source_path", "left_semi")
     return kept.select("source_path", "line_no", F.try_to_timestamp(F.regexp_extract("line", stamp, 1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("logged_at"), F.regexp_replace("line", stamp, "").alias("line"))
 
 
 def subframe_metrics(lines: DataFrame) -> DataFrame:
-    """Blocks of a file name, a line of dashes and ``Key : value`` lines, as (source_path, block, file, key, value)."""
-    order = Window.partitionBy("source_path").orderBy("line_no")
-    dashes = r"^\s*-{5,}\s*$"
-    marked = lines.withColumn("starts", F.coalesce(F.lead("line").over(order).rlike(dashes) & F.lead("line", 2).over(order).rlike(r"^[^:]+ : ") & ~F.col("line").rlike(dashes), F.lit(False)))
-    blocks = marked.withColumn("block", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("block > 0")
-    inside = Window.partitionBy("source_path", "block").orderBy("line_no")
-    body = blocks.withColumn("file", F.first(F.trim("line")).over(inside)).withColumn("place", F.row_number().over(inside)).where("place > 2")
-    ended = F.max(F.when(F.col("line").rlike(dashes) | (F.trim("line") == ""), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    kept = body.withColumn("ended", ended).where((F.col("ended") == 0) & F.col("line").rlike(r"^[^:]+ : "))
-    return kept.select("source_path", "block", "file", F.trim(F.regexp_extract("line", r"^([^:]+?)\s* : ", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]+ : (.*)$", 1)).alias("value"))
+    """Blocks of a file name, a line of dashes and ``Key : value`` lines, as (source_path, block, file, key, value). ``lines`` are all lines of each log."""
+    dashes, pair = r"^\s*-{5,}\s*$", r"^[^:]+ : "
+    starts = F.coalesce(F.col("_one").rlike(dashes) & F.col("_two").rlike(pair) & ~F.col("line").rlike(dashes), F.lit(False))
+    head = F.when(starts, F.struct("line_no", F.trim("line").alias("file")))
+    stop = F.when(F.col("line").rlike(dashes) | (F.trim("line") == ""), F.col("line_no"))
+    body = running(following(lines, {"_one": 1, "_two": 2}), {"block": starts}, {"begun": head, "ended": stop})
+    place = F.col("line_no") - F.col("begun.line_no")  # the line of dashes, at place 1, doesn't end a block
+    kept = body.where((place > 1) & (F.coalesce("ended", F.lit(-1)) < F.col("begun.line_no") + 2) & F.col("line").rlike(pair))
+    return kept.select("source_path", "block", F.col("begun.file").alias("file"), F.trim(F.regexp_extract("line", r"^([^:]+?)\s* : ", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]+ : (.*)$", 1)).alias("value"))
 
 
 def calibration_groups(lines: DataFrame, reach: int = 20) -> DataFrame:
     """A row for each 'Group of N <type> frames (M active)': numbers, and of the up to ``reach`` lines below it (ended by a blank line, by *** or by the next group) size, binning,
     filter, exposure (seconds, or the range as written), keywords, colour mode, master paths and pedestal."""
     found = r"^\s*Group of (\d+) (\w+) frames?\s*\((\d+) active\)"
-    order = Window.partitionBy("source_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("block", F.sum(F.when(F.col("line").rlike(found), 1).otherwise(0)).over(order)).where("block > 0")
-    inside = Window.partitionBy("source_path", "block").orderBy("line_no")
-    placed = marked.withColumn("place", F.row_number().over(inside))
-    ends = F.when((F.col("place") > 1) & ((F.trim("line") == "") | F.trim("line").startswith("***")), 1).otherwise(0)
-    body = placed.withColumn("ended", F.sum(ends).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("ended") == 0) & (F.col("place") <= reach))
+    is_start = F.col("line").rlike(found)
+    stop = F.when((F.trim("line") == "") | F.trim("line").startswith("***"), F.col("line_no"))
+    marked = running(lines, {"block": is_start}, {"begun": F.when(is_start, F.col("line_no")), "ended": stop})
+    body = marked.where((F.col("line_no") - F.col("begun") < reach) & (F.coalesce("ended", F.lit(-1)) < F.col("begun")))
 
     def part(form: str, k: int = 1):
         return F.min_by(F.trim(F.regexp_extract(F.trim("line"), form, k)), F.when(F.trim("line").rlike(form), F.col("line_no")))
@@ -167,12 +165,9 @@ def frame_rejections(lines: DataFrame) -> DataFrame:
 
 def integration_lines(lines: DataFrame) -> DataFrame:
     """The lines between '* Begin integration of Light frames' and its end, with integration (from 1 in each log) and the next line."""
-    order = Window.partitionBy("source_path").orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     begins, ends = F.col("line").contains("* Begin integration of Light frames"), F.col("line").contains("* End integration of Light frames")
-    marked = lines.withColumns({"integration": F.sum(begins.cast("int")).over(upto), "line": F.trim("line"), "next": F.trim(F.lead("line").over(order))}).where("integration > 0")
-    inside = Window.partitionBy("source_path", "integration").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("over", F.sum(ends.cast("int")).over(inside)).where("over = 0").drop("over")
+    marked = running(following(lines, {"next": 1}), {"integration": begins}, {"open": F.when(begins, True).when(ends, False)})
+    return marked.where("open").withColumns({"line": F.trim("line"), "next": F.trim("next")}).drop("open")
 
 
 def integrations(lines: DataFrame) -> DataFrame:
@@ -197,9 +192,9 @@ def integrations(lines: DataFrame) -> DataFrame:
 def integration_weights(lines: DataFrame) -> DataFrame:
     """(source_path, integration, line_no, filename, normalized_weight): '[ n ] path' lines of a list of normalised weights, with the number on the next line."""
     body = integration_lines(lines)
-    inside = Window.partitionBy("source_path", "integration").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.when(F.col("line").contains("Normalized image weights:"), True).when((F.col("line") == "") | F.col("line").startswith("Integration of") | F.col("line").startswith("* Available"), False)
-    listed = body.withColumn("inside", F.last(state, ignorenulls=True).over(inside)).where("inside")
+    begins = F.col("line").contains("* Begin integration of Light frames")
+    state = F.when(F.col("line").contains("Normalized image weights:"), True).when(begins | (F.col("line") == "") | F.col("line").startswith("Integration of") | F.col("line").startswith("* Available"), False)
+    listed = running(body, lasts={"inside": state}).where("inside")
     form = r"^\[\s*\d+\]\s*(.+)"
     return listed.where(F.col("line").rlike(form)).select("source_path", "integration", "line_no", F.trim(F.regexp_extract("line", form, 1)).alias("filename"), F.col("next").try_cast("double").alias("normalized_weight"))
 
