@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
@@ -61,28 +61,44 @@ def quotas(votes: DataFrame, block_words: int) -> DataFrame:
     return first.join(moved, ["shard", "place"], "left").select("shard", "place", (F.col("seats") + F.coalesce("change", F.lit(0))).alias("quota"))
 
 
+def draws(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", together: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, source, size and draw of every row: a seeded hash of doc_id, text and, of rows that repeat both, their number.
+
+    Repeated rows are counted before they are shuffled and taken apart in lots of ``together``, so they spread like any others. They are alike, so it
+    doesn't matter which has which number.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("copy"))
+    counted = rows.groupBy("doc_id", "source", "size", "copy").agg(F.count("*").alias("copies"))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / together)))).repartition("doc_id", "source", "copy", "lot")
+    each = lots.withColumn("number", F.explode(F.sequence(F.col("lot") * together, F.least("copies", (F.col("lot") + 1) * together) - 1)))
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", F.col("number").cast("string")))
+    return each.select("doc_id", "source", "size", draw.alias("draw"))
+
+
+def shard_of(draw: str, shards: int) -> Column:
+    return (F.conv(F.substring(draw, 1, 7), 16, 10).cast("long") % shards).cast("int")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many of its words the mix takes of each document: doc_id, size, source_size, target and taken.
 
     ``size`` counts the words ``[^\\x20\\x09-\\x0D]+`` (null text: 0). Targets are those of ``source_targets``. Documents are
-    dealt into shards by a seeded hash, so that a source of any size spreads over all of them. In a shard each source's documents,
+    dealt into shards by a seeded hash (``draws``), so that a source of any size spreads over all of them. In a shard each source's documents,
     in seeded order, are one stream of words cut into equal blocks; ``quotas`` says how many blocks the shard takes of it, and those
     are the first of the stream, which starts anew after its end. So no document is taken more than twice and the seed
     alone decides which are. Each source comes as near its target as half a block for each shard.
 
-    Every row is kept, repeated rows as documents of their own; null doc_ids share one place in the order and are told apart by size.
+    Every row is kept, repeated rows as documents of their own; rows without a doc_id or with the same one are told apart by their texts.
     A source without words has target 0. Other columns are not read. Reruns agree.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    sizes = durable(sizes)
+    sizes = durable(draws(docs, seed, id_col, text_col, source_col))
     shards = max(1, -(-sizes.count() // shard_rows))
     targets = durable(source_targets(sizes, weights))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     named = targets.withColumnRenamed("source", "name")
     named = F.broadcast(named) if targets.count() <= BROADCAST_SOURCES else named
     dealt = sizes.join(named, F.col("source").eqNullSafe(F.col("name")))
-    dealt = dealt.withColumn("draw", draw).withColumn("shard", (F.conv(F.substring("draw", 1, 7), 16, 10).cast("long") % shards).cast("int"))
+    dealt = dealt.withColumn("shard", shard_of("draw", shards))
     sums = dealt.groupBy("shard", "place").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("whole"), F.first("target").alias("goal"))
     votes = sums.select("shard", "place", "shard_size", F.when(F.col("whole") > 0, F.col("goal") * F.col("shard_size") / F.col("whole")).otherwise(0.0).alias("vote"))
     plan = quotas(votes, block_words).join(sums.select("shard", "place", "shard_size"), ["shard", "place"])
@@ -100,7 +116,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH s AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END AS size FROM documents),
+WITH o AS (SELECT doc_id, source, text, md5(coalesce(text, '')) AS copy FROM documents),
+s AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END AS size, copy,
+        row_number() OVER (PARTITION BY doc_id, source, copy) - 1 AS number FROM o),
 n AS (SELECT greatest(1, CAST(ceil(count(*) / {SHARD_ROWS}.0) AS BIGINT)) AS shards FROM s),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s GROUP BY source),
 b AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 4 AS cap FROM a),
@@ -111,7 +129,7 @@ d AS (SELECT *, cap * weight_left <= weight * (pool - taken_before) AS stops FRO
 e AS (SELECT *, CAST(pool - sum(CASE WHEN stops THEN cap ELSE 0 END) OVER () AS BIGINT) AS rest,
         CAST(sum(CASE WHEN stops THEN 0 ELSE weight END) OVER () AS BIGINT) AS rest_weight FROM d),
 t AS (SELECT source, place, source_size, CASE WHEN stops THEN source_size * CAST(2 AS DOUBLE) ELSE CAST(weight * rest AS DOUBLE) / (2 * rest_weight) END AS target FROM e),
-g AS (SELECT s.doc_id, s.size, t.place, t.source_size, t.target, md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '')) AS draw
+g AS (SELECT s.doc_id, s.size, t.place, t.source_size, t.target, md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.copy || ':' || s.number) AS draw
         FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 h AS (SELECT g.*, CAST(('0x' || substr(draw, 1, 7)) AS BIGINT) % shards AS shard FROM g, n),
 v AS (SELECT shard, place, CAST(sum(size) AS BIGINT) AS shard_size, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * CAST(sum(size) AS BIGINT) / any_value(source_size) ELSE CAST(0 AS DOUBLE) END AS vote FROM h GROUP BY shard, place),

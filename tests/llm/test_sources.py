@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nightledger.llm.sources import ORACLE, digest, mix_sources, quotas, source_targets
+from nightledger.llm.sources import ORACLE, digest, draws, mix_sources, quotas, shard_of, source_targets
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -86,3 +86,21 @@ def test_empty_and_wordless(spark):
     assert {(r.doc_id, r.size, r.target, r.taken) for r in mix_sources(docs).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
     assert mix_sources(docs.limit(0)).count() == 0
     assert source_targets(docs.select("source", F.lit(3).cast("long").alias("size"))).count() == 2
+
+
+def test_null_ids_and_repeated_rows_spread(spark):
+    """Half of the ids null, a third of all rows one text of one id: shards are even, repeats are numbered once each, and the mix is the oracle's."""
+    made = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 6 < 2 THEN 7 WHEN id % 2 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 6 < 2 THEN 'same text of all' ELSE concat('w ', id) END AS text", "CASE WHEN id % 6 < 2 THEN 'hot' ELSE concat('s', id % 3) END AS source"
+    )
+    found = draws(made, together=100)
+    assert found.count() == 30_000 and found.select("draw").distinct().count() == 30_000
+    shares = [r["count"] for r in found.groupBy(shard_of("draw", 10).alias("shard")).count().collect()]
+    assert len(shares) == 10 and max(shares) < 3_300
+    hot = [r["count"] for r in found.where("source = 'hot'").groupBy(shard_of("draw", 10).alias("shard")).count().collect()]
+    assert sum(hot) == 10_000 and max(hot) < 1_200
+    base = duckdb.connect()
+    documents = made.toPandas().astype({"doc_id": "Int64"})
+    base.register("documents", documents)
+    want = [tuple(r) for r in base.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE})").fetchall()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in digest(made).collect())
