@@ -26,6 +26,8 @@ PIVOTS = 4096  # rows at most that pages are gathered around, those of the small
 SHELLS = 64  # of a pivot at most
 PAGES_A_TASK = 4
 QUERIES_A_TASK = 2048
+ANSWER = "query_id long, vec_id long, score long, compared long"
+FIRST = "vec_id long, vector array<long>, q int, least long, compared long"
 _NODE = np.dtype([("row", "<i8"), ("radius", "<f8"), ("parent", "<f8"), ("first", "<i8"), ("count", "<i8"), ("leaf", "?")])
 
 
@@ -215,15 +217,16 @@ def _homes(root, width: int):
 
 
 def _kth(k: int, most: float, width: int):
-    """The k-th score of each query in one page, null if the page has fewer."""
+    """The k-th score of each query in one page, null if the page has fewer, and how many rows were compared for it."""
 
     def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
         forest = [Page(*values, width, most) for values in zip(*(pages.column(c).to_pylist() for c in ("ids", "rows", "nodes", "distance")))]
-        least = []
+        least, compared = [], []
         for own, vector in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("vector"), width)):
-            best = search(forest, own, vector, k, most)[0] if forest else []
+            best, n = search(forest, own, vector, k, most) if forest else ([], 0)
             least.append(-best[-1][0] if len(best) == k else None)
-        return pa.table({"vec_id": queries.column("vec_id"), "vector": queries.column("vector"), "least": pa.array(least, pa.int64())})
+            compared.append(n)
+        return pa.table({"vec_id": queries.column("vec_id"), "vector": queries.column("vector"), "q": queries.column("q"), "least": pa.array(least, pa.int64()), "compared": pa.array(compared, pa.int64())})
 
     return run
 
@@ -236,20 +239,22 @@ def _sent(root, most: float, width: int):
             rows, shape = _matrix(batch.column("vector"), width), root.value
             least = batch.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
             groups = [np.unique(shape.group[hit]).astype(np.int32) for hit in shape.reach(rows, least, most)] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "least")), pa.array(groups, pa.list_(pa.int32()))], ["vec_id", "vector", "least", "groups"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "q", "least")), pa.array(groups, pa.list_(pa.int32()))], ["vec_id", "vector", "q", "least", "groups"])
 
     return run
 
 
 def _answers(k: int, most: float, width: int):
+    """The best rows of each query in some pages, and a row without vec_id that says how many rows were compared."""
+
     def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
         forest = [Page(*values, width, most) for values in zip(*(pages.column(c).to_pylist() for c in ("ids", "rows", "nodes", "distance")))]
         vectors = _matrix(queries.column("vector"), width)
         out = {"query_id": [], "vec_id": [], "score": [], "compared": []}
         for own, vector, least in zip(queries.column("vec_id").to_pylist(), vectors, queries.column("least").to_pylist()) if forest else ():
             best, compared = search(forest, own, vector, k, most, -np.inf if least is None else least)
-            for score, row in best:
-                for name, x in (("query_id", own), ("vec_id", row), ("score", -score), ("compared", compared)):
+            for row in [(own, None, None, compared), *((own, i, -score, None) for score, i in best)]:
+                for name, x in zip(out, row):
                     out[name].append(x)
         return pa.table(out, pa.schema([(c, pa.int64()) for c in out]))
 
@@ -264,20 +269,37 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
     once, by its first vector in order. Fewer than k rows give all; no rows or no queries give an empty result.
 
     The index holds every row. The root is a table of at most ``pivots`` pivots with ``SHELLS`` shells each, whatever the number of rows; a shell with more rows than a page is
-    split by a hash, and its pages share the shell's bounds. Page groups and query groups form a grid; each
-    cell of it is a task of bounded size, which gets the queries that the root sends there, and sends k rows for each query on.
+    split by a hash, and its pages share the shell's bounds. Queries of neighbouring home shells make a group. Page groups and query groups form a grid, of which only the cells exist
+    that the root sends a query to; each is a task of bounded size, and sends k rows for each query on.
     """
-    ranked = _ranked(rows, queries, k, pivots)
-    return ranked if "compared" not in ranked.columns else ranked.drop("compared")
+    found, _ = _searched(rows, queries, k, pivots)
+    ranked = found.where("vec_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def comparisons(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+    """query_id and compared: the rows whose inner product with the query ``top_k`` computes, in both rounds and in all tasks."""
+    found, first = _searched(rows, queries, k, pivots)
+    both = found.where("vec_id is null").select("query_id", "compared").unionByName(first.select(F.col("vec_id").alias("query_id"), "compared"))
+    return both.groupBy("query_id").agg(F.sum("compared").alias("compared"))
+
+
+def _query_groups(homes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(shell, first group, groups) from (shell, its queries): neighbouring shells share a group, a shell with more queries than a task takes has several."""
+    out, before = [], 0
+    for shell, n in homes:
+        out.append((shell, before // QUERIES_A_TASK, -(-n // QUERIES_A_TASK)))
+        before += n
+    return out
 
 
-def _ranked(rows: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFrame:
-    """``top_k`` with compared: the rows whose scores were computed in the task that found each result."""
+def _searched(rows: DataFrame, queries: DataFrame, k: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(what ``_answers`` gives for every task, what ``_kth`` gives for every query)."""
     spark = rows.sparkSession
     shape = rows.agg(F.max(F.size("vector")), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.count("*")).first()
     wide = queries.agg(F.max(F.size("vector")), F.count("*")).first()
     if not shape[2] or not wide[1]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], ANSWER), spark.createDataFrame([], FIRST)
     width, most = max(shape[0], wide[0], 1), float(shape[1])
     wanted = max(16, min(pivots, shape[2] // PAGE_ROWS))
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(wanted).select("vector").toPandas()["vector"].tolist()
@@ -299,17 +321,19 @@ def _ranked(rows: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFra
     pages = durable(split.groupBy("shell", "part").applyInArrow(_page(most, width), "shell int, part int, ids binary, rows binary, nodes binary, distance binary"))
 
     shared = spark.sparkContext.broadcast(root)
-    query_groups = max(1, -(-wide[1] // QUERIES_A_TASK))
     asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    at_home = durable(asked.mapInArrow(_homes(shared, width), "vec_id long, vector array<long>, shell int"))
+    homes = [(r["shell"], r["count"]) for r in at_home.groupBy("shell").count().orderBy("shell").collect()]  # pivots x SHELLS rows at most
+    grouped = F.broadcast(spark.createDataFrame(_query_groups(homes), "shell int, q int, groups int"))
     parts = F.broadcast(numbers.select(F.col("number").alias("shell"), "parts", "p"))
-    at_home = asked.mapInArrow(_homes(shared, width), "vec_id long, vector array<long>, shell int").join(parts, "shell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    first = pages.groupBy("shell", "part").cogroup(at_home.groupBy("shell", "part")).applyInArrow(_kth(k, most, width), "vec_id long, vector array<long>, least long")
-    sent = durable(first).mapInArrow(_sent(shared, most, width), "vec_id long, vector array<long>, least long, groups array<int>")
-    sent = sent.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(query_groups)).cast("int")).withColumn("p", F.explode("groups")).drop("groups")
-    held = pages.join(parts, "shell").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
-    found = held.groupBy("p", "q").cogroup(sent.groupBy("p", "q")).applyInArrow(_answers(k, most, width), "query_id long, vec_id long, score long, compared long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
+    lot = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("groups")).cast("int")
+    at_home = at_home.join(grouped, "shell").join(parts, "shell").select("vec_id", "vector", "shell", (F.col("q") + lot).alias("q"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    first = durable(pages.groupBy("shell", "part").cogroup(at_home.groupBy("shell", "part")).applyInArrow(_kth(k, most, width), FIRST))
+    sent = first.mapInArrow(_sent(shared, most, width), "vec_id long, vector array<long>, q int, least long, groups array<int>")
+    sent = durable(sent.withColumn("p", F.explode("groups")).drop("groups"))
+    asking = sent.select(F.col("p").alias("to"), F.col("q").alias("group")).distinct()
+    held = pages.join(parts, "shell").join(asking, F.col("p") == F.col("to"))  # a page goes to the query groups that have a query for it
+    return held.groupBy("to", "group").cogroup(sent.groupBy("p", "q")).applyInArrow(_answers(k, most, width), ANSWER), first
 
 
 def digest(embeddings: DataFrame) -> DataFrame:

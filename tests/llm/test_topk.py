@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from nightledger.llm import topk
 from nightledger.llm.topk import Page, build_tree, digest, lifted, search, top_k, whole_vectors
@@ -58,7 +59,7 @@ def test_an_empty_vector_is_one_of_zeros(spark):
 
 
 def test_the_root_spares_most_of_clustered_rows(spark, monkeypatch):
-    """With twenty clusters a query is compared with a small share of the rows, and the result is exact."""
+    """With twenty clusters most queries are compared with a small share of the rows, counted in all tasks of both rounds, and the result is exact."""
     monkeypatch.setattr(topk, "PAGE_ROWS", 100)
     monkeypatch.setattr(topk, "LEAF_ROWS", 20)
     monkeypatch.setattr(topk, "PAGES_A_TASK", 1)
@@ -67,9 +68,58 @@ def test_the_root_spares_most_of_clustered_rows(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
     rows = whole_vectors(frame, "vec_id", "embedding")
     whole = np.floor(256 * np.array(x)).astype(np.int64)
-    found = topk._ranked(rows, rows.where("vec_id % 500 = 0"), 5, topk.PIVOTS).collect()
+    queries = rows.where("vec_id % 500 = 0")
+    found = topk.top_k(rows, queries, 5).collect()
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
     for i in range(0, 4000, 500):
         want = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
         assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
-    assert np.mean([r.compared for r in found]) < 400
+    compared = {r.query_id: r.compared for r in topk.comparisons(rows, queries, 5).collect()}
+    assert set(compared) == set(range(0, 4000, 500)) and 5 < np.median(list(compared.values())) < 400
+    assert np.mean(list(compared.values())) < 1000  # a query whose own page has no good row is compared with all
+
+
+def test_pages_go_only_where_queries_are(spark, monkeypatch):
+    """Of clustered rows and many query groups few cells of the grid exist; results stay exact."""
+    monkeypatch.setattr(topk, "PAGE_ROWS", 100)
+    monkeypatch.setattr(topk, "LEAF_ROWS", 20)
+    monkeypatch.setattr(topk, "PAGES_A_TASK", 1)
+    monkeypatch.setattr(topk, "QUERIES_A_TASK", 20)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(0, 1, (20, 16))[rng.integers(0, 20, 4000)] + rng.normal(0, 0.02, (4000, 16))).tolist()
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    rows = whole_vectors(frame, "vec_id", "embedding")
+    queries = rows.where("vec_id % 10 = 0")
+    answers = topk._answers
+
+    def seen(*args):
+        run = answers(*args)
+
+        def counted(pages, asked):
+            out = run(pages, asked)
+            cell = (asked.column("q")[0].as_py(), min(pages.column("shell").to_pylist(), default=-1))
+            return out.append_column("q", pa.array([cell[0]] * out.num_rows, pa.int64())).append_column("p", pa.array([cell[1]] * out.num_rows, pa.int64()))
+
+        return counted
+
+    monkeypatch.setattr(topk, "_answers", seen)
+    monkeypatch.setattr(topk, "ANSWER", topk.ANSWER + ", q long, p long")
+    found, _ = topk._searched(rows, queries, 5, topk.PIVOTS)
+    cells = found.where("vec_id is null").collect()
+    whole = np.floor(256 * np.array(x)).astype(np.int64)
+    grid = {(r.q, r.p) for r in cells}
+    groups, places = ({c[k] for c in grid} for k in (0, 1))
+    assert len({r.query_id for r in cells}) == 400 and -1 not in places
+    assert len(groups) >= 15 and len(places) >= 40 and len(grid) < 0.7 * len(groups) * len(places)
+    monkeypatch.undo()
+    monkeypatch.setattr(topk, "QUERIES_A_TASK", 20)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(rows, queries, 5).collect()}
+    for i in range(0, 4000, 10):
+        want = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+
+
+def test_query_groups():
+    """Shells share groups; a crowded one has several."""
+    n = topk.QUERIES_A_TASK
+    assert topk._query_groups([(3, n // 2), (5, n // 2), (8, 3 * n), (9, 1)]) == [(3, 0, 1), (5, 0, 1), (8, 1, 3), (9, 4, 1)]
