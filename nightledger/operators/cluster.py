@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import durable
 from .components import connected_components
-from .joins import pairs_within
+from .joins import place_pairs, places_of
 from .stats import target_totals
 
 
@@ -15,17 +15,24 @@ def cluster_targets(targets: DataFrame, eps: float = 0.5, min_samples: int = 1)
     """id, cluster and core of DBSCAN over positions within ``eps`` degrees.
 
     A target with ``min_samples`` neighbours, itself counted, is a core. Linked cores are one cluster, named by its smallest id;
-    others join the neighbouring cluster of the smallest name. What is left is noise: a cluster of its own.
+    others join the neighbouring cluster of the smallest name. What is left is noise: a cluster of its own. Targets of one position are one node that counts by
+    their number, so copies make no pairs.
     """
-    pairs = durable(pairs_within(targets, eps))
-    both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    near = both.groupBy("id_a").agg((F.count("*") + 1).alias("n")).withColumnRenamed("id_a", "id")
-    counted = targets.select("id").join(near, "id", "left").select("id", (F.coalesce("n", F.lit(1)) >= min_samples).alias("core"))
-    cores = counted.where("core").select("id")
-    links = both.join(cores.withColumnRenamed("id", "id_a"), "id_a").join(cores.withColumnRenamed("id", "id_b"), "id_b")
-    named = cores.join(connected_components(links, "id_a", "id_b"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = both.join(named.withColumnRenamed("id", "id_b"), "id_b").groupBy("id_a").agg(F.min("cluster").alias("near")).withColumnRenamed("id_a", "id")
-    return counted.join(named, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", "id").alias("cluster"), "core")
+    places = durable(places_of(targets))
+    pairs = durable(place_pairs(places.select(F.col("place").alias("id"), F.col("_ra").alias("ra_deg"), F.col("_dec").alias("dec_deg")), eps).select("id_a", "id_b"))
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    sizes = places.select(F.col("place").alias("id_b"), "n").hint("merge")
+    near = both.join(sizes, "id_b").groupBy("id_a").agg(F.sum("n").alias("others")).withColumnRenamed("id_a", "place")
+    counted = durable(places.join(near.hint("merge"), "place", "left").withColumn("core", F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples))
+    cores = counted.where("core").select(F.col("place").alias("id"))
+    end = lambda s: cores.withColumnRenamed("id", f"id_{s}").hint("merge")
+    links = both.join(end("a"), "id_a").join(end("b"), "id_b")
+    named = cores.join(connected_components(links, "id_a", "id_b").hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    border = both.join(named.withColumnRenamed("id", "id_b").hint("merge"), "id_b").groupBy("id_a").agg(F.min("cluster").alias("near"))
+    of = counted.join(named.hint("merge"), F.col("place") == F.col("id"), "left").join(border.hint("merge"), F.col("place") == F.col("id_a"), "left")
+    of = of.select("_ra", "_dec", "core", F.coalesce("cluster", "near").alias("cluster"))
+    found = targets.join(of.hint("merge"), (F.col("ra_deg") == F.col("_ra")) & (F.col("dec_deg") == F.col("_dec")), "left")
+    return found.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("core", F.lit(min_samples <= 1)).alias("core"))
 
 
 def cluster_summary(clusters: DataFrame, targets: DataFrame, totals: DataFrame) -> DataFrame:

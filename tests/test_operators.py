@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from nightledger.operators import cluster, joins, upserts
+from nightledger.operators import cluster, joins, ordered, upserts
 from nightledger.operators.components import connected_components
 from nightledger.operators.images import compare_profiles
 from nightledger.streaming.imports import stream_exposures, stream_session_summary, stream_weather
@@ -54,6 +54,34 @@ def test_clusters_equal_brute_force(spark):
         assert {r.id: r.cluster for r in found} == want and {r.id for r in found if r.core} == cores
 
 
+def test_copies_of_a_position_are_one_node(spark):
+    spots = [s for s in sky(90, 3) if abs(s[2]) < 89.9][:40]  # at a pole all right ascensions are one place
+    rows = [(k * 40 + i, *spots[i][1:]) for k in range(30) for i in range(40)] + [(9000, None, 1.0), (9001, None, 1.0), (9002, float("nan"), 1.0)]
+    targets = spark.createDataFrame(rows, "id long, ra_deg double, dec_deg double")
+    near = {(i, j) for i, *p in rows[:1200] for j, *q in rows[:1200] if i < j and distance(p, q) <= 2.0}
+    found = joins.pairs_within(targets, 2.0)
+    got = found.collect()
+    assert len(got) == len(near) and {(r.id_a, r.id_b) for r in got} == near
+    assert joins.place_pairs(joins.places_of(targets).selectExpr("place as id", "_ra as ra_deg", "_dec as dec_deg"), 2.0).count() <= 40 * 39 / 2
+    clusters = {r.id: (r.cluster, r.core) for r in cluster.cluster_targets(targets, 0.0001, 30).collect()}
+    assert len(clusters) == len(rows) and all(clusters[i] == (i % 40, True) for i in range(1200)) and all(clusters[i] == (i, False) for i in (9000, 9001, 9002))
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    targets = spark.createDataFrame(sky(40, 3), "id long, ra_deg double, dec_deg double")
+    assert "Broadcast" not in joins.place_pairs(targets, 1.0)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_orphans_meet_all_matches_of_a_common_name(spark):
+    rows = [(i, "a b" if i % 2 else "c", None if i % 3 == 0 else ("a  b" if i % 2 else "d")) for i in range(5000)] + [(9999, "e", ""), (None, "a b", "a b")]
+    found = ordered.orphan_matches(spark.createDataFrame(rows, "id long, name string, canonical_name string"))
+    orphans, named = [i for i in range(5000) if i % 3 == 0 and i % 2], [i for i in range(5000) if i % 3 and i % 2]
+    got = found.agg(F.count("*"), F.countDistinct("orphan_id", "match_id"), F.min(F.col("match_id") % 2)).first()
+    assert tuple(got) == (len(orphans) * len(named), len(orphans) * len(named), 1)
+    joins_of = spark.createDataFrame([(i, "k") for i in range(5000)], "id long, k string")
+    assert joins.dealt_lists(joins_of, "k", "id").selectExpr("max(size(ids))").first()[0] < 1400
+
+
 def test_components_of_a_long_path_and_loops(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 2001), (2001, 2000), (None, 5)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
