@@ -33,8 +33,8 @@ def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id; of rows with one doc_id and text, one.
 
-    A group is connected by pairs of texts whose distinct five-word shingles are as similar as SIMILAR; texts without words
-    are copies of one another. Rows without a doc_id are known by their text's hash. Rows that share a doc_id but not the
+    Candidates are the groups that op5's SimHash links, and texts that share a key of minimum hashes. A group is connected by candidates whose distinct five-word
+    shingles are as similar as SIMILAR; texts without words are copies of one another. Rows without a doc_id are known by their text's hash. Rows that share a doc_id but not the
     text go together: all stay if one of them stands for its group.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))

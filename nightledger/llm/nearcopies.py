@@ -1,7 +1,7 @@
-"""Near copies by the Jaccard similarity of distinct five-word shingles, verified on the whole sets.
+"""Near copies: SimHash fingerprints link texts as in op5, and the Jaccard similarity of distinct five-word shingles is verified on the whole sets.
 
-A SimHash radius that finds every pair of a similarity of 0.8 (a fingerprint of shingles then differs in 10 of 64 bits on
-average, in 17 or more of them in one pair of a hundred) leaves pigeonring keys of so few bits that the join is quadratic. So candidates share one of
+Candidates are, first, the groups that ``simhash`` connects (four-word shingles, ``RADIUS`` bits). A radius that finds every pair of a similarity of 0.8 (a fingerprint of
+shingles then differs in 10 of 64 bits on average, in 17 or more of them in one pair of a hundred) leaves pigeonring keys of so few bits that the join is quadratic. So further candidates share one of
 ``BANDS`` keys of ``ROWS`` minimum hashes, which a pair of a similarity of 0.8 fails to do with a chance of 0.00003 whatever
 the edit looks like, and each candidate pair is verified by its shingles.
 """
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..plans.durable import durable
 from . import blocks
-from .simhash import whole_runs
+from .simhash import groups, prints_of, whole_runs
 from .words import Words, chunks, mix, texts_of, windows
 
 SIZE = 5
+PRINT_WORDS, RADIUS, SEGMENTS = 4, 4, 7  # op5's shingles and links
 BANDS, ROWS = 20, 4
 TOGETHER = 1 << 18  # shingles of a group of candidates that is verified in one place, whatever its keys
 CELL = 1 << 21  # shingles of one key that are compared in one place; a hotter key is dealt into pairs of blocks
@@ -80,8 +81,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(hashes, np.append(first[:-1][full], len(hashes))) if len(full) else np.zeros((0, BANDS), np.uint64)
             ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            columns = [batch.column("doc_id").slice(a, b - a), batch.column("copy").slice(a, b - a), pa.array(set_hashes(hashes, first).view(np.int64)), pa.array(sizes.astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "node", "size", "keys"])
+            prints = prints_of(body, offs, PRINT_WORDS, False).view(np.int64)
+            columns = [batch.column("doc_id").slice(a, b - a), batch.column("copy").slice(a, b - a), pa.array(set_hashes(hashes, first).view(np.int64)), pa.array(sizes.astype(np.int64)), lists, pa.array(prints)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "node", "size", "keys", "f0"])
     blocks.release()
 
 
@@ -115,6 +117,7 @@ def _verified(threshold: Fraction):
             cell, node, sets = column("cell"), column("node"), table.column("shingles").to_pylist()
             size = np.array([len(s) for s in sets])
             keys = band_keys(np.frombuffer(b"".join(sets), np.uint64), np.concatenate([[0], np.cumsum(size // 8)]))
+            keys = np.column_stack([keys, column("sim").view(np.uint64)])
             label = np.arange(len(cell))
 
             def root(i: int) -> int:
@@ -146,17 +149,28 @@ def _verified(threshold: Fraction):
     return run
 
 
+def print_groups(printed: DataFrame) -> DataFrame:
+    """(node, sim) of the nodes (node, f0; a node may have several fingerprints) that SimHash links join: sim is the smallest node of the group."""
+    linked = groups(printed.select(F.col("node").alias("doc_id"), "f0"), [RADIUS], SEGMENTS)
+    return connected_components(linked.where("doc_id <> component_id"), "doc_id", "component_id").withColumnRenamed("component", "sim")
+
+
 def least_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """component_id of each group of near copies: the smallest id of the texts that links of ``threshold`` connect.
 
-    Equal sets are one node, texts without words one group. Nodes that share a band key are candidates; what they connect is
+    Equal sets are one node, texts without words one group. Nodes of one SimHash group or that share a band key (that group is one more key) are candidates; what they connect is
     verified in one place if it is small, and by key, in pairs of blocks of ``CELL``, if it is not. In both, every pair that shares a
     key is verified unless verified links connect it already, and no other pair.
     """
     texts = blocks.texts(docs, id_col, text_col).withColumn("copy", F.xxhash64("text"))
-    prints = texts.mapInArrow(_prints, "doc_id long, copy long, node long, size long, keys array<long>")
-    nodes = durable(prints.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    postings = nodes.select("node", "size", F.explode("keys").alias("key"))
+    prints = texts.mapInArrow(_prints, "doc_id long, copy long, node long, size long, keys array<long>, f0 long")
+    # texts of one set may differ in how often a shingle comes, so a node may have several fingerprints
+    printed = durable(prints.groupBy("node", "f0").agg(F.min(F.struct("doc_id", "copy")).alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    whole = printed.groupBy("node").agg(F.min("one").alias("one"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    sims = print_groups(printed.where("size > 0")).withColumnRenamed("node", "_node")
+    nodes = durable(whole.join(sims, F.col("node") == F.col("_node"), "left").select("node", "one", "size", "keys", F.coalesce("sim", "node").alias("sim")))
+    every = F.concat("keys", F.when(F.col("size") > 0, F.array(F.xxhash64("sim", F.lit(3)))).otherwise(F.array().cast("array<long>")))
+    postings = nodes.select("node", "size", F.explode(every).alias("key"))
     hubs = postings.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("size").alias("load")).where("n > 1").drop("n")
     shared = durable(postings.join(hubs, "key"))
     loose = connected_components(shared.select(F.col("node").alias("u"), F.col("hub").alias("v")))
@@ -175,7 +189,7 @@ def least_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     wanted = asked.select(F.col("one.doc_id").alias("_id"), F.col("one.copy").alias("_copy"), "node")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("text", "node")
     sets = found.mapInArrow(_packed, "node long, shingles binary").dropDuplicates(["node"])
-    cells = small.unionByName(large).join(sets, "node").repartition("cell").sortWithinPartitions("cell")
+    cells = small.unionByName(large).join(sets, "node").join(nodes.select("node", "sim"), "node").repartition("cell").sortWithinPartitions("cell")
     members = connected_components(durable(cells.mapInArrow(_verified(threshold), "u long, v long")))  # links are read twice
     rooted = nodes.join(members, "node", "left").select(F.coalesce("component", "node").alias("root"), F.col("one.doc_id").alias("least"))
     return rooted.groupBy("root").agg(F.min("least").alias("component_id")).select("component_id")

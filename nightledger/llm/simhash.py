@@ -59,6 +59,14 @@ def _shingle_hashes(text: bytes, size: int, distinct: bool) -> list[int]:
     return [digest(x, 42) for x in (set(pieces) if distinct else pieces)]
 
 
+def prints_of(body: np.ndarray, offs: np.ndarray, size: int, distinct: bool) -> np.ndarray:
+    """The fingerprint of each text ``body[offs[i]:offs[i+1]]``; see ``fingerprints``."""
+    raw = body.tobytes()
+    groups = [_shingle_hashes(raw[s:e], size, distinct) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    first = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
+    return bit_majority(np.fromiter((h for g in groups for h in g), np.uint64, int(first[-1])), first)
+
+
 def fingerprints(docs: DataFrame, shingles: list[tuple[int, bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and a fingerprint f0, f1, ... for each (words in a shingle, count each shingle once).
 
@@ -71,12 +79,8 @@ def fingerprints(docs: DataFrame, shingles: list[tuple[int, bool]], id_col: str
             data, offsets = texts_of(batch.column("text"))
             columns = [[] for _ in shingles]
             for _, _, body, offs in chunks(data, offsets):
-                raw = body.tobytes()
                 for column, (size, distinct) in zip(columns, shingles):
-                    groups = [_shingle_hashes(raw[s:e], size, distinct) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
-                    first = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
-                    hashes = np.fromiter((h for g in groups for h in g), np.uint64, int(first[-1]))
-                    column.append(bit_majority(hashes, first))
+                    column.append(prints_of(body, offs, size, distinct))
             arrays = [pa.array(np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64)) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(f"f{k}" for k in range(len(shingles)))])
 

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as pipeline
-from nightledger.llm import nearcopies
+from nightledger.llm import nearcopies, simhash
 
 
 def shingles(text):
@@ -80,3 +81,16 @@ def test_large_groups_are_dealt_out_and_lose_no_link(spark, monkeypatch):
     rows = corpus(4)
     found = {r.doc_id for r in pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
     assert found == survivors(rows)
+
+
+def test_simhash_groups_are_candidates_and_verified(spark):
+    body = "a b c d e " * 300
+    rows = [(i, body + " ".join(f"w{i}x{k}" for k in range(40))) for i in (1, 2)] + [(3, " ".join(f"v{k}" for k in range(340)))]
+    printed = simhash.fingerprints(frame(spark, rows), [(4, False)]).withColumnRenamed("doc_id", "node")
+    assert {(r.node, r.sim) for r in nearcopies.print_groups(printed).collect()} == {(1, 1), (2, 1)}
+    assert not similar(*(shingles(t) for _, t in rows[:2]))  # so the whole sets tell them apart
+    assert {r.doc_id for r in pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()} == {1, 2, 3}
+    sets = [np.arange(0, 50, dtype=np.uint64), np.arange(5, 55, dtype=np.uint64)]  # 45 of 55 are common
+    sets = [np.sort(x * np.uint64(0x9E3779B97F4A7C15)) for x in sets]
+    cell = lambda sims: pa.RecordBatch.from_pydict({"cell": [7, 7], "node": [1, 2], "shingles": [x.tobytes() for x in sets], "sim": sims})
+    assert sum(b.num_rows for b in nearcopies._verified(pipeline.SIMILAR)(iter([cell([1, 1])]))) == 1
