@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from nightledger.operators import groups, nearest
 from nightledger.operators.nearest import k_nearest
@@ -44,3 +46,14 @@ def test_outliers_of_a_small_frame_are_kept(spark):
     assert len(got) == len(rows) and [k for k, keep in got.items() if not keep] == [(2, 99)]
     empty = spark.createDataFrame([], "frame long, star long, x double, y double, fwhm double")
     assert k_nearest(empty, "frame", "star", 3).count() == 0
+
+
+def test_pairs_of_the_first_round_are_not_shuffled(spark):
+    rows = [(i % 40, i, float(i * 37 % 301), float(i * 53 % 211)) for i in range(4000)]
+    points = spark.createDataFrame(rows, "frame long, star long, x double, y double")
+    placed = nearest._placed(points, "frame", 6)
+    met = nearest._met(placed, placed, "frame", "star", [], 0, 7)
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("frame", "_ax", "_ay", "star").orderBy("distance2", "near_star")))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.rdd.getNumPartitions() == 7 and plan.count("REPARTITION_BY_NUM") == 2 and "Window" not in plan.split("SortMergeJoin")[1]
+    assert "Exchange" not in plan.split("SortMergeJoin")[0]
