@@ -21,7 +21,7 @@ def resolve_headers(cards: DataFrame, aliases: DataFrame) -> DataFrame:
 
     ``aliases`` has keyword, canonical and rank, the canonical key itself at rank 0. Of repeated cards the smallest value is taken.
     """
-    met = cards.join(aliases, "keyword")
+    met = cards.join(aliases, "keyword").repartition("path", "canonical")  # a file has few cards of a key, and an aggregate of texts sorts, so a split of the file would be sorted whole
     best = met.groupBy("path", "canonical").agg(F.min_by(F.struct("keyword", "value"), F.struct("rank", "value")).alias("one"))
     return best.select("path", "canonical", "one.keyword", "one.value")
 
