@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..plans.durable import stored
 from .selection import numbered
 
 # Image file endings, and folders of processed and of calibration files that a listing may skip.
@@ -67,7 +68,7 @@ FRAME_GROUP = ("target", "filter", "telescope", "image_type")
 def rename_plan(frames: DataFrame, extension: str, pattern: str = PATTERN) -> DataFrame:
     """path and name: frames are numbered inside target, filter, telescope and image type by time, then path; names that collide get a suffix."""
     named = numbered(frames, list(FRAME_GROUP), ["date_obs", "path"], "_number").withColumn("_name", naming.build_filename(pattern, filename_tokens(), F.col("_number"), extension))
-    return conflict_free(named, "_name", ["path"], "name").select("path", "name")
+    return conflict_free(stored(named.select("path", "_name")), "_name", ["path"], "name").select("path", "name")  # read twice, for the ranges and their rows
 
 
 def conflict_free(rows: DataFrame, path: str, by: list[str], out: str) -> DataFrame:
