@@ -36,9 +36,9 @@ def cluster_targets(targets: DataFrame, eps: float = 0.5, min_samples: int = 1)
 
 
 def cluster_summary(clusters: DataFrame, targets: DataFrame, totals: DataFrame) -> DataFrame:
-    """Members, mean direction, exposure and the name of the member with the most exposure."""
+    """Members, mean direction, exposure and the name of the member with the most exposure. All tables grow with the targets, and a compressed file looks small, so none is broadcast."""
     a, d = F.radians("ra_deg"), F.radians("dec_deg")
-    joined = clusters.join(targets, "id").join(totals.select(F.col("target_id").alias("id"), "total_exposure"), "id", "left").withColumn("e", F.coalesce("total_exposure", F.lit(0.0)))
+    joined = clusters.join(targets.hint("merge"), "id").join(totals.select(F.col("target_id").alias("id"), "total_exposure").hint("merge"), "id", "left").withColumn("e", F.coalesce("total_exposure", F.lit(0.0)))
     sums = joined.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("e").alias("exposure"), F.max_by("name", F.struct("e", -F.col("id"))).alias("name"), F.sum(F.cos(d) * F.cos(a)).alias("x"), F.sum(F.cos(d) * F.sin(a)).alias("y"), F.sum(F.sin(d)).alias("z"))
     return sums.select("cluster", "members", "exposure", "name", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)).alias("ra_deg"), F.degrees(F.atan2("z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))).alias("dec_deg"))
 
