@@ -132,6 +132,7 @@ class Mixer:
         self.refine = np.tile(self.knots, (3, 1)) if refine is None else refine.astype(np.float32).reshape(3, KNOTS)
         self.square = np.full(self.weights.shape, 1e-4, np.float64)
         self.square2 = np.full(self.refine.shape, 1e-4, np.float64)
+        self.used, self.used2 = np.zeros(GATES), np.zeros(self.refine.shape)  # bits that each gate and each knot has learnt from
 
     @staticmethod
     def fresh(inputs: int) -> np.ndarray:
@@ -192,12 +193,26 @@ class Mixer:
             g = np.bincount(gate, err * x[k], GATES)
             self.square[:, k] += g * g
             self.weights[:, k] += rate * g / np.sqrt(self.square[:, k])
+        self.used += np.bincount(gate, minlength=GATES)
         odds, at, part = self.refined(total, depth)
         err = bit - 1 / (1 + np.exp(-odds))
         g = (np.bincount(at, err * (1 - part), 3 * KNOTS) + np.bincount(at + 1, err * part, 3 * KNOTS + 1)[: 3 * KNOTS]).reshape(3, KNOTS)
+        self.used2 += (np.bincount(at, minlength=3 * KNOTS) + np.bincount(at + 1, minlength=3 * KNOTS + 1)[: 3 * KNOTS]).reshape(3, KNOTS)
         self.square2 += g * g
         self.refine += rate * g / np.sqrt(self.square2)
 
+    def state(self) -> np.ndarray:
+        """Weights and refinement, each times the bits it has learnt from, and these numbers; states of several mixers may be added."""
+        return np.concatenate([x.ravel() for x in (self.weights * self.used[:, None], self.used, self.refine * self.used2, self.used2)])
+
+    def take(self, total: np.ndarray) -> Mixer:
+        """The means of added states; what no mixer has learnt stays as it is."""
+        sums, used, refined, used2 = np.split(total, np.cumsum([self.weights.size, GATES, self.refine.size]))
+        sums, refined, used2 = sums.reshape(self.weights.shape), refined.reshape(self.refine.shape), used2.reshape(self.refine.shape)
+        self.weights = np.where(used[:, None] > 0, sums / np.maximum(used, 1)[:, None], self.weights).astype(np.float32)
+        self.refine = np.where(used2 > 0, refined / np.maximum(used2, 1), self.refine).astype(np.float32)
+        return self
+
 
 def log2_likelihood(odds: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """log2 of the probability given to each bit."""

@@ -6,12 +6,13 @@ it, what the last bits were, the text so far; inside a word the last two, three
 predictions with gated weights, learnt online, and refines the sum. Which token follows is then given by exact counts of words and
 of pairs of words over all learning rows: with a the mixed probability of the first bit and b that of the second,
 P(w | v) = a c(v w) / c(v) + (1 - a) b c(w) / N. What is gathered thus grows with the input: every pair of words has a counter.
-Weights are learnt, and the bits per byte of a learning row are found, without a row's own occurrence in any count.
+Tables and weights are one for the whole corpus. Weights are learnt, and the bits per byte of a learning row are found, without a row's own occurrence in any count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import durable, stored
 from . import blocks
 from .mixing import GATES, ODDS, SEEN, Code, Mixer, fold, log2_likelihood, packed, slots
 from .words import Words, chunks, mix, texts_of
@@ -48,19 +49,25 @@ def _count_tokens(count: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, size = [], [], 0
-        schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("symbols", pa.binary())])
+        symbols = np.zeros(257, np.int64)
 
         def flush():
             k, n = _totals(np.concatenate(keys), np.concatenate(numbers))
             order, bounds = blocks.slices(blocks.partition_of(k, count), count)
             own = [order[bounds[p] : bounds[p + 1]] for p in range(count)]
             full = [p for p in range(count) if len(own[p])]
-            return pa.RecordBatch.from_pydict({"part": full, "keys": [k[own[p]].tobytes() for p in full], "counts": [n[own[p]].tobytes() for p in full]}, schema)
+            columns = {"part": full, "keys": [k[own[p]].tobytes() for p in full], "counts": [n[own[p]].tobytes() for p in full], "symbols": [symbols.tobytes()] + [None] * (len(full) - 1)}
+            symbols[:] = 0
+            return pa.RecordBatch.from_pydict(columns, schema)
 
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for a, b, body, offs in chunks(data, offsets):
-                k, n = _distinct(Words(body, offs, lower=True).hashes())
+                words = Words(body, offs, lower=True)
+                k, n = _distinct(words.hashes())
+                symbols[:256] += np.bincount(words.data, minlength=256)
+                symbols[256] += n.sum()
                 keys += [k, np.array([_END])]
                 numbers += [n, np.array([b - a])]
                 size += len(k)
@@ -86,7 +93,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sum_counts(table: pa.Table) -> pa.Table:
     part = table.column("part")[0].as_py()
     keys, counts = _totals(*(np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("counts", np.int64))))
-    return pa.table({"part": pa.array([part], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n_distinct": [len(keys)], "total": [int(counts.sum())]})
+    symbols = sum((np.frombuffer(x, np.int64) for x in table.column("symbols").to_pylist() if x), np.zeros(257, np.int64))
+    return pa.table({"part": pa.array([part], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n_distinct": [len(keys)], "total": [int(counts.sum())], "symbols": [symbols.tobytes()]})
 
 
 class Tokens:
@@ -111,15 +119,17 @@ class Tokens:
         return mix(self.hash + mix(self.before + np.uint64(0x51)))
 
 
-def _six(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of each key; with a key's partition they tell pairs apart."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _steps(keys: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of sorted keys, as compressed steps from one to the next; with a key's partition 6 bytes tell pairs apart."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
 
 
-def _whole(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _whole(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) & np.uint64((1 << 8 * width) - 1)
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Tokens, Words, np.ndarray]:
@@ -156,7 +166,7 @@ def _ask(count: int):
         full = [p for p in range(count) if len(key_parts[p]) or len(pair_parts[p])]
         pack = zstandard.ZstdCompressor(level=1).compress
         block = table.column("block")[0].as_py()
-        columns = {"part": full, "block": [block] * len(full), "keys": [keys[key_parts[p]].tobytes() for p in full], "pairs": [_six(pairs[pair_parts[p]]) for p in full], "counts": [pack(counts[pair_parts[p]].tobytes()) for p in full]}
+        columns = {"part": full, "block": [block] * len(full), "keys": [_steps(keys[key_parts[p]], 8) for p in full], "pairs": [_steps(pairs[pair_parts[p]], 6) for p in full], "counts": [pack(counts[pair_parts[p]].tobytes()) for p in full]}
         return pa.table(columns, _ASKED)
 
     return run
@@ -167,7 +177,7 @@ def _reply(asked: pa.Table, counted: pa.Table) -> pa.Table:
     known, known_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if counted.num_rows:
         known, known_counts = np.frombuffer(counted.column("keys")[0].as_py(), np.uint64), np.frombuffer(counted.column("counts")[0].as_py(), np.int64)
-    pairs = [_whole(x) for x in asked.column("pairs").to_pylist()]
+    pairs = [_whole(x, 6) for x in asked.column("pairs").to_pylist()]
     sizes = np.cumsum([0, *map(len, pairs)])
     counts = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(zstandard.decompress(x), np.uint32) for x in asked.column("counts").to_pylist())])
     _, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]), return_inverse=True)
@@ -175,7 +185,7 @@ def _reply(asked: pa.Table, counted: pa.Table) -> pa.Table:
     pack = zstandard.ZstdCompressor(level=1).compress
     rows = {"block": asked.column("block").to_pylist(), "part": asked.column("part").to_pylist(), "counts": [], "pairs": []}
     for k, own in enumerate(asked.column("keys").to_pylist()):
-        want = np.frombuffer(own, np.uint64)
+        want = _whole(own, 8)
         at = np.minimum(np.searchsorted(known, want), max(len(known) - 1, 0))
         found = np.where(known[at] == want, known_counts[at], 0) if len(known) else np.zeros(len(want), np.int64)
         rows["counts"].append(pack(found.tobytes()))
@@ -215,7 +225,7 @@ def _history(bit: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
 class BitModel:
     """Predicts one of a token's bits: a table for each (context, bits), the text so far, gated weights.
 
-    Tables and weights hold what the learning rows' bits say. While weights are learnt, in steps of ``STEP`` bits, a bit's own count is
+    Tables and weights hold what the bits of all learning rows say. While weights are learnt, in steps of ``STEP`` bits, a bit's own count is
     taken out of the tables.
     """
 
@@ -238,15 +248,21 @@ class BitModel:
         x[-2], x[-1] = so_far, 0.3
         return x, gate
 
-    def fit(self, contexts, so_far, kind, bit: np.ndarray, taught: np.ndarray) -> None:
-        for context, bits in zip(contexts, self.bits):
-            self.tables.append(packed(np.bincount(_place(context[taught], bits) * 2 + bit[taught], minlength=2 << bits)))
+    def counts(self, contexts, so_far, kind, bit: np.ndarray, taught: np.ndarray) -> list[np.ndarray]:
+        """How often each slot of each table saw a zero and a one."""
+        return [np.bincount(_place(context[taught], bits) * 2 + bit[taught], minlength=2 << bits) for context, bits in zip(contexts, self.bits)]
+
+    def teach(self, contexts, so_far, kind, bit: np.ndarray, taught: np.ndarray) -> None:
         chosen = np.flatnonzero(taught)
         for a in range(0, len(chosen), STEP):
             now = chosen[a : a + STEP]
             x, gate = self._inputs([c[now] for c in contexts], so_far[now], kind[now], bit[now], np.ones(len(now), bool))
             self.mixer.learn(x, gate, np.zeros(len(now), np.uint8), bit[now].astype(np.float32))
 
+    def fit(self, *rest) -> None:
+        self.tables = [packed(x) for x in self.counts(*rest)]
+        self.teach(*rest)
+
     def probability(self, contexts, so_far, kind, bit: np.ndarray, own: np.ndarray | None) -> np.ndarray:
         """Of a one, for each bit; the counts of bits that are ``own`` are taken out of the tables."""
         out = np.zeros(len(bit))
@@ -291,9 +307,22 @@ class TokenModel:
         second = [fold(self.low), fold(past_known, past & np.uint32(7)), fold(self.far), fold(size, self.place)]
         return ((first, _so_far(follows, has, start), np.minimum(size, 8), follows), has), ((second, _so_far(known, always, start), self.place, known), always)
 
+    def _taught(self, learning: np.ndarray):
+        return [(model, (*rest, learning & has)) for model, (rest, has) in zip((self.follows, self.known), self._bits(learning.astype(np.int64)))]
+
+    def counts(self, learning: np.ndarray) -> list[np.ndarray]:
+        """Of all tables, from these tokens."""
+        return [x for model, rest in self._taught(learning) for x in model.counts(*rest)]
+
+    def teach(self, learning: np.ndarray) -> None:
+        """The weights, from these tokens and the tables as they are."""
+        for model, rest in self._taught(learning):
+            model.teach(*rest)
+
     def learn(self, learning: np.ndarray) -> None:
-        for model, (rest, has) in zip((self.follows, self.known), self._bits(learning.astype(np.int64))):
-            model.fit(*rest, learning & has)
+        """Tables and weights from these tokens alone."""
+        for model, rest in self._taught(learning):
+            model.fit(*rest)
 
     def probability(self, own: np.ndarray | None = None) -> np.ndarray:
         """Of each token; where it is ``own``, without its own occurrence in any count."""
@@ -319,67 +348,191 @@ def _spelling_contexts(data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return symbols, first, [pair, fold(pair, back[2]), fold(pair, back[2], back[3]), fold(prefix, (prefix >> np.uint64(32)))]
 
 
-def _spellings(words: Words, at: np.ndarray, taught: np.ndarray, table_bits: int) -> np.ndarray:
-    """log2 probability of the spelling of each of the words ``at``; those that are ``taught`` teach: the tables at once, where a word's own bits are taken
-    out, and the weights online, each piece after it is scored."""
-    out = np.zeros(len(at))
-    pieces = [np.arange(a, min(a + 3000, len(at))) for a in range(0, len(at), 3000)]
-    counts = np.zeros(257, np.int64)
-    for own in pieces:
-        counts += np.bincount(_spelling_contexts(words.data, words.start[at[own]], words.end[at[own]])[0], minlength=257)
-    code = Code.of(counts)
-    tables, mixer = [np.zeros(2 * n, np.int64) for n in [len(code.depth)] + [1 << table_bits] * 4], Mixer(5)
-    for scored in (False, True):
-        for own in pieces:
-            symbols, first, contexts = _spelling_contexts(words.data, words.start[at[own]], words.end[at[own]])
-            length, _, bit, where = slots(code, symbols, contexts, table_bits)
+class Spelling:
+    """The words ``at`` as bits of paths; those that are ``taught`` teach, and their own bits are taken out of the tables."""
+
+    def __init__(self, words: Words, at: np.ndarray, taught: np.ndarray, code: Code, table_bits: int):
+        self.words, self.at, self.taught, self.code, self.table_bits = words, at, taught, code, table_bits
+        self.tables, self.mixer = [], Mixer(5)
+
+    def _pieces(self, only_taught: bool):
+        chosen = np.flatnonzero(self.taught) if only_taught else np.arange(len(self.at))
+        for a in range(0, len(chosen), 3000):
+            own = chosen[a : a + 3000]
+            symbols, first, contexts = _spelling_contexts(self.words.data, self.words.start[self.at[own]], self.words.end[self.at[own]])
+            length, _, bit, where = slots(self.code, symbols, contexts, self.table_bits)
             bounds = np.concatenate([[0], np.cumsum(length)])[first[:-1]]
-            teach = np.repeat(taught[own], np.diff(np.append(bounds, len(bit))))
-            if not scored:
-                for t, place in zip(tables, where):
-                    t += np.bincount(place.astype(np.intp)[teach] * 2 + bit[teach], minlength=len(t))
-                continue
-            depth = code.depth[where[0]]
-            x, gate = Mixer.inputs(tables, where, depth, bit == 1, teach)
-            odds = mixer.refined(mixer.mixed(x, gate), depth)[0]
-            out[own] = np.add.reduceat(log2_likelihood(odds, bit).astype(np.float64), bounds)
-            if teach.any():
-                mixer.learn(x[:, teach], gate[teach], depth[teach], bit[teach].astype(np.float32))
-        if not scored:
-            tables = [packed(t) for t in tables]
-    return out
+            yield own, bit, where, bounds, np.repeat(self.taught[own], np.diff(np.append(bounds, len(bit))))
+
+    def counts(self) -> list[np.ndarray]:
+        tables = [np.zeros(2 * n, np.int64) for n in [len(self.code.depth)] + [1 << self.table_bits] * 4]
+        for _, bit, where, _, _ in self._pieces(True):
+            for t, place in zip(tables, where):
+                t += np.bincount(place.astype(np.intp) * 2 + bit, minlength=len(t))
+        return tables
+
+    def _inputs(self, bit, where, teach):
+        depth = self.code.depth[where[0]]
+        return *Mixer.inputs(self.tables, where, depth, bit == 1, teach), depth
+
+    def teach(self) -> None:
+        for _, bit, where, _, teach in self._pieces(True):
+            x, gate, depth = self._inputs(bit, where, teach)
+            self.mixer.learn(x, gate, depth, bit.astype(np.float32))
+
+    def cost(self) -> np.ndarray:
+        """log2 probability of the spelling of each word."""
+        out = np.zeros(len(self.at))
+        for own, bit, where, bounds, teach in self._pieces(False):
+            x, gate, depth = self._inputs(bit, where, teach)
+            out[own] = np.add.reduceat(log2_likelihood(self.mixer.refined(self.mixer.mixed(x, gate), depth)[0], bit).astype(np.float64), bounds)
+        return out
 
 
-def _score(table_bits: int, total: int, distinct: int):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        order, held, tokens, words, learning = _block(docs)
+@dataclass
+class Model:
+    """What all blocks share: numbers of learning tokens, the code of spellings, then all tables, packed, one after the other, and the three mixers' states."""
+
+    table_bits: int
+    total: int
+    distinct: int
+    code: Code
+    tables: np.ndarray | None = None
+    states: list[np.ndarray] | None = None
+
+    def sizes(self) -> list[int]:
+        few = min(12, self.table_bits)
+        return [2 << b for b in [self.table_bits, few] * 4] + [2 * len(self.code.depth)] + [2 << self.table_bits - 2] * 4
+
+
+class Block:
+    """A block's rows with the counts of their tokens, under ``model``."""
+
+    def __init__(self, docs: pa.Table, replies: pa.Table, model: Model):
+        self.model = model
+        order, self.held, self.tokens, self.words, self.learning = _block(docs)
+        self.ids = docs.column("doc_id").take(pa.array(order))
         parts = replies.column("part").to_pylist()
-        single = _spread(np.append(tokens.hash, _END), parts, replies.column("counts").to_pylist(), np.int64)
-        single, texts = single[:-1], int(single[-1])
-        pair = _spread(tokens.pairs(), parts, replies.column("pairs").to_pylist(), np.uint32)
-        by_text = lambda x: np.add.reduceat(x, tokens.first[:-1])  # noqa: E731  every text has a token: its end
-        base = by_text(np.log10((single + 1) / (total + distinct + 1)))
-        model = TokenModel(tokens, single, pair, total, texts, table_bits)
-        model.learn(learning)
-        score, alone = (by_text(np.log10(np.maximum(model.probability(own), 1e-300))) for own in (None, learning))
-        unknown = (single - learning == 0)[tokens.is_word]
-        spelt = np.zeros(len(words.start))
-        where = np.flatnonzero(unknown)
-        if len(where):
-            spelt[where] = _spellings(words, where, learning[tokens.is_word][where], table_bits - 2)
-        spelling = np.zeros(len(tokens.hash))
-        spelling[tokens.is_word] = spelt
+        single = _spread(np.append(self.tokens.hash, _END), parts, replies.column("counts").to_pylist(), np.int64)
+        self.single = single[:-1]
+        pair = _spread(self.tokens.pairs(), parts, replies.column("pairs").to_pylist(), np.uint32)
+        self.known = TokenModel(self.tokens, self.single, pair, model.total, int(single[-1]), model.table_bits)
+        is_word = self.tokens.is_word
+        self.where = np.flatnonzero((self.single - self.learning == 0)[is_word])
+        self.spelling = Spelling(self.words, self.where, self.learning[is_word][self.where], model.code, model.table_bits - 2)
+        three = self.known.follows, self.known.known, self.spelling
+        if model.tables is not None:
+            tables = np.split(model.tables, np.cumsum(model.sizes())[:-1] // 2)
+            for own, some in zip(three, (tables[:4], tables[4:8], tables[8:])):
+                own.tables = some
+        for own, state in zip(three, model.states or []):
+            own.mixer.take(state)
+
+    def counts(self) -> np.ndarray:
+        return np.concatenate(self.known.counts(self.learning) + self.spelling.counts())
+
+    def states(self) -> list[np.ndarray]:
+        self.known.teach(self.learning)
+        self.spelling.teach()
+        return [own.mixer.state() for own in (self.known.follows, self.known.known, self.spelling)]
+
+    def scores(self) -> pa.Table:
+        by_text = lambda x: np.add.reduceat(x, self.tokens.first[:-1])  # noqa: E731  every text has a token: its end
+        base = by_text(np.log10((self.single + 1) / (self.model.total + self.model.distinct + 1)))
+        score, alone = (by_text(np.log10(np.maximum(self.known.probability(own), 1e-300))) for own in (None, self.learning))
+        spelt = np.zeros(len(self.words.start))
+        spelt[self.where] = self.spelling.cost()
+        spelling = np.zeros(len(self.tokens.hash))
+        spelling[self.tokens.is_word] = spelt
         bits = -alone / np.log10(2) - by_text(spelling)
         return pa.table(
             {
-                "doc_id": docs.column("doc_id").take(pa.array(order)), "held_out": held, "n_tokens": tokens.size, "n_known": by_text((single > 0).astype(np.int64)), "base_score": base,
-                "train_tokens": np.full(len(held), total), "score": score, "bits_per_byte": bits / np.maximum(np.diff(words.offsets), 1),
+                "doc_id": self.ids, "held_out": self.held, "n_tokens": self.tokens.size, "n_known": by_text((self.single > 0).astype(np.int64)), "base_score": base,
+                "train_tokens": np.full(len(self.held), self.model.total), "score": score, "bits_per_byte": bits / np.maximum(np.diff(self.words.offsets), 1),
             }
         )
 
+
+_KEPT = pa.schema([("docs", pa.binary()), ("replies", pa.binary()), ("counts", pa.binary())])
+_PARTS = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+_SUMS = "part int, sums binary"
+RANGES = 64  # of slots, over all tables
+FILE_BLOCKS = 4  # blocks that one file keeps
+
+
+def _kept(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _counted(model: Model):
+    """A block kept whole, with its replies and the counts of its learning rows for all tables."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        counts = zstandard.compress(Block(docs, replies, model).counts().astype(np.uint32).tobytes(), 1)
+        out = pa.table({"docs": [_kept(docs.drop_columns("block"))], "replies": [_kept(replies.drop_columns("block"))], "counts": [counts]}, _KEPT)
+        blocks.release()
+        return out
+
+    return run
+
+
+def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's blocks, by ranges of slots."""
+    total = None
+    for batch in batches:
+        for x in batch.column("counts"):
+            counts = np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+            total = counts.astype(np.int64) if total is None else total + counts
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"part": range(RANGES), "sums": [zstandard.compress(x.tobytes(), 1) for x in np.array_split(total.reshape(-1, 2), RANGES)]}, _PARTS)
+
+
+def _pack_tables(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("sums"))
+    return pa.table({"part": [table.column("part")[0].as_py()], "sums": [packed(total).tobytes()]}, _PARTS)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[Block]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Block(*(pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "replies")), model)
+            blocks.release()
+
+
+def _learnt(model: Model):
+    """The added states of the mixers after each of a task's blocks has taught them from their beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for block in _blocks_of(batches, model):
+            states = block.states()
+            total = states if total is None else [a + b for a, b in zip(total, states)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": range(len(total)), "sums": [x.tobytes() for x in total]}, _PARTS)
+
     return run
 
 
+def _add_states(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+    return pa.table({"part": [table.column("part")[0].as_py()], "sums": [total.tobytes()]}, _PARTS)
+
+
+def _scored(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks_of(batches, model):
+            yield from block.scores().to_batches()
+
+    return run
+
+
+def _by_part(rows: DataFrame, kind) -> list[np.ndarray]:
+    return [np.frombuffer(r.sums, kind) for r in rows.orderBy("part").collect()]
+
+
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double, bits_per_byte double"
 
 
@@ -392,23 +545,33 @@ def score(docs: DataFrame, modulus: int = 7, residue: int = 2, table_bits: int =
     alike; with no learning rows at all the base gives each token probability 1. Other columns are not read.
 
     Counts of tokens and pairs of tokens are exact over all learning rows and exchanged by key lists. Rows are dealt by the hash of doc_id and text into
-    blocks of ``BLOCK_BYTES``, whatever the cluster; the tables of hashed contexts and the weights are learnt in each
-    block from all of its learning rows.
+    blocks of ``BLOCK_BYTES``, whatever the cluster. Three passes go over the blocks: the tables of hashed contexts are sums of all blocks' counts, of all learning
+    rows; with these tables each block's learning rows teach weights, whose means over all blocks, by the bits that taught them, are the model's; then all rows are scored.
+    Tables and weights have a fixed size. Key lists' answers and then blocks with their counts are written to the checkpoint folder, the shuffles before them removed, and only they are read again.
     """
     docs = blocks.texts(docs)
     _, size = blocks.volume(docs)
     count = blocks.partition_count(size // 5)  # about a pair of words for each six bytes
     learning = docs.where(~held_out(modulus=modulus, residue=residue))
-    counted = learning.select("text").mapInArrow(_count_tokens(count), "part int, keys binary, counts binary").groupBy("part")
-    counted = durable(counted.applyInArrow(_sum_counts, "part int, keys binary, counts binary, n_distinct long, total long"))
+    counted = learning.select("text").mapInArrow(_count_tokens(count), "part int, keys binary, counts binary, symbols binary").groupBy("part")
+    counted = durable(counted.applyInArrow(_sum_counts, "part int, keys binary, counts binary, n_distinct long, total long, symbols binary"))
     n = counted.agg(F.sum("n_distinct"), F.sum("total")).first()
     distinct, total = n[0] or 0, n[1] or 0
+    symbols = sum((np.frombuffer(r.symbols, np.int64) for r in counted.select("symbols").toLocalIterator()), np.zeros(257, np.int64))
+    model = Model(table_bits, total, distinct, Code.of(symbols))
     number = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)).cast("int").alias("block")
     dealt = docs.select(block, held_out(modulus=modulus, residue=residue).alias("held_out"), "doc_id", "text")
     asked = dealt.groupBy("block").applyInArrow(_ask(count), "part int, block int, keys binary, pairs binary, counts binary")
-    replies = asked.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_reply, "block int, part int, counts binary, pairs binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(table_bits, total, distinct), _RESULT)
+    replies = stored(asked.groupBy("part").cogroup(counted.drop("symbols").groupBy("part")).applyInArrow(_reply, "block int, part int, counts binary, pairs binary"), lean=True)
+    kept = stored(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_counted(model), "docs binary, replies binary, counts binary"), FILE_BLOCKS, lean=True)
+    tables = _by_part(kept.select("counts").mapInArrow(_sum_tables, _SUMS).groupBy("part").applyInArrow(_pack_tables, _SUMS), np.uint16)
+    if not tables:
+        return docs.sparkSession.createDataFrame([], _RESULT)
+    model.tables = np.concatenate(tables)
+    rows = kept.select("docs", "replies")
+    model.states = _by_part(rows.mapInArrow(_learnt(model), _SUMS).groupBy("part").applyInArrow(_add_states, _SUMS), np.float64)
+    return rows.mapInArrow(_scored(model), _RESULT)
 
 
 def digest(docs: DataFrame) -> DataFrame:
