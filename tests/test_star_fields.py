@@ -26,3 +26,9 @@ def test_outliers_are_judged_for_every_line(spark, lines):
     folder, rows = lines
     name = "F12_local_outliers"
     assert compare(spark, oracle_of(folder), folder, QUERIES[name], ORACLES[name]) == len(rows)
+
+
+def test_grids_take_every_line(spark, lines):
+    folder, rows = lines
+    name = "F13_fwhm_grid"
+    assert compare(spark, oracle_of(folder), folder, QUERIES[name], ORACLES[name]) == 16 * len({r[2] for r in rows})
